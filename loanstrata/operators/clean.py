@@ -16,7 +16,7 @@ from loanstrata.functions.ordered import quantile_values, quantiles
 from loanstrata.functions.text import clip, employment_years, issue_date, percent_number, term_months
 from loanstrata.operators.profile import numeric_columns, string_columns, struct_rows, value_counts
 from loanstrata.operators.quality import moments
-from loanstrata.session import join_lookup, small_table
+from loanstrata.session import join_lookup, pin, small_table
 
 # Columns known only after origination, prefixes of such columns, columns without model value.
 LEAKAGE_COLUMNS = [
@@ -272,6 +272,8 @@ def clean_tape(tape: DataFrame, key: str = "id", fit_scope: str = "all", train_l
     held_back = [key, "default_flag", "issue_year"]
     typed = typed.withColumn("issue_year", F.year("issue_d")).drop(*[
         f.name for f in typed.schema.fields if isinstance(f.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType))])
+    # Every fit below reads this table instead of repeating the joins behind the tape.
+    typed = pin(typed)
     steps.append(("coerce_types", None, len(typed.columns)))
     train = typed.where(F.col("issue_year") <= train_last_year) if fit_scope == "train" else None
     numeric = [c for c in numeric_columns(typed) if c not in held_back]

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from loanstrata.functions.ordered import quantiles
 from loanstrata.functions.text import clip
-from loanstrata.operators.profile import struct_rows
 
 # Scenario, factor on PD, floor of LGD.
 SCENARIOS = [("base", 1.0, None), ("adverse", 1.5, 0.45), ("severe", 2.0, 0.60)]
+# Plausible expected loss in percent of exposure per portfolio type.
+PORTFOLIO_BANDS = {"prime": (0.5, 2.0), "near_prime": (1.5, 3.5), "subprime": (3.0, 6.0), "non_prime": (4.0, 8.0)}
 
 
 def expected_loss(df: DataFrame) -> DataFrame:
@@ -132,11 +133,11 @@ def loss_invariants(el: DataFrame) -> DataFrame:
         n(stressed["severe"] + 1e-9 < stressed["adverse"]).alias("severe_below_adverse"))
 
 
-def loss_band(el: DataFrame, bands: dict[str, tuple[float, float]], group: str) -> DataFrame:
+def loss_band(el: DataFrame, group: str, bands: dict[str, tuple[float, float]] | None = None) -> DataFrame:
     """Loss rate per portfolio type against the band expected for that type."""
     sums = el.groupBy(group).agg((F.sum("expected_loss") / F.greatest(F.sum("ead"), F.lit(1.0)) * 100).alias("el_pct"))
     low, high = F.lit(None).cast("double"), F.lit(None).cast("double")
-    for name, (lo, hi) in bands.items():
+    for name, (lo, hi) in (bands or PORTFOLIO_BANDS).items():
         low = F.when(F.col(group) == name, lo).otherwise(low)
         high = F.when(F.col(group) == name, hi).otherwise(high)
     return sums.withColumns({"band_low": low, "band_high": high}).withColumn(
@@ -191,9 +192,3 @@ def scheduled_exposure(df: DataFrame, funded: str, rate_pct: str, term: str, mon
     left = F.when(r == 0, F.col(funded) * (1 - m / n)).otherwise(
         F.col(funded) * F.try_divide(grown - F.pow(1 + r, m), grown - 1))
     return df.select(*keep, F.greatest(F.lit(0.0), left).alias("scheduled_ead"))
-
-
-def percentiles_long(el: DataFrame, columns: list[str], probs: list[float]) -> DataFrame:
-    rows = quantiles(el, columns, probs)
-    return struct_rows(rows, ["feature"], [
-        F.struct(F.lit(p).alias("prob"), F.col("q")[i].alias("value")) for i, p in enumerate(probs)])

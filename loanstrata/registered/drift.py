@@ -1,0 +1,146 @@
+"""Drift queries: vintages of the loan tape, and the first against the last ten days of events."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from loanstrata.operators import drift
+from loanstrata.plans.tape import resolved_loans, table
+from loanstrata.registered import register
+from loanstrata.registered.profiling import rounded
+from loanstrata.registered.sql import unpivot, with_tape
+
+DRIFT = ["loan_amnt", "annual_inc", "dti", "revol_bal", "open_acc"]
+VALUES = ", v AS (" + unpivot(DRIFT, "split", "resolved") + ") "
+_PROBS = ", ".join(str(i / 10) for i in range(11))
+EDGES = VALUES + f", e AS (SELECT feature, quantile_cont(value, [{_PROBS}]) AS q FROM v WHERE split = 'train' GROUP BY 1) "
+
+
+def loans(spark, folder):
+    return resolved_loans(spark, folder, DRIFT)
+
+
+def _psi_sql(other: str, place: str, share: str, where: str = "true", total: str = "n") -> str:
+    """Counts per bin of both sides over all ten bins, then the sum of contributions."""
+    return (
+        f", c AS (SELECT feature, split, {place} AS bin, count(*) AS n FROM v JOIN e USING (feature) "
+        f"WHERE split IN ('train', '{other}') AND ({where}) GROUP BY 1, 2, 3), w AS (SELECT feature, bin, "
+        f"coalesce(sum(n) FILTER (split = 'train'), 0) AS r, coalesce(sum(n) FILTER (split = '{other}'), 0) AS o FROM c "
+        "GROUP BY 1, 2), t AS (SELECT feature, sum(n) FILTER (split = 'train') AS rt, "
+        f"sum(n) FILTER (split = '{other}') AS ot FROM {total} GROUP BY 1), s AS (SELECT feature, {share.format(x='r / rt')} AS rs, "
+        f"{share.format(x='o / ot')} AS os FROM w JOIN t USING (feature)), p AS (SELECT feature, sum((os - rs) * ln(os / rs)) AS psi "
+        "FROM s GROUP BY 1) SELECT feature, round(psi, 6) AS psi, CASE WHEN psi < 0.1 THEN 'PASS' WHEN psi < 0.25 THEN 'WARN' "
+        "ELSE 'FAIL' END AS status FROM p")
+
+
+LEFT_CLOSED = "len(list_filter(q[2:10], lambda x: value >= x))"
+REPLACE = "CASE WHEN {x} = 0 THEN 0.0001 ELSE {x} END"
+
+
+@register("psi_quantile", with_tape(EDGES + _psi_sql("test", LEFT_CLOSED, REPLACE, total="c")))
+def psi_quantile(spark, folder):
+    rows = loans(spark, folder)
+    edges = drift.quantile_edges(rows.where("split = 'train'"), DRIFT)
+    return rounded(drift.psi(rows, "split", "train", "test", edges), psi=6)
+
+
+@register("psi_closed", with_tape(EDGES + _psi_sql(
+    "test", LEFT_CLOSED, "greatest({x}, 1e-8)", "value >= q[1] AND value <= q[11]", total="c")))
+def psi_closed(spark, folder):
+    rows = loans(spark, folder)
+    edges = drift.quantile_edges(rows.where("split = 'train'"), DRIFT)
+    return rounded(drift.psi(rows, "split", "train", "test", edges, drift.QUANTILE_CLOSED), psi=6)
+
+
+@register("psi_equal_width", with_tape(VALUES +
+    ", e AS (SELECT feature, min(value) AS lo, max(value) AS hi FROM v WHERE split IN ('train', 'test') GROUP BY 1) " + _psi_sql(
+        "test", "len(list_filter(list_transform([1, 2, 3, 4, 5, 6, 7, 8, 9], lambda i: lo + (hi - lo) * i / 10), "
+        "lambda x: value >= x))", "({x} + 0.0001)", total="c")))
+def psi_equal_width(spark, folder):
+    rows = loans(spark, folder)
+    edges = drift.equal_width_edges(rows.where("split IN ('train', 'test')"), DRIFT)
+    return rounded(drift.psi(rows, "split", "train", "test", edges, drift.EQUAL_WIDTH), psi=6)
+
+
+@register("csi_features", with_tape(EDGES + _psi_sql(
+    "test", LEFT_CLOSED, REPLACE, "value >= q[1] - 0.001 AND value <= q[11] + 0.001",
+    total="(SELECT feature, split, count(*) AS n FROM v GROUP BY 1, 2)")))
+def csi_features(spark, folder):
+    rows = loans(spark, folder)
+    edges = drift.quantile_edges(rows.where("split = 'train'"), DRIFT)
+    return rounded(drift.psi(rows, "split", "train", "test", edges, drift.CHARACTERISTIC), psi=6)
+
+
+def _vintage(other: str) -> str:
+    return (f"(SELECT feature, sum((os - rs) * ln(os / rs)) AS psi FROM (SELECT feature, CASE WHEN r = 0 THEN 0.0001 ELSE r / rt "
+            f"END AS rs, CASE WHEN o = 0 THEN 0.0001 ELSE o / ot END AS os FROM (SELECT feature, bin, "
+            f"coalesce(sum(n) FILTER (split = 'train'), 0) AS r, coalesce(sum(n) FILTER (split = '{other}'), 0) AS o, "
+            f"sum(r) OVER (PARTITION BY feature) AS rt, sum(o) OVER (PARTITION BY feature) AS ot FROM c GROUP BY 1, 2)) GROUP BY 1)")
+
+
+@register("vintage_psi", with_tape(EDGES +
+    f", c AS (SELECT feature, split, {LEFT_CLOSED} AS bin, count(*) AS n FROM v JOIN e USING (feature) GROUP BY 1, 2, 3) "
+    "SELECT feature, round(a.psi, 6) AS psi_train_val, round(b.psi, 6) AS psi_train_test, "
+    "CASE WHEN a.psi < 0.1 THEN 'PASS' WHEN a.psi < 0.25 THEN 'WARN' ELSE 'FAIL' END AS status_train_val, "
+    "CASE WHEN b.psi < 0.1 THEN 'PASS' WHEN b.psi < 0.25 THEN 'WARN' ELSE 'FAIL' END AS status_train_test "
+    f"FROM {_vintage('val')} a JOIN {_vintage('test')} b USING (feature)"))
+def vintage_psi(spark, folder):
+    return rounded(drift.vintage_psi(loans(spark, folder), DRIFT), psi_train_val=6, psi_train_test=6)
+
+
+_COMPLETE = " AND ".join(f"{c} IS NOT NULL" for c in DRIFT)
+
+
+@register("mean_embedding_drift", with_tape(
+    f", k AS (SELECT * FROM resolved WHERE {_COMPLETE}) SELECT count(*) FILTER (split = 'train') AS n_reference, "
+    "count(*) FILTER (split = 'test') AS n_other, round(sqrt(" + " + ".join(
+        f"((avg({c}) FILTER (split = 'train') - avg({c}) FILTER (split = 'test')) / stddev_pop({c}) FILTER (split = 'train')) ** 2"
+        for c in DRIFT) + "), 6) AS drift_score FROM k"))
+def mean_embedding_drift(spark, folder):
+    return rounded(drift.mean_embedding_drift(loans(spark, folder), DRIFT), drift_score=6)
+
+
+_CELLS = (
+    f", k AS (SELECT * FROM resolved WHERE split IN ('train', 'test') AND {_COMPLETE}), f AS (SELECT " + ", ".join(
+        f"avg({c}) AS m_{c}, stddev_pop({c}) AS d_{c}" for c in DRIFT) + " FROM k WHERE split = 'train'), "
+    "cells AS (SELECT CAST(('0x' || substr(md5(concat(id, '-42')), 1, 8)) AS BIGINT) % 1000 AS cell, count(*) AS n, "
+    "count(*) FILTER (split = 'train') AS nr, " + ", ".join(
+        f"sum(({c} - m_{c}) / d_{c}) AS s_{c}, coalesce(sum(({c} - m_{c}) / d_{c}) FILTER (split = 'train'), 0) AS r_{c}" for c in DRIFT)
+    + " FROM k, f GROUP BY 1), draws AS (SELECT *, draw = 0 AS real, CAST(('0x' || substr(md5(concat(cell, '-', draw, '-42')), "
+    "1, 8)) AS BIGINT) / 4294967296.0 < (SELECT sum(nr) / sum(n) FROM cells) AS hit FROM cells, generate_series(0, 100) g(draw)), "
+    "a AS (SELECT draw, sum(CASE WHEN real THEN nr WHEN hit THEN n ELSE 0 END) AS na, sum(n) AS nt, " + ", ".join(
+        f"sum(CASE WHEN real THEN r_{c} WHEN hit THEN s_{c} ELSE 0 END) AS a_{c}, sum(s_{c}) AS t_{c}" for c in DRIFT)
+    + " FROM draws GROUP BY draw), st AS (SELECT draw, sqrt(" + " + ".join(
+        f"(a_{c} / na - (t_{c} - a_{c}) / (nt - na)) ** 2" for c in DRIFT) + ") AS stat FROM a) ")
+
+
+@register("permutation_drift", with_tape(_CELLS +
+    "SELECT round(o, 6) AS drift_score, round(p, 4) AS p_value, CASE WHEN p < 0.05 THEN 'significant drift' "
+    "ELSE 'no significant drift' END AS interpretation FROM (SELECT any_value(o) AS o, avg(CASE WHEN stat >= o THEN 1 ELSE 0 END) "
+    "AS p FROM st, (SELECT stat AS o FROM st WHERE draw = 0) WHERE draw > 0)"))
+def permutation_drift(spark, folder):
+    return rounded(drift.permutation_drift(loans(spark, folder), DRIFT), drift_score=6, p_value=4)
+
+
+@register("ks_by_feature", with_tape(VALUES +
+    ", c AS (SELECT feature, value, count(*) FILTER (split = 'train') AS r, count(*) FILTER (split = 'test') AS o FROM v "
+    "WHERE split IN ('train', 'test') GROUP BY 1, 2), s AS (SELECT feature, sum(r) OVER w AS r, sum(o) OVER w AS o, "
+    "sum(r) OVER (PARTITION BY feature) AS rt, sum(o) OVER (PARTITION BY feature) AS ot FROM c "
+    "WINDOW w AS (PARTITION BY feature ORDER BY value)) SELECT feature, CAST(max(rt) AS BIGINT) AS n_reference, "
+    "CAST(max(ot) AS BIGINT) AS n_other, round(max(abs(r / rt - o / ot)), 6) AS ks FROM s GROUP BY 1"))
+def ks_by_feature(spark, folder):
+    out = drift.ks_by_feature(loans(spark, folder), DRIFT)
+    return rounded(out.select("feature", "n_reference", "n_other", "ks"), ks=6)
+
+
+@register("psi_events",
+    "WITH v AS (SELECT event_type AS feature, CASE WHEN ts < TIMESTAMP '2024-01-11' THEN 'train' WHEN ts >= TIMESTAMP "
+    "'2024-01-20' THEN 'test' END AS split, value FROM events), e AS (SELECT quantile_cont(value, ["
+    + _PROBS + "]) AS q FROM v WHERE split = 'train')" + _psi_sql("test", LEFT_CLOSED, REPLACE, total="c")
+    .replace("v JOIN e USING (feature)", "(SELECT 'value' AS feature, split, value FROM v) JOIN e ON true"))
+def psi_events(spark, folder):
+    rows = table(spark, folder, "events").select("value", F.expr(
+        "case when ts < timestamp_ntz '2024-01-11' then 'train' when ts >= timestamp_ntz '2024-01-20' then 'test' end")
+        .alias("split"))
+    edges = drift.quantile_edges(rows.where("split = 'train'"), ["value"])
+    return rounded(drift.psi(rows, "split", "train", "test", edges), psi=6)

@@ -39,7 +39,7 @@ _P = [0.05, 0.25, 0.5, 0.75, 0.95]
 
 @register("loss_summary", with_tape(EL +
     "SELECT count(*) AS total_loans, round(sum(expected_loss), 2) AS portfolio_el, round(avg(expected_loss), 4) AS mean_el, "
-    "round(sum(ead), 2) AS total_ead, round(sum(expected_loss) / greatest(sum(ead), 1), 6) AS el_rate, "
+    "round(sum(ead), 3) AS total_ead, round(sum(expected_loss) / greatest(sum(ead), 1), 6) AS el_rate, "
     "round(avg(pd), 6) AS mean_pd, round(avg(lgd), 6) AS mean_lgd, round(avg(ead), 4) AS mean_ead, "
     "round(quantile_cont(expected_loss, 0.5), 4) AS median_el, "
     + ", ".join(f"round(quantile_cont({c}, {p}), 6) AS {c}_p{round(p * 100):02d}" for c in ("pd", "lgd") for p in _P)
@@ -47,18 +47,18 @@ _P = [0.05, 0.25, 0.5, 0.75, 0.95]
 def loss_summary(spark, folder):
     out = loss.loss_summary(el(spark, folder))
     digits = {c: 6 for c in out.columns if c != "total_loans"}
-    digits.update(portfolio_el=2, total_ead=2, mean_el=4, mean_ead=4, median_el=4)
+    digits.update(portfolio_el=2, total_ead=3, mean_el=4, mean_ead=4, median_el=4)
     return rounded(out, **digits)
 
 
 @register("el_rollup", with_tape(EL +
     "SELECT grade, count(*) AS loan_count, round(sum(expected_loss), 2) AS total_el, round(avg(expected_loss), 4) AS mean_el, "
-    "round(sum(ead), 2) AS total_ead, round(avg(pd), 6) AS mean_pd, round(avg(lgd), 6) AS mean_lgd, "
+    "round(sum(ead), 3) AS total_ead, round(avg(pd), 6) AS mean_pd, round(avg(lgd), 6) AS mean_lgd, "
     "round(avg(ead), 4) AS mean_ead, round(quantile_cont(expected_loss, 0.5), 4) AS median_el, "
     "round(sum(expected_loss) / sum(ead), 6) AS el_rate, "
     "round(sum(expected_loss) / greatest(sum(sum(expected_loss)) OVER (), 1) * 100, 4) AS el_share_pct FROM el GROUP BY grade"))
 def el_rollup(spark, folder):
-    return rounded(loss.rollup(el(spark, folder), "grade"), total_el=2, mean_el=4, total_ead=2, mean_pd=6, mean_lgd=6,
+    return rounded(loss.rollup(el(spark, folder), "grade"), total_el=2, mean_el=4, total_ead=3, mean_pd=6, mean_lgd=6,
                    mean_ead=4, median_el=4, el_rate=6, el_share_pct=4)
 
 
@@ -67,11 +67,11 @@ def el_rollup(spark, folder):
     "WHEN grouping(issue_year) = 0 THEN 'issue_year' ELSE 'purpose' END AS dimension, "
     "CASE WHEN grouping(grade, issue_year, purpose) = 7 THEN 'all' WHEN grouping(grade) = 0 THEN grade "
     "WHEN grouping(issue_year) = 0 THEN CAST(issue_year AS VARCHAR) ELSE purpose END AS segment, count(*) AS loan_count, "
-    "round(sum(expected_loss), 2) AS total_el, round(sum(ead), 2) AS total_ead, "
+    "round(sum(expected_loss), 2) AS total_el, round(sum(ead), 3) AS total_ead, "
     "round(sum(expected_loss) / sum(ead), 6) AS el_rate FROM el "
     "GROUP BY GROUPING SETS ((grade), (issue_year), (purpose), ())"))
 def el_grouping_sets(spark, folder):
-    return rounded(loss.multi_rollup(el(spark, folder), ["grade", "issue_year", "purpose"]), total_el=2, total_ead=2,
+    return rounded(loss.multi_rollup(el(spark, folder), ["grade", "issue_year", "purpose"]), total_el=2, total_ead=3,
                    el_rate=6)
 
 
@@ -83,10 +83,10 @@ st AS (SELECT *, spd * slgd * ead AS sel FROM stressed) """
 
 @register("stress_scenarios", with_tape(STRESS +
     "SELECT scenario, grade, count(*) AS loan_count, round(sum(expected_loss), 2) AS baseline_el, "
-    "round(sum(sel), 2) AS stressed_el, round(sum(ead), 2) AS total_ead, "
+    "round(sum(sel), 2) AS stressed_el, round(sum(ead), 3) AS total_ead, "
     "round((sum(sel) - sum(expected_loss)) * 100 / sum(expected_loss), 4) AS el_change_pct FROM st GROUP BY 1, 2"))
 def stress_scenarios(spark, folder):
-    return rounded(loss.stressed_rollup(el(spark, folder), "grade"), baseline_el=2, stressed_el=2, total_ead=2,
+    return rounded(loss.stressed_rollup(el(spark, folder), "grade"), baseline_el=2, stressed_el=2, total_ead=3,
                    el_change_pct=4)
 
 
@@ -120,16 +120,17 @@ def el_invariants(spark, folder):
     return loss.loss_invariants(el(spark, folder))
 
 
-BANDS = {"A": (0.5, 2.0), "B": (1.5, 3.5), "C": (3.0, 6.0), "D": (4.0, 8.0)}
-
-
 @register("el_band", with_tape(EL +
-    "SELECT grade, round(sum(expected_loss) / greatest(sum(ead), 1) * 100, 4) AS el_pct, any_value(lo) AS band_low, "
+    "SELECT portfolio, round(sum(expected_loss) / greatest(sum(ead), 1) * 100, 4) AS el_pct, any_value(lo) AS band_low, "
     "any_value(hi) AS band_high, sum(expected_loss) / greatest(sum(ead), 1) * 100 BETWEEN any_value(lo) AND any_value(hi) "
-    "AS inside FROM el LEFT JOIN (SELECT g AS grade, CAST(lo AS DOUBLE) AS lo, CAST(hi AS DOUBLE) AS hi FROM (VALUES "
-    "('A', 0.5, 2.0), ('B', 1.5, 3.5), ('C', 3.0, 6.0), ('D', 4.0, 8.0)) b(g, lo, hi)) USING (grade) GROUP BY grade"))
+    "AS inside FROM (SELECT *, CASE WHEN grade = 'A' THEN 'prime' WHEN grade = 'B' THEN 'near_prime' WHEN grade = 'C' THEN "
+    "'subprime' ELSE 'non_prime' END AS portfolio FROM el) JOIN (SELECT g AS portfolio, CAST(lo AS DOUBLE) AS lo, "
+    "CAST(hi AS DOUBLE) AS hi FROM (VALUES ('prime', 0.5, 2.0), ('near_prime', 1.5, 3.5), ('subprime', 3.0, 6.0), "
+    "('non_prime', 4.0, 8.0)) b(g, lo, hi)) USING (portfolio) GROUP BY portfolio"))
 def el_band(spark, folder):
-    return rounded(loss.loss_band(el(spark, folder), BANDS, "grade"), el_pct=4)
+    typed = el(spark, folder).withColumn("portfolio", F.expr(
+        "case grade when 'A' then 'prime' when 'B' then 'near_prime' when 'C' then 'subprime' else 'non_prime' end"))
+    return rounded(loss.loss_band(typed, "portfolio"), el_pct=4)
 
 
 LOANS = """, loans AS (

@@ -18,6 +18,11 @@ def rounded(df, **digits):
     return df.select(*[F.round(c, digits[c]).alias(c) if c in digits else F.col(c) for c in df.columns])
 
 
+def digits(columns: list[str]) -> dict[str, int]:
+    """Moments to four decimals; values of the data and interpolations between them exactly."""
+    return {c: 4 if c in ("mean", "std") else 7 for c in columns if c not in ("feature", "n")}
+
+
 @register("key_report", "SELECT count(*) AS row_count, count(*) FILTER (l_orderkey IS NULL) AS null_key_count, "
           "count(DISTINCT l_orderkey) AS distinct_keys, (SELECT count(*) FROM (SELECT l_orderkey FROM lineitem "
           "GROUP BY 1 HAVING count(*) > 1)) AS duplicate_key_count FROM lineitem")
@@ -77,13 +82,13 @@ def profile_overview(spark, folder):
 
 @register("profile_numeric", with_tape(
     "SELECT feature, count(*) AS n, round(avg(value), 4) AS mean, round(stddev_samp(value), 4) AS std, "
-    "round(min(value), 4) AS min, round(max(value), 4) AS max, round(quantile_cont(value, 0.01), 4) AS p01, "
-    "round(quantile_cont(value, 0.25), 4) AS p25, round(quantile_cont(value, 0.5), 4) AS p50, "
-    "round(quantile_cont(value, 0.75), 4) AS p75, round(quantile_cont(value, 0.99), 4) AS p99 FROM ("
+    "round(min(value), 7) AS min, round(max(value), 7) AS max, round(quantile_cont(value, 0.01), 7) AS p01, "
+    "round(quantile_cont(value, 0.25), 7) AS p25, round(quantile_cont(value, 0.5), 7) AS p50, "
+    "round(quantile_cont(value, 0.75), 7) AS p75, round(quantile_cont(value, 0.99), 7) AS p99 FROM ("
     + unpivot(NUMERIC_COLUMNS) + ") GROUP BY feature"))
 def profile_numeric(spark, folder):
     summary = profile.numeric_summary(loan_tape(spark, folder, NUMERIC_COLUMNS), NUMERIC_COLUMNS)
-    return rounded(summary, **{c: 4 for c in summary.columns if c not in ("feature", "n")})
+    return rounded(summary, **digits(summary.columns))
 
 
 @register("profile_topk", with_tape(
@@ -214,13 +219,13 @@ def loss_target_report(spark, folder):
 
 @register("exposure_target_report", with_tape(TARGETS_SQL +
     "SELECT feature, count(*) AS n, round(avg(value), 4) AS mean, round(stddev_samp(value), 4) AS std, "
-    "round(min(value), 4) AS min, round(max(value), 4) AS max, round(quantile_cont(value, 0.05), 4) AS p05, "
-    "round(quantile_cont(value, 0.25), 4) AS p25, round(quantile_cont(value, 0.5), 4) AS p50, "
-    "round(quantile_cont(value, 0.75), 4) AS p75, round(quantile_cont(value, 0.95), 4) AS p95 FROM ("
+    "round(min(value), 7) AS min, round(max(value), 7) AS max, round(quantile_cont(value, 0.05), 7) AS p05, "
+    "round(quantile_cont(value, 0.25), 7) AS p25, round(quantile_cont(value, 0.5), 7) AS p50, "
+    "round(quantile_cont(value, 0.75), 7) AS p75, round(quantile_cont(value, 0.95), 7) AS p95 FROM ("
     + unpivot(["ead", "ccf"], source="targets") + ") GROUP BY feature"))
 def exposure_target_report(spark, folder):
     out = profile.exposure_target_report(clean.with_targets(resolved_loans(spark, folder, TARGET_INPUTS)))
-    return rounded(out, **{c: 4 for c in out.columns if c not in ("feature", "n")})
+    return rounded(out, **digits(out.columns))
 
 
 @register("conversion_factor_shares", with_tape(TARGETS_SQL +
@@ -241,11 +246,11 @@ def conversion_factor_shares(spark, folder):
     "round(count(*) FILTER (abs(value - m) / nullif(sd, 0) > 4) / n, 6) AS z_rate, "
     "count(*) FILTER (value < q1 - 3 * (q3 - q1) OR value > q3 + 3 * (q3 - q1)) AS iqr_outliers, "
     "round(count(*) FILTER (value < q1 - 3 * (q3 - q1) OR value > q3 + 3 * (q3 - q1)) / n, 6) AS iqr_rate, "
-    "round(q1 - 3 * (q3 - q1), 3) AS iqr_lower, round(q3 + 3 * (q3 - q1), 3) AS iqr_upper "
+    "round(q1 - 3 * (q3 - q1), 7) AS iqr_lower, round(q3 + 3 * (q3 - q1), 7) AS iqr_upper "
     "FROM v JOIN s USING (feature) GROUP BY feature, n, q1, q3"))
 def outliers_z_iqr(spark, folder):
     out = quality.outliers(loan_tape(spark, folder, NUMERIC_COLUMNS), NUMERIC_COLUMNS)
-    return rounded(out, z_rate=6, iqr_rate=6, iqr_lower=3, iqr_upper=3)
+    return rounded(out, z_rate=6, iqr_rate=6, iqr_lower=7, iqr_upper=7)
 
 
 @register("outliers_iqr_15", with_tape(

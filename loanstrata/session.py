@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LOOKUP_ROWS = 100_000
+PINNED: list[str] = []
 
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -27,17 +29,35 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession
     )
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by `spark.checkpoint.dir`; a private one only where that is unset, as in local tests."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="loanstrata-"))
+    return context.getCheckpointDir()
+
+
 def pin(df: DataFrame) -> DataFrame:
-    """Writes a frame that several later jobs read to the cluster's checkpoint folder.
+    """Writes a frame that several later jobs read, and returns the written table.
 
-    The folder is the one named by `spark.checkpoint.dir`; a private one is made only where that is unset,
-    which is the case in local tests.
+    Parquet in the shared folder survives the loss of executors, cuts the lineage, and lets each later job read only
+    the columns it needs.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="loanstrata-"))
-    return df.checkpoint()
+    path = f"{shared_folder(df.sparkSession)}/pinned-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    PINNED.append(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release_pins(spark: SparkSession) -> int:
+    """Deletes the tables written by `pin`; call it when no frame built on them is needed any more."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    removed = 0
+    while PINNED:
+        path = jvm.org.apache.hadoop.fs.Path(PINNED.pop())
+        removed += bool(path.getFileSystem(conf).delete(path, True))
+    return removed
 
 
 def small_table(df: DataFrame, max_rows: int = LOOKUP_ROWS) -> DataFrame | None:

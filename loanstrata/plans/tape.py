@@ -54,6 +54,7 @@ NUMERIC_COLUMNS = [
     "total_rev_hi_lim", "open_acc", "total_acc",
 ]
 TRAIN_LAST_YEAR, TEST_FIRST_YEAR = 1998, 2000
+SCORE_MODELS = ["uniform", "tied", "second", "informed", "sharp"]
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -108,22 +109,26 @@ def resolved_loans(spark: SparkSession, folder: str, columns: list[str]) -> Data
     return with_split(flagged)
 
 
-def deterministic_scores(loans: DataFrame) -> DataFrame:
-    """Long `(id, split, model, label, score)` for metric checks that need no training.
-
-    One pass over the loans; each yields one row per model.
-    """
+def with_scores(loans: DataFrame) -> DataFrame:
+    """One score column per model of `SCORE_MODELS`, computed from the key and the label."""
     key, label = F.col("id"), F.col("default_flag")
     spread = lambda step: ((key * step) % 1000 + 0.5) / 1000
-    models = {
+    return loans.withColumns({
         "uniform": spread(37),
         "tied": (key * 37) % 20 / F.lit(20.0),
         "second": spread(61),
         "informed": 0.2 + 0.3 * label + 0.4 * spread(17),
         "sharp": 0.1 + 0.5 * label + 0.35 * spread(29),
-    }
+    })
+
+
+def deterministic_scores(loans: DataFrame) -> DataFrame:
+    """Long `(id, split, model, label, score)` for metric checks that need no training.
+
+    One pass over the loans; each yields one row per model.
+    """
     rows = F.array(*[
-        F.struct(F.lit(name).alias("model"), score.cast("double").alias("score")) for name, score in models.items()
+        F.struct(F.lit(name).alias("model"), F.col(name).cast("double").alias("score")) for name in SCORE_MODELS
     ])
-    return loans.select("id", "split", label.alias("label"), F.explode(rows).alias("m")).select(
-        "id", "split", "m.model", "label", "m.score")
+    scored = with_scores(loans).select("id", "split", F.col("default_flag").alias("label"), F.explode(rows).alias("m"))
+    return scored.select("id", "split", "m.model", "label", "m.score")

@@ -1,0 +1,169 @@
+"""Training queries. They have no SQL counterpart; parameters are reduced only in the number of trees and draws."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from loanstrata.functions.text import percent_number
+from loanstrata.operators import candidates, clean, models, robustness
+from loanstrata.plans.tape import resolved_loans
+from loanstrata.registered import register
+from loanstrata.registered.profiling import TARGET_INPUTS, rounded
+from loanstrata.registered.sql import with_tape
+from loanstrata.session import pin
+
+FEATURES = ["loan_amnt", "annual_inc", "dti", "int_rate", "revol_bal", "open_acc", "signal"]
+
+
+def fast(pool, trees: int = 8, leaf: int = 20):
+    """The pool with fewer trees and smaller leaves, for small test tables."""
+    out = []
+    for c in pool:
+        changes = {}
+        if "n_estimators" in c.params:
+            changes["n_estimators"] = trees
+        if "min_samples_leaf" in c.params:
+            changes["min_samples_leaf"] = leaf
+        out.append(c.with_params(**changes) if changes else c)
+    return out
+
+
+def loans(spark, folder):
+    """Resolved loans with a planted signal, complete features and the month of issue as a number."""
+    rows = resolved_loans(spark, folder, ["loan_amnt", "annual_inc", "dti", "int_rate", "revol_bal", "open_acc", "issue_ts"])
+    k = F.col("id")
+    typed = rows.withColumns({
+        "int_rate": percent_number(F.col("int_rate")),
+        "signal": F.col("default_flag") * 0.35 + (k * 37) % 1000 / 1000,
+        "issued": F.unix_timestamp(F.col("issue_ts").cast("timestamp")).cast("double"),
+    })
+    ready = pin(typed.select("id", "split", "default_flag", "issued", *FEATURES))
+    gaps = ["annual_inc", "dti", "revol_bal", "open_acc"]
+    return clean.fill_numeric(ready, gaps, fit_on=ready.where("split = 'train'"))
+
+
+def frame(rows):
+    return models.model_frame(rows, FEATURES, "default_flag", keep=["issued"], balanced=True)
+
+
+@register("logit_coefficients")
+def logit_coefficients(spark, folder):
+    found = models.coefficient_table(loans(spark, folder).where("split = 'train'"), FEATURES, "default_flag", "logit")
+    return models.sign_check(found.table, {f: 1 for f in FEATURES})
+
+
+@register("ols_coefficients")
+def ols_coefficients(spark, folder):
+    return models.coefficient_table(loans(spark, folder).where("split = 'train'"), FEATURES[:-1], "signal", "ols").table
+
+
+@register("ols_slope", with_tape(
+    "SELECT round(regr_slope(revol_bal, tot_cur_bal), 6) AS slope, round(regr_intercept(revol_bal, tot_cur_bal), 2) AS intercept, "
+    "count(*) AS n FROM resolved WHERE revol_bal IS NOT NULL AND tot_cur_bal IS NOT NULL"))
+def ols_slope(spark, folder):
+    rows = resolved_loans(spark, folder, ["revol_bal", "tot_cur_bal"])
+    found = models.coefficient_table(rows, ["tot_cur_bal"], "revol_bal", "ols")
+    at = lambda v: F.max(F.when(F.col("variable") == v, F.col("coefficient")))
+    n = found.summary.where("statistic = 'n_observations'").select(F.col("value").cast("bigint").alias("n"), F.lit(1).alias("_k"))
+    one = found.table.agg(at("tot_cur_bal").alias("slope"), at("const").alias("intercept"), F.lit(1).alias("_k"))
+    return rounded(one.join(n, "_k").drop("_k"), slope=6, intercept=2)
+
+
+@register("pd_tournament")
+def pd_tournament(spark, folder):
+    pool = fast([c for c in candidates.PD_CANDIDATES if c.name in (
+        "Logistic Regression L2", "Decision Tree", "Random Forest", "Gradient Boosting (GBM)", "Logit statsmodels", "AdaBoost")])
+    out = models.pd_tournament(frame(loans(spark, folder)), pool, models.Settings(top_k=2, rounds=2, draws=0))
+    return out.leaderboard.select("rank", "model", "status", "auc", "ks", "brier", "psi", "overfit_gap", "rubric_score")
+
+
+@register("random_search")
+def random_search(spark, folder):
+    built = frame(loans(spark, folder))
+    settings = models.Settings(folds=2, draws=2)
+    folded = models.time_folds(built, "issued", settings.folds)
+    candidate = candidates.PD_CANDIDATES[0].with_params(max_iter=20)
+    best = models.search(built, folded, candidate, FEATURES, candidates.draw_params(candidate, settings.draws, 42), settings)
+    fitted = models.fit(built, best)
+    return models.classification_entries(built, [fitted], calibrated=False).select("model", "auc", "overfit_gap")
+
+
+@register("lgd_two_stage")
+def lgd_two_stage(spark, folder):
+    rows = resolved_loans(spark, folder, [*TARGET_INPUTS, "loan_amnt", "annual_inc", "dti", "revol_bal"])
+    rows = clean.fill_numeric(rows, ["annual_inc", "dti", "revol_bal"], fit_on=rows.where("split = 'train'"))
+    # A loss below one half counts as none, so that both classes occur in the tape.
+    losses = clean.loss_stage_targets(clean.with_targets(rows)).withColumn(
+        "lgd", F.when(F.col("lgd") < 0.5, 0.0).otherwise(F.col("lgd"))).withColumn("any_loss", (F.col("lgd") > 0).cast("int"))
+    out = models.lgd_two_stage(losses, ["loan_amnt", "annual_inc", "dti", "revol_bal"], fast(candidates.LGD_STAGE1[:2]),
+                               fast(candidates.LGD_STAGE2[:2]))
+    return out.predictions.select("id", "split", "actual", "p_any_loss", "severity", "predicted")
+
+
+@register("ead_tournament")
+def ead_tournament(spark, folder):
+    rows = resolved_loans(spark, folder, [*TARGET_INPUTS, "loan_amnt", "revol_bal", "open_acc", "total_acc"])
+    rows = clean.with_targets(rows).where("ead IS NOT NULL")
+    built = models.model_frame(rows, ["loan_amnt", "revol_bal", "open_acc", "total_acc"], "ead")
+    pool = fast([c for c in candidates.EAD_CANDIDATES if c.name not in ("XGBoostRegressor", "LightGBMRegressor")])
+    out = models.regression_tournament(built, pool, 0.0, None)
+    return out.entries.select("model", "status", "train_rmse", "val_rmse", "val_mae", "val_r2", "test_rmse", "overfit_gap")
+
+
+def _fitted(spark, folder):
+    rows = loans(spark, folder)
+    built = frame(rows)
+    fitted = models.fit(built, candidates.PD_CANDIDATES[0].with_params(max_iter=50))
+    return built, fitted, rows.where("split = 'test'").withColumn("label", F.col("default_flag"))
+
+
+@register("feature_shocks")
+def feature_shocks(spark, folder):
+    return robustness.feature_shocks(*_fitted(spark, folder))
+
+
+@register("noise_volatility")
+def noise_volatility(spark, folder):
+    return robustness.noise_volatility(*_fitted(spark, folder))
+
+
+@register("partial_dependence")
+def partial_dependence(spark, folder):
+    return robustness.partial_dependence(*_fitted(spark, folder))
+
+
+@register("dependence_trend")
+def dependence_trend(spark, folder):
+    return robustness.dependence_trend(robustness.partial_dependence(*_fitted(spark, folder)))
+
+
+@register("permutation_importance")
+def permutation_importance(spark, folder):
+    return robustness.permutation_importance(*_fitted(spark, folder))
+
+
+@register("feature_dropout")
+def feature_dropout(spark, folder):
+    return robustness.feature_dropout(frame(loans(spark, folder)), candidates.PD_CANDIDATES[0].with_params(max_iter=50))
+
+
+@register("importance_stability")
+def importance_stability(spark, folder):
+    return robustness.importance_stability(frame(loans(spark, folder)), candidates.PD_CANDIDATES[0].with_params(max_iter=50))
+
+
+@register("smote")
+def smote(spark, folder):
+    rows = resolved_loans(spark, folder, ["loan_amnt", "open_acc"]).where("open_acc IS NOT NULL")
+    rare = rows.withColumn("rare", ((F.col("id") % 29 == 0) & (F.col("default_flag") == 1)).cast("int"))
+    return robustness.smote(rare, ["loan_amnt", "open_acc"], "rare", enabled=True)
+
+
+@register("additive_contributions", with_tape(
+    ", m AS (SELECT avg(loan_amnt) AS a, avg(dti) AS d FROM resolved WHERE split = 'train') SELECT id, "
+    "round((loan_amnt - a) * 0.75, 4) AS loan_amnt_contribution, round((dti - d) * 0.25, 4) AS dti_contribution, "
+    "round((coalesce((loan_amnt - a) * 0.75, 0) + coalesce((dti - d) * 0.25, 0)) / 1.0, 4) AS total_contribution FROM resolved, m"))
+def additive_contributions(spark, folder):
+    rows = resolved_loans(spark, folder, ["loan_amnt", "dti"])
+    out = robustness.additive_contributions(rows, {"loan_amnt": 0.75, "dti": 0.25}, rows.where("split = 'train'"))
+    return rounded(out, loan_amnt_contribution=4, dti_contribution=4, total_contribution=4)

@@ -7,7 +7,7 @@ import sys
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,6 +15,24 @@ from pyspark.sql import types as T
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
+class Moments(dict):
+    """Moments per column, with the number of rows of the frame in `rows`."""
+    rows: int = 0
+
+
+def moments(df: DataFrame, columns: list[str]) -> Moments:
+    """Count, mean, spread and range per column, one pass, read to the driver."""
+    row = df.agg(F.count(F.lit(1)).alias("_rows"), *[
+        f.alias(f"{n}_{c}") for c in columns for n, f in (
+            ("n", F.count(F.col(c))), ("mean", F.avg(F.col(c).cast("double"))),
+            ("std_pop", F.stddev_pop(F.col(c).cast("double"))), ("std", F.stddev_samp(F.col(c).cast("double"))),
+            ("min", F.min(F.col(c).cast("double"))), ("max", F.max(F.col(c).cast("double"))))
+    ]).collect()[0]
+    found = Moments({c: {n: row[f"{n}_{c}"] for n in ("n", "mean", "std_pop", "std", "min", "max")} for c in columns})
+    found.rows = row["_rows"]
+    return found
+
+
 def chi2_tail_even(x: Column, df: int) -> Column:
     """P(X > x) for a chi-square with an even number of degrees of freedom: a finite sum."""
     half = x / 2

@@ -8,14 +8,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Observation, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loanstrata.functions.ordered import quantile_values, quantiles
 from loanstrata.functions.text import clip, employment_years, issue_date, percent_number, term_months
 from loanstrata.operators.profile import numeric_columns, string_columns, struct_rows, value_counts
-from loanstrata.operators.quality import moments
+from loanstrata.functions.stats import moments
 from loanstrata.session import join_lookup, pin, small_table
 
 # Columns known only after origination, prefixes of such columns, columns without model value.
@@ -260,9 +260,7 @@ class Cleaned:
 
 def clean_tape(tape: DataFrame, key: str = "id", fit_scope: str = "all", train_last_year: int = 2015) -> Cleaned:
     """All six steps. `fit_scope='train'` learns medians, bounds and rates from the training vintages only."""
-    counted = Observation("initial")
-    watched = tape.observe(counted, F.count(F.lit(1)).alias("rows"))
-    targets = with_targets(with_default_flag(resolved_only(watched)))
+    targets = with_targets(with_default_flag(resolved_only(tape)))
     dated = targets.withColumn("issue_d", issue_date(F.col("issue_d"))).withColumn("issue_year", F.year("issue_d"))
     target_columns = [key, "default_flag", "issue_year", "issue_d", "lgd", "ead", "ccf"]
     base, leakage = split_leakage(resolved_only(tape), key)

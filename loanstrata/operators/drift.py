@@ -14,7 +14,7 @@ from loanstrata.functions.ordered import TASK_ROWS, long_values, quantile_values
 from loanstrata.operators.features import bin_number
 from loanstrata.operators.metrics import discrimination
 from loanstrata.operators.profile import struct_rows
-from loanstrata.operators.quality import moments
+from loanstrata.functions.stats import moments
 
 
 @dataclass(frozen=True)

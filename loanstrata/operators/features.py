@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from loanstrata.functions.ordered import quantile_values
 from loanstrata.functions.text import finite
 from loanstrata.operators.profile import struct_rows
-from loanstrata.operators.quality import moments
+from loanstrata.functions.stats import moments
 from loanstrata.session import pin
 
 # Information-value bands and the share that stands in for an empty class.

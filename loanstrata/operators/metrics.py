@@ -30,21 +30,23 @@ TRAFFIC_LIMITS = {
 }
 
 
-def score_curve(scores: DataFrame, keys: list[str] | None = None, task_rows: int = TASK_ROWS) -> DataFrame:
+def score_curve(scores: DataFrame, keys: list[str] | None = None, task_rows: int = TASK_ROWS,
+                rows: int | None = None) -> DataFrame:
     """Positives and negatives at and below every distinct score."""
     keys = KEYS if keys is None else keys
     known = scores.where(F.col("score").isNotNull() & F.col("label").isNotNull())
     return value_totals(known, keys, "score", {
-        "pos": F.sum(F.col("label").cast("long")), "neg": F.sum(1 - F.col("label").cast("long"))}, task_rows)
+        "pos": F.sum(F.col("label").cast("long")), "neg": F.sum(1 - F.col("label").cast("long"))}, task_rows, rows)
 
 
-def discrimination(scores: DataFrame, keys: list[str] | None = None, task_rows: int = TASK_ROWS) -> DataFrame:
+def discrimination(scores: DataFrame, keys: list[str] | None = None, task_rows: int = TASK_ROWS,
+                   rows: int | None = None) -> DataFrame:
     """AUC with ties counted half, Gini, and the Kolmogorov-Smirnov distance with its asymptotic p-value.
 
     A group with one class only gets AUC 0.5 and KS 0.
     """
     keys = KEYS if keys is None else keys
-    curve = score_curve(scores, keys, task_rows)
+    curve = score_curve(scores, keys, task_rows, rows)
     wins = F.col("pos") * (F.col("neg_before") + F.col("neg") / 2)
     gap = F.abs(F.try_divide(F.col("pos_before") + F.col("pos"), F.col("pos_all"))
                 - F.try_divide(F.col("neg_before") + F.col("neg"), F.col("neg_all")))
@@ -77,20 +79,20 @@ def classification_counts(scores: DataFrame, keys: list[str] | None = None, cut:
 
 
 def calibration_table(scores: DataFrame, keys: list[str] | None = None, groups: int = 10, tie: str = "id",
-                      task_rows: int = TASK_ROWS) -> DataFrame:
+                      task_rows: int = TASK_ROWS, rows: int | None = None) -> DataFrame:
     """Observed and expected events per equal-count score group; also the points of a calibration curve."""
     keys = KEYS if keys is None else keys
-    return ranked_groups(scores, keys, "score", tie, groups, task_rows).groupBy(*keys, "bucket").agg(
+    return ranked_groups(scores, keys, "score", tie, groups, task_rows, rows).groupBy(*keys, "bucket").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col("label").cast("long")).alias("observed"),
         F.sum("score").alias("expected"), F.avg("score").alias("mean_score"),
         F.avg(F.col("label").cast("double")).alias("observed_rate"))
 
 
 def hosmer_lemeshow(scores: DataFrame, keys: list[str] | None = None, groups: int = 10, tie: str = "id",
-                    task_rows: int = TASK_ROWS) -> DataFrame:
+                    task_rows: int = TASK_ROWS, rows: int | None = None) -> DataFrame:
     """Chi-square of observed against expected events over the score groups, with groups - 2 degrees of freedom."""
     keys = KEYS if keys is None else keys
-    table = calibration_table(scores, keys, groups, tie, task_rows)
+    table = calibration_table(scores, keys, groups, tie, task_rows, rows)
     diff = (F.col("observed") - F.col("expected")) * (F.col("observed") - F.col("expected"))
     rest = F.col("n") - F.col("expected")
     term = F.when(F.col("expected") > 0, diff / F.col("expected")).otherwise(0.0) + F.when(
@@ -102,9 +104,10 @@ def hosmer_lemeshow(scores: DataFrame, keys: list[str] | None = None, groups: in
 def classification_report(scores: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """All classification metrics, one row per group."""
     keys = KEYS if keys is None else keys
+    rows = scores.count()
     # Three aggregates of one row per group each: the joins move a handful of rows.
-    return discrimination(scores, keys).join(classification_counts(scores, keys), keys).join(
-        hosmer_lemeshow(scores, keys), keys)
+    return discrimination(scores, keys, rows=rows).join(classification_counts(scores, keys), keys).join(
+        hosmer_lemeshow(scores, keys, rows=rows), keys)
 
 
 def light(metric: str, value: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loanstrata.functions.ordered import quantiles
-from loanstrata.functions.stats import student_p
+from loanstrata.functions.stats import moments, student_p
 from loanstrata.functions.text import issue_date
 
 # Numeric columns reported first when present, and categorical columns whose shares are shown.
@@ -145,21 +145,15 @@ def column_overview(df: DataFrame, columns: list[str] | None = None, approximate
 def numeric_summary(df: DataFrame, columns: list[str], probs: list[float] | None = None) -> DataFrame:
     """Moments and exact quantiles per column: one pass for moments, one job for all quantiles."""
     probs = probs or [0.01, 0.25, 0.5, 0.75, 0.99]
-    value = lambda c: F.col(c).cast("double")
-    one = df.agg(*[
-        f.alias(f"{n}_{c}") for c in columns for n, f in (
-            ("n", F.count(F.col(c))), ("mean", F.avg(value(c))), ("std", F.stddev_samp(value(c))),
-            ("min", F.min(value(c))), ("max", F.max(value(c))))
-    ])
-    moments = struct_rows(one, [], [
-        F.struct(F.lit(c).alias("feature"), *[F.col(f"{n}_{c}").alias(n) for n in ("n", "mean", "std", "min", "max")])
-        for c in columns
-    ])
-    spread = quantiles(df, columns, probs).select("feature", *[
+    stats = moments(df, columns)
+    base = df.sparkSession.createDataFrame(
+        [(c, *[stats[c][n] for n in ("n", "mean", "std", "min", "max")]) for c in columns],
+        "feature string, n long, mean double, std double, min double, max double")
+    spread = quantiles(df, columns, probs, rows=stats.rows).select("feature", *[
         F.col("q")[i].alias(f"p{round(p * 100):02d}") for i, p in enumerate(probs)
     ])
     # Both sides have one row per column of the schema.
-    return moments.join(F.broadcast(spread), "feature", "left")
+    return base.join(F.broadcast(spread), "feature", "left")
 
 
 def missing_patterns(df: DataFrame, columns: list[str], top: int = 20) -> DataFrame:

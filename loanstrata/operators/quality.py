@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loanstrata.functions.ordered import quantile_values
+from loanstrata.functions.stats import moments
 from loanstrata.functions.text import issue_year
 from loanstrata.operators.profile import CORE_CATEGORICAL, struct_rows, top_values, value_counts
 
@@ -19,7 +20,6 @@ RANGE_RULES = {
     "ead": (0, 100_000),
     "lgd": (0, 1),
 }
-SCORECARD_SCHEMA = "test_id string, test_name string, status string, value double, threshold double, evidence string"
 
 
 def baseline_scan(df: DataFrame, key: str, categories: list[str] | None = None, top: int = 20) -> DataFrame:
@@ -36,16 +36,6 @@ def baseline_scan(df: DataFrame, key: str, categories: list[str] | None = None,
         F.col("column").alias("section"), F.coalesce("value", F.lit("")).alias("item"), "n"))
 
 
-def moments(df: DataFrame, columns: list[str]) -> dict[str, dict[str, float]]:
-    """Count, mean and population spread per column, one pass, read to the driver."""
-    row = df.agg(*[
-        f.alias(f"{n}_{c}") for c in columns for n, f in (
-            ("n", F.count(F.col(c))), ("mean", F.avg(F.col(c).cast("double"))),
-            ("std_pop", F.stddev_pop(F.col(c).cast("double"))), ("std", F.stddev_samp(F.col(c).cast("double"))))
-    ]).collect()[0]
-    return {c: {n: row[f"{n}_{c}"] for n in ("n", "mean", "std_pop", "std")} for c in columns}
-
-
 def _outside(column: str, low: float, high: float):
     v = F.col(column).cast("double")
     return (v < low) | (v > high)
@@ -53,7 +43,8 @@ def _outside(column: str, low: float, high: float):
 
 def outliers(df: DataFrame, columns: list[str], z_limit: float = 4.0, fence: float = 3.0) -> DataFrame:
     """Counts beyond `z_limit` population deviations and beyond the outer Tukey fences, all columns in one pass."""
-    stats, q = moments(df, columns), quantile_values(df, columns, [0.25, 0.75])
+    stats = moments(df, columns)
+    q = quantile_values(df, columns, [0.25, 0.75], rows=stats.rows)
     columns = [c for c in columns if c in q]
     aggs, rows = [], []
     for c in columns:

@@ -18,7 +18,7 @@ from loanstrata.operators import metrics, models
 from loanstrata.operators.candidates import Candidate
 from loanstrata.operators.models import Fitted, ModelFrame
 from loanstrata.operators.profile import struct_rows
-from loanstrata.operators.quality import moments
+from loanstrata.functions.stats import moments
 from loanstrata.session import pin
 
 # Fixed values: (scenario, {feature: (added, factor)}).

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loanstrata.operators import drift
+from loanstrata.operators import drift, scorecard
 from loanstrata.plans.tape import resolved_loans, table
 from loanstrata.registered import register
 from loanstrata.registered.profiling import rounded
@@ -144,3 +144,37 @@ def psi_events(spark, folder):
         .alias("split"))
     edges = drift.quantile_edges(rows.where("split = 'train'"), ["value"])
     return rounded(drift.psi(rows, "split", "train", "test", edges), psi=6)
+
+
+_NUM, _TXT = DRIFT, ["grade", "purpose", "emp_length"]
+_AUC = (", fl AS (" + unpivot(DRIFT, "default_flag AS y", "resolved") + "), cu AS (SELECT feature, value, sum(y) AS pos, sum(1 - y) AS neg "
+        "FROM fl GROUP BY 1, 2), ru AS (SELECT *, sum(neg) OVER (PARTITION BY feature ORDER BY value) - neg AS nb FROM cu), au AS ("
+        "SELECT feature, greatest(a, 1 - a) AS auc FROM (SELECT feature, sum(pos * (nb + neg / 2)) / (sum(pos) * sum(neg)) AS a FROM ru "
+        "GROUP BY 1)) ")
+_SHARES = (", cells AS (" + " UNION ALL ".join(f"SELECT '{c}' AS c, CAST({c} AS VARCHAR) AS value FROM resolved" for c in _NUM + _TXT)
+           + "), cc AS (SELECT c, value, count(*) AS n FROM cells GROUP BY 1, 2), ov AS (SELECT c, sum(n) FILTER (value IS NULL) / sum(n) "
+           "AS null_rate, count(value) AS u, max(n) FILTER (value IS NOT NULL) / sum(n) FILTER (value IS NOT NULL) AS top FROM cc GROUP BY 1) ")
+_OUT = (", ost AS (SELECT feature, avg(value) AS m, stddev_pop(value) AS sd, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 "
+        "FROM v GROUP BY 1), ou AS (SELECT feature, count(*) FILTER (abs(value - m) / sd > 4 OR value < q1 - 3 * (q3 - q1) OR value > "
+        "q3 + 3 * (q3 - q1)) AS n FROM v JOIN ost USING (feature) GROUP BY 1) ")
+_PSI = ", psis AS (" + _psi_sql("test", LEFT_CLOSED, REPLACE, total="c").lstrip(", ").replace("c AS (", "SELECT * FROM (WITH c AS (", 1) + ")) "
+
+
+@register("dq_scorecard", with_tape(EDGES + _AUC + _SHARES + _OUT + _PSI +
+    ", r AS (SELECT greatest(" + ", ".join(
+        f"abs(corr({a}, {b}))" for i, a in enumerate(DRIFT) for b in DRIFT[i + 1:]) + ") AS r FROM resolved), x AS ("
+    "SELECT 'DQ-01' AS test_id, max(null_rate) AS value, CASE WHEN max(null_rate) > 0.05 THEN 'FAIL' ELSE 'PASS' END AS status FROM ov "
+    "UNION ALL SELECT 'DQ-02', least(avg(default_flag), 1 - avg(default_flag)), CASE WHEN least(avg(default_flag), 1 - avg(default_flag)) < 0.05 "
+    "THEN 'FAIL' ELSE 'PASS' END FROM resolved UNION ALL SELECT 'DQ-03', max(u), CASE WHEN max(u) > 50 THEN 'FAIL' ELSE 'PASS' END FROM ov "
+    "WHERE c IN ('grade', 'purpose', 'emp_length') UNION ALL SELECT 'DQ-04', max(top), CASE WHEN max(top) > 0.95 THEN 'FAIL' ELSE 'PASS' END FROM ov "
+    "UNION ALL SELECT 'DQ-06', max(auc), CASE WHEN max(auc) > 0.95 THEN 'FAIL' ELSE 'PASS' END FROM au UNION ALL SELECT 'DQ-07', max(psi), "
+    "CASE WHEN max(psi) > 0.25 THEN 'FAIL' WHEN max(psi) >= 0.1 THEN 'WARN' ELSE 'PASS' END FROM psis UNION ALL SELECT 'DQ-08', "
+    "count(*) FILTER (n > 0), CASE WHEN count(*) FILTER (n > 0) > 0 THEN 'WARN' ELSE 'PASS' END FROM ou UNION ALL SELECT 'DQ-09', "
+    "count(*) FILTER (2 * auc - 1 < 0.02 OR 2 * auc - 1 > 0.5), CASE WHEN count(*) FILTER (2 * auc - 1 < 0.02 OR 2 * auc - 1 > 0.5) > 0 THEN "
+    "'WARN' ELSE 'PASS' END FROM au UNION ALL SELECT 'DQ-10', max(s), CASE WHEN max(s) > 0.9 THEN 'FAIL' ELSE 'PASS' END FROM ("
+    + " UNION ALL ".join(f"SELECT avg(CASE WHEN TRY_CAST({c} AS DOUBLE) IS NOT NULL THEN 1 ELSE 0 END) FILTER ({c} IS NOT NULL) AS s FROM resolved"
+                         for c in _TXT) + ") UNION ALL SELECT 'DQ-05', r, CASE WHEN r > 0.85 THEN 'FAIL' ELSE 'PASS' END FROM r) "
+    "SELECT test_id, status, round(value, 6) AS value FROM x"))
+def dq_scorecard(spark, folder):
+    rows = resolved_loans(spark, folder, [*_NUM, *_TXT]).select("id", "split", "default_flag", *_NUM, *_TXT)
+    return rounded(scorecard.dq_scorecard(rows, use_vif=False).select("test_id", "status", "value"), value=6)

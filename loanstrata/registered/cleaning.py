@@ -9,6 +9,7 @@ from loanstrata.plans.tape import NUMERIC_COLUMNS, loan_tape, resolved_loans
 from loanstrata.registered import register
 from loanstrata.registered.profiling import TARGET_INPUTS, TARGETS_SQL, rounded
 from loanstrata.registered.sql import unpivot, with_tape
+from loanstrata.session import pin
 
 CAPPED = ["annual_inc", "revol_bal", "loan_amnt", "dti", "open_acc"]
 
@@ -29,7 +30,7 @@ def type_coercion(spark, folder):
     "round(coalesce(annual_inc, a), 6) AS annual_inc, round(coalesce(dti, d), 6) AS dti, "
     "round(coalesce(revol_bal, r), 6) AS revol_bal FROM resolved JOIN m USING (grade)"))
 def impute_grade_median(spark, folder):
-    loans = resolved_loans(spark, folder, ["grade", "annual_inc", "dti", "revol_bal"])
+    loans = pin(resolved_loans(spark, folder, ["grade", "annual_inc", "dti", "revol_bal"]))
     filled = clean.fill_numeric_by_group(loans, ["annual_inc", "dti", "revol_bal"], "grade")
     return rounded(filled.select("id", "annual_inc", "dti", "revol_bal"), annual_inc=6, dti=6, revol_bal=6)
 
@@ -38,7 +39,7 @@ def impute_grade_median(spark, folder):
     ", m AS (SELECT quantile_cont(annual_inc, 0.5) AS a, quantile_cont(dti, 0.5) AS d FROM resolved WHERE split = 'train') "
     "SELECT id, round(coalesce(annual_inc, a), 6) AS annual_inc, round(coalesce(dti, d), 6) AS dti FROM resolved, m"))
 def impute_median(spark, folder):
-    loans = resolved_loans(spark, folder, ["annual_inc", "dti"])
+    loans = pin(resolved_loans(spark, folder, ["annual_inc", "dti"]))
     filled = clean.fill_numeric(loans, ["annual_inc", "dti"], fit_on=loans.where("split = 'train'"))
     return rounded(filled.select("id", "annual_inc", "dti"), annual_inc=6, dti=6)
 
@@ -64,7 +65,7 @@ def _caps(low: str, high: str) -> str:
 
 
 def _capped(spark, folder, rule):
-    loans = resolved_loans(spark, folder, CAPPED)
+    loans = pin(resolved_loans(spark, folder, CAPPED))
     out = clean.apply_caps(loans, clean.fit_caps(loans, CAPPED, rule)).select("id", *CAPPED)
     return rounded(out, **{c: 6 for c in CAPPED})
 
@@ -105,7 +106,7 @@ def winsorize_fixed(spark, folder):
     "count(*) FILTER (value < lo OR value > hi) AS clipped, round(count(*) FILTER (value < lo OR value > hi) * 100.0 / "
     "(SELECT count(*) FROM resolved), 5) AS clip_pct FROM v JOIN b USING (feature) GROUP BY feature, lo, hi"))
 def winsorize_report(spark, folder):
-    loans = resolved_loans(spark, folder, CAPPED)
+    loans = pin(resolved_loans(spark, folder, CAPPED))
     return rounded(clean.cap_report(loans, clean.fit_caps(loans, CAPPED)), lower=7, upper=7, clip_pct=5)
 
 
@@ -113,7 +114,7 @@ def winsorize_report(spark, folder):
     "SELECT CAST(0 AS BIGINT) AS unmatched_rows, CAST(0 AS BIGINT) AS in_range_changed, CAST(0 AS BIGINT) AS out_of_bounds "
     "FROM (SELECT count(*) FROM resolved)"))
 def winsorize_check(spark, folder):
-    loans = resolved_loans(spark, folder, CAPPED)
+    loans = pin(resolved_loans(spark, folder, CAPPED))
     bounds = clean.fit_caps(loans, CAPPED)
     return clean.cap_check(loans, clean.apply_caps(loans, bounds), bounds)
 
@@ -190,7 +191,7 @@ def vintage_split(spark, folder):
     + " FROM resolved WHERE split = 'train') SELECT id, "
     + ", ".join(f"round(coalesce({c}, m_{c}), 6) AS {c}" for c in NUMERIC_COLUMNS) + " FROM resolved, m"))
 def numeric_only(spark, folder):
-    loans = resolved_loans(spark, folder, NUMERIC_COLUMNS)
+    loans = pin(resolved_loans(spark, folder, NUMERIC_COLUMNS))
     keep = ["id", "default_flag", "issue_year"]
     out = clean.numeric_only(loans, keep, fit_on=loans.where("split = 'train'"))
     return rounded(out.select("id", *NUMERIC_COLUMNS), **{c: 6 for c in NUMERIC_COLUMNS})

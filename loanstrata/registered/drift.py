@@ -9,6 +9,7 @@ from loanstrata.plans.tape import resolved_loans, table
 from loanstrata.registered import register
 from loanstrata.registered.profiling import rounded
 from loanstrata.registered.sql import unpivot, with_tape
+from loanstrata.session import pin
 
 DRIFT = ["loan_amnt", "annual_inc", "dti", "revol_bal", "open_acc"]
 VALUES = ", v AS (" + unpivot(DRIFT, "split", "resolved") + ") "
@@ -17,7 +18,7 @@ EDGES = VALUES + f", e AS (SELECT feature, quantile_cont(value, [{_PROBS}]) AS q
 
 
 def loans(spark, folder):
-    return resolved_loans(spark, folder, DRIFT)
+    return pin(resolved_loans(spark, folder, DRIFT))
 
 
 def _psi_sql(other: str, place: str, share: str, where: str = "true", total: str = "n") -> str:

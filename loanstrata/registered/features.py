@@ -9,6 +9,7 @@ from loanstrata.plans.tape import NUMERIC_COLUMNS, resolved_loans
 from loanstrata.registered import register
 from loanstrata.registered.profiling import rounded
 from loanstrata.registered.sql import unpivot, with_tape
+from loanstrata.session import pin
 
 RATIO_INPUTS = ["loan_amnt", "annual_inc", "installment", "revol_bal", "tot_cur_bal", "total_rev_hi_lim", "open_acc",
                 "total_acc"]
@@ -36,7 +37,7 @@ def ratio_features(spark, folder):
     "round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.99), 6) AS p99 FROM ("
     + unpivot(RATIO_NAMES, source="ratios") + ") GROUP BY feature"))
 def ratio_summary(spark, folder):
-    out = profile.numeric_summary(ratios(spark, folder), RATIO_NAMES, [0.01, 0.5, 0.99])
+    out = profile.numeric_summary(pin(ratios(spark, folder)), RATIO_NAMES, [0.01, 0.5, 0.99])
     return rounded(out, **{c: 6 for c in out.columns if c not in ("feature", "n")})
 
 
@@ -61,7 +62,7 @@ def _binned(bins: int) -> str:
     "SELECT feature, bin, n, round(count_pct, 6) AS count_pct, round(event_rate, 6) AS event_rate, round(woe, 6) AS woe, "
     "round(iv, 7) AS iv FROM woe"))
 def woe_iv_quantile(spark, folder):
-    loans = resolved_loans(spark, folder, WOE_FEATURES)
+    loans = pin(resolved_loans(spark, folder, WOE_FEATURES))
     counts = features.binned_events(loans, "default_flag", features.quantile_cuts(loans, WOE_FEATURES, 10))
     return rounded(features.woe_rows(counts), count_pct=6, event_rate=6, woe=6, iv=7)
 
@@ -71,21 +72,21 @@ def woe_iv_quantile(spark, folder):
     "THEN 'not useful' WHEN sum(iv) < 0.1 THEN 'weak' WHEN sum(iv) < 0.3 THEN 'medium' WHEN sum(iv) < 0.5 THEN 'strong' "
     "ELSE 'suspicious' END AS band FROM woe GROUP BY feature"))
 def quintile_iv(spark, folder):
-    loans = resolved_loans(spark, folder, WOE_FEATURES)
+    loans = pin(resolved_loans(spark, folder, WOE_FEATURES))
     counts = features.binned_events(loans, "default_flag", features.quantile_cuts(loans, WOE_FEATURES, 5))
     return rounded(features.information_values(counts), iv=7)
 
 
 @register("woe_monotone")
 def woe_monotone(spark, folder):
-    loans = resolved_loans(spark, folder, WOE_FEATURES)
+    loans = pin(resolved_loans(spark, folder, WOE_FEATURES))
     cuts = features.monotone_cuts(loans, WOE_FEATURES, "default_flag")
     return features.woe_rows(features.binned_events(loans, "default_flag", cuts))
 
 
 @register("woe_transform")
 def woe_transform(spark, folder):
-    loans = resolved_loans(spark, folder, WOE_FEATURES)
+    loans = pin(resolved_loans(spark, folder, WOE_FEATURES))
     cuts = features.monotone_cuts(loans.where("split = 'train'"), WOE_FEATURES, "default_flag")
     out = features.woe_transform(loans, "default_flag", cuts)
     return out.select("id", *[f"{c}_woe" for c in WOE_FEATURES])
@@ -138,7 +139,7 @@ def vif_two_centered(spark, folder):
 
 @register("vif_all")
 def vif_all(spark, folder):
-    return features.variance_inflation(resolved_loans(spark, folder, NUMERIC_COLUMNS), NUMERIC_COLUMNS)
+    return features.variance_inflation(pin(resolved_loans(spark, folder, NUMERIC_COLUMNS)), NUMERIC_COLUMNS)
 
 
 @register("select_features")
@@ -155,7 +156,7 @@ def select_features(spark, folder):
     + unpivot(["loan_amnt", "dti", "open_acc"], source="resolved") + ") GROUP BY feature"))
 def feature_matrix_stats(spark, folder):
     columns = ["loan_amnt", "dti", "open_acc"]
-    matrix = features.feature_matrix(resolved_loans(spark, folder, columns), columns)
+    matrix = features.feature_matrix(pin(resolved_loans(spark, folder, columns)), columns)
     stats = profile.numeric_summary(matrix, columns, [0.5]).drop("p50")
     kinds = profile.column_overview(matrix, columns).select(F.col("column").alias("feature"), "unique_count")
     return rounded(stats.join(kinds, "feature"), mean=4, std=4, min=4, max=4)

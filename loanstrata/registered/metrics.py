@@ -9,6 +9,7 @@ from loanstrata.plans.tape import deterministic_scores, resolved_loans
 from loanstrata.registered import register
 from loanstrata.registered.profiling import TARGET_INPUTS, TARGETS_SQL, rounded
 from loanstrata.registered.sql import unpivot, with_scores, with_tape
+from loanstrata.session import pin
 
 
 def scores(spark, folder):
@@ -118,7 +119,7 @@ PREDICTIONS = TARGETS_SQL + """, predictions AS (
 
 
 def predictions(spark, folder):
-    loans = clean.loss_stage_targets(clean.with_targets(resolved_loans(spark, folder, TARGET_INPUTS)))
+    loans = clean.loss_stage_targets(clean.with_targets(pin(resolved_loans(spark, folder, TARGET_INPUTS))))
     rows = F.array(
         F.struct(F.lit("flat").alias("model"), (0.5 + (F.col("id") * 37) % 1000 / 10000).alias("predicted")),
         F.struct(F.lit("half").alias("model"),
@@ -181,7 +182,7 @@ def train_val_gap(spark, folder):
     "round(avg(CASE WHEN ccf < 0 THEN 1 ELSE 0 END) * 100, 4) AS pct_negative, avg(ccf) BETWEEN 0 AND 1.2 AS reasonable "
     "FROM targets WHERE ccf IS NOT NULL"))
 def conversion_factor_check(spark, folder):
-    out = metrics.conversion_factor_check(clean.with_targets(resolved_loans(spark, folder, TARGET_INPUTS)))
+    out = metrics.conversion_factor_check(clean.with_targets(pin(resolved_loans(spark, folder, TARGET_INPUTS))))
     return rounded(out, mean_ccf=6, median_ccf=6, pct_above_one=4, pct_negative=4)
 
 
@@ -199,7 +200,7 @@ LEAK_FEATURES = ["loan_amnt", "annual_inc", "dti", "revol_bal", "open_acc", "tot
     "round(ks, 6) AS ks, CASE WHEN greatest(auc, 1 - auc) > 0.99 THEN 'flag' WHEN greatest(auc, 1 - auc) > 0.9 "
     "THEN 'warn' ELSE 'none' END AS leakage FROM a"))
 def leakage_scan(spark, folder):
-    loans = resolved_loans(spark, folder, LEAK_FEATURES)
+    loans = pin(resolved_loans(spark, folder, LEAK_FEATURES))
     return rounded(metrics.feature_auc(loans, LEAK_FEATURES, "default_flag"), auc=6, gini=6, ks=6)
 
 

@@ -9,6 +9,7 @@ from loanstrata.plans.tape import NUMERIC_COLUMNS, loan_tape, resolved_loans, ta
 from loanstrata.registered import register
 from loanstrata.registered.sql import unpivot, with_tape
 from loanstrata.sources import tables
+from loanstrata.session import pin
 
 NULLABLE = ["annual_inc", "dti", "emp_length", "purpose", "revol_bal", "total_acc"]
 TEXTS = ["loan_status", "grade", "purpose", "home_ownership"]
@@ -87,7 +88,7 @@ def profile_overview(spark, folder):
     "round(quantile_cont(value, 0.75), 7) AS p75, round(quantile_cont(value, 0.99), 7) AS p99 FROM ("
     + unpivot(NUMERIC_COLUMNS) + ") GROUP BY feature"))
 def profile_numeric(spark, folder):
-    summary = profile.numeric_summary(loan_tape(spark, folder, NUMERIC_COLUMNS), NUMERIC_COLUMNS)
+    summary = profile.numeric_summary(pin(loan_tape(spark, folder, NUMERIC_COLUMNS)), NUMERIC_COLUMNS)
     return rounded(summary, **digits(summary.columns))
 
 
@@ -212,7 +213,7 @@ TARGET_INPUTS = ["funded_amnt", "recoveries", "collection_recovery_fee", "out_pr
     "round(max(lgd), 6) AS severity_max, round(quantile_cont(lgd, 0.25) FILTER (lgd > 0), 6) AS severity_p25, "
     "round(quantile_cont(lgd, 0.75) FILTER (lgd > 0), 6) AS severity_p75 FROM targets WHERE default_flag = 1"))
 def loss_target_report(spark, folder):
-    loans = clean.with_targets(resolved_loans(spark, folder, TARGET_INPUTS)).where("default_flag = 1")
+    loans = clean.with_targets(pin(resolved_loans(spark, folder, TARGET_INPUTS))).where("default_flag = 1")
     out = profile.loss_target_report(loans)
     return rounded(out, **{c: 6 for c in out.columns if not c.startswith("n_")})
 
@@ -224,7 +225,7 @@ def loss_target_report(spark, folder):
     "round(quantile_cont(value, 0.75), 7) AS p75, round(quantile_cont(value, 0.95), 7) AS p95 FROM ("
     + unpivot(["ead", "ccf"], source="targets") + ") GROUP BY feature"))
 def exposure_target_report(spark, folder):
-    out = profile.exposure_target_report(clean.with_targets(resolved_loans(spark, folder, TARGET_INPUTS)))
+    out = profile.exposure_target_report(clean.with_targets(pin(resolved_loans(spark, folder, TARGET_INPUTS))))
     return rounded(out, **digits(out.columns))
 
 
@@ -249,7 +250,7 @@ def conversion_factor_shares(spark, folder):
     "round(q1 - 3 * (q3 - q1), 7) AS iqr_lower, round(q3 + 3 * (q3 - q1), 7) AS iqr_upper "
     "FROM v JOIN s USING (feature) GROUP BY feature, n, q1, q3"))
 def outliers_z_iqr(spark, folder):
-    out = quality.outliers(loan_tape(spark, folder, NUMERIC_COLUMNS), NUMERIC_COLUMNS)
+    out = quality.outliers(pin(loan_tape(spark, folder, NUMERIC_COLUMNS)), NUMERIC_COLUMNS)
     return rounded(out, z_rate=6, iqr_rate=6, iqr_lower=7, iqr_upper=7)
 
 
@@ -260,7 +261,7 @@ def outliers_z_iqr(spark, folder):
     "count(*) FILTER (value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1)) * 100.0 / n < 10 AS passed "
     "FROM v JOIN s USING (feature) GROUP BY feature, n"))
 def outliers_iqr_15(spark, folder):
-    return rounded(quality.iqr_screen(loan_tape(spark, folder, NUMERIC_COLUMNS), NUMERIC_COLUMNS), outlier_pct=6)
+    return rounded(quality.iqr_screen(pin(loan_tape(spark, folder, NUMERIC_COLUMNS)), NUMERIC_COLUMNS), outlier_pct=6)
 
 
 @register("outliers_percentile", with_tape(
@@ -268,7 +269,7 @@ def outliers_iqr_15(spark, folder):
     "quantile_cont(value, 0.99) AS hi FROM v GROUP BY 1) SELECT feature, count(*) FILTER (value < lo) AS below, "
     "count(*) FILTER (value > hi) AS above FROM v JOIN s USING (feature) GROUP BY feature"))
 def outliers_percentile(spark, folder):
-    return quality.percentile_outliers(loan_tape(spark, folder, NUMERIC_COLUMNS), NUMERIC_COLUMNS)
+    return quality.percentile_outliers(pin(loan_tape(spark, folder, NUMERIC_COLUMNS)), NUMERIC_COLUMNS)
 
 
 @register("completeness", with_tape(

@@ -11,6 +11,7 @@ from loanstrata.registered import register
 from loanstrata.registered.metrics import CURVE, DECILES, scores
 from loanstrata.registered.profiling import rounded
 from loanstrata.registered.sql import with_scores as scores_sql
+from loanstrata.session import small_table
 
 LIBRARY = {"uniform": "sklearn", "tied": "sklearn", "second": "xgboost", "informed": "statsmodels", "sharp": "lightgbm"}
 MODELS = list(LIBRARY)
@@ -247,7 +248,8 @@ def early_stopping(spark, folder):
 
 
 def _phases(spark, folder):
-    found = entries(spark, folder).select("model", F.col("auc").alias("score"), "ks", "accuracy")
+    made = entries(spark, folder).select("model", F.col("auc").alias("score"), "ks", "accuracy")
+    found = small_table(made) or made
     refined = found.where("score > 0.5").select(
         F.when(F.col("score") > 0.8, F.concat("model", F.lit("|full|iter1"))).otherwise(F.col("model")).alias("model"),
         (F.col("score") + 0.01).alias("score"), F.col("ks").alias("refined_ks"))

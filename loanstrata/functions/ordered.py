@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loanstrata.session import small_table
+from loanstrata.session import pin, small_table
 
 TASK_ROWS = 2_000_000
 MAX_PIECES = 4096
@@ -145,12 +145,24 @@ def quantile_values(df: DataFrame, columns: list[str], probs: list[float], task_
     return {r["feature"]: list(r["q"]) for r in quantiles(df, columns, probs, None, task_rows, rows).collect()}
 
 
-def array_split_group(rank: Column, n: Column, groups: int) -> Column:
-    """Group 1..groups of a 1-based rank when n rows are dealt like NTILE: the first n mod groups get one more."""
-    size, extra = F.floor(n / groups), n % groups
-    head = extra * (size + 1)
-    return F.when(rank <= head, F.floor((rank - 1) / (size + 1)) + 1).otherwise(
-        extra + F.floor((rank - head - 1) / F.greatest(size, F.lit(1))) + 1).cast("int")
+def rank_values(values: DataFrame, column: str, task_rows: int = TASK_ROWS) -> DataFrame:
+    """Adds `rank`, the 1-based position of every row by a column of distinct values of any sortable type.
+
+    Beyond one task, rows are range-partitioned and written, so that the partition of a row is fixed before its rank
+    within the partition and the sizes of the earlier partitions are added up.
+    """
+    rows = values.count()
+    if rows <= task_rows:
+        return values.withColumn("rank", F.row_number().over(Window.partitionBy().orderBy(column)))
+    pieces = min(MAX_PIECES, math.ceil(rows / task_rows))
+    placed = pin(values.repartitionByRange(pieces, column).withColumn("_piece", F.spark_partition_id()))
+    sizes = placed.groupBy("_piece").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy().orderBy("_piece").rowsBetween(
+        Window.unboundedPreceding, -1)), F.lit(0))
+    # One row per piece, at most MAX_PIECES.
+    offsets = F.broadcast(sizes.select("_piece", before.alias("_off")))
+    inside = F.row_number().over(Window.partitionBy("_piece").orderBy(column))
+    return placed.join(offsets, "_piece").withColumn("rank", F.col("_off") + inside).drop("_piece", "_off")
 
 
 def ranked_groups(df: DataFrame, keys: list[str], value: str, tie: str, groups: int = 10,

@@ -8,15 +8,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loanstrata.functions.ordered import quantile_values, quantiles
+from loanstrata.functions.ordered import quantile_values, quantiles, rank_values
 from loanstrata.functions.text import clip, employment_years, issue_date, percent_number, term_months
 from loanstrata.operators.profile import numeric_columns, string_columns, struct_rows, value_counts
 from loanstrata.functions.stats import moments
-from loanstrata.session import join_lookup, pin, small_table
+from loanstrata.session import attach, join_lookup, pin, small_table
 
 # Columns known only after origination, prefixes of such columns, columns without model value.
 LEAKAGE_COLUMNS = [
@@ -205,7 +205,7 @@ def encode_grade(df: DataFrame, column: str = "grade") -> DataFrame:
 def encode_rank(df: DataFrame, column: str = "sub_grade") -> DataFrame:
     """Value to its rank among the sorted distinct values, from 1."""
     levels = df.where(F.col(column).isNotNull()).select(column).distinct()
-    ranked = levels.withColumn(f"{column}_ord", F.row_number().over(Window.partitionBy().orderBy(column)).cast("double"))
+    ranked = rank_values(levels, column).select(column, F.col("rank").cast("double").alias(f"{column}_ord"))
     return join_lookup(df, ranked, [column])
 
 
@@ -301,5 +301,4 @@ def clean_summary(tape: DataFrame, cleaned: Cleaned) -> DataFrame:
         F.count(F.lit(1)).alias("resolved_rows"), F.sum("default_flag").alias("defaults"),
         F.avg(F.col("default_flag").cast("double")).alias("default_rate"))
     features = len([c for c in cleaned.features.columns if c not in ("id", "default_flag", "issue_year")])
-    one = lambda df: df.withColumn("_k", F.lit(1))
-    return one(rows).join(F.broadcast(one(after)), "_k").drop("_k").withColumn("features", F.lit(features))
+    return attach(rows, after).withColumn("features", F.lit(features))

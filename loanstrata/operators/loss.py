@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loanstrata.functions.ordered import quantiles
 from loanstrata.functions.text import clip
+from loanstrata.session import attach
 
 # Scenario, factor on PD, floor of LGD.
 SCENARIOS = [("base", 1.0, None), ("adverse", 1.5, 0.45), ("severe", 2.0, 0.60)]
@@ -35,8 +36,7 @@ def loss_summary(el: DataFrame) -> DataFrame:
                          ("pd", {i: f"pd_p{round(p * 100):02d}" for i, p in enumerate(probs)}),
                          ("lgd", {i: f"lgd_p{round(p * 100):02d}" for i, p in enumerate(probs)}))
         for i, name in names.items()])
-    key = lambda df: df.withColumn("_k", F.lit(1))
-    return key(one).join(F.broadcast(key(spread)), "_k").drop("_k")
+    return attach(one, spread)
 
 
 def rollup(el: DataFrame, group: str) -> DataFrame:

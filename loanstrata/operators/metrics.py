@@ -15,7 +15,7 @@ from loanstrata.functions.stats import (
     bias_corrected_kurtosis, bias_corrected_skew, chi2_tail_even, kolmogorov_tail,
 )
 from loanstrata.operators.profile import struct_rows
-from loanstrata.session import join_lookup
+from loanstrata.session import attach, join_lookup
 
 KEYS = ["split", "model"]
 
@@ -212,11 +212,11 @@ def generalization_gap(metrics: DataFrame, metric: str, left: str = "train", rig
 def conversion_factor_check(frame: DataFrame, column: str = "ccf") -> DataFrame:
     """Mean, median and implausible shares of predicted conversion factors; plausible when the mean is in 0..1.2."""
     known = frame.where(F.col(column).isNotNull())
-    median = quantiles(known, [column], [0.5]).select("feature", F.col("q")[0].alias("median_ccf"))
+    median = quantiles(known, [column], [0.5]).select(F.col("q")[0].alias("median_ccf"))
     one = known.agg(
         F.avg(column).alias("mean_ccf"), (F.avg((F.col(column) > 1).cast("int")) * 100).alias("pct_above_one"),
-        (F.avg((F.col(column) < 0).cast("int")) * 100).alias("pct_negative")).withColumn("feature", F.lit(column))
-    return one.join(F.broadcast(median), "feature", "left").drop("feature").withColumn(
+        (F.avg((F.col(column) < 0).cast("int")) * 100).alias("pct_negative"))
+    return attach(one, median).withColumn(
         "reasonable", F.col("mean_ccf").between(0, 1.2))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from loanstrata.functions.ordered import quantiles
 from loanstrata.functions.stats import moments, student_p
 from loanstrata.functions.text import issue_date
+from loanstrata.session import attach
 
 # Numeric columns reported first when present, and categorical columns whose shares are shown.
 CORE_NUMERIC = ["loan_amnt", "int_rate", "annual_inc", "dti", "fico_range_low"]
@@ -91,7 +92,7 @@ def top_values(df: DataFrame, columns: list[str], k: int = 10, with_null: bool =
 def share_distribution(df: DataFrame, column: str) -> DataFrame:
     """Count and share of every value of a category."""
     counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-    return counts.select(column, "n", (F.col("n") / F.sum("n").over(Window.partitionBy())).alias("share"))
+    return counts.select(column, "n", (F.col("n") / F.lit(df.count())).alias("share"))
 
 
 def feature_type(name: str, unique: Column, is_numeric: bool) -> Column:
@@ -160,8 +161,8 @@ def missing_patterns(df: DataFrame, columns: list[str], top: int = 20) -> DataFr
     """The most frequent sets of null columns; the pattern text joins the sorted names with a bar."""
     pattern = F.concat_ws("|", *[F.when(F.col(c).isNull(), F.lit(c)) for c in sorted(columns)])
     counts = df.groupBy(pattern.alias("pattern")).agg(F.count(F.lit(1)).alias("row_count"))
-    shared = counts.withColumn("pct", F.col("row_count") / F.sum("row_count").over(Window.partitionBy()) * 100)
-    return shared.orderBy(F.desc("row_count"), "pattern").limit(top)
+    return counts.orderBy(F.desc("row_count"), "pattern").limit(top).withColumn(
+        "pct", F.col("row_count") / F.lit(df.count()) * 100)
 
 
 def co_missing_pairs(df: DataFrame, columns: list[str], threshold: float = 0.3, top: int = 20) -> DataFrame:
@@ -281,8 +282,7 @@ def loss_target_report(defaults: DataFrame, lgd: str = "lgd") -> DataFrame:
         F.count(F.when(F.col(lgd) <= 0, 1)).alias("n_no_loss"),
     )
     severity = numeric_summary(defaults.where(F.col(lgd) > 0), [lgd], [0.25, 0.5, 0.75])
-    both = counts.withColumn("feature", F.lit(lgd)).join(F.broadcast(severity), "feature", "left")
-    return both.select(
+    return attach(counts, severity.drop("n")).select(
         "n_default", "n_loss", "n_no_loss", (F.col("n_loss") / F.col("n_default")).alias("loss_share"),
         F.col("mean").alias("severity_mean"), F.col("p50").alias("severity_median"), F.col("std").alias("severity_std"),
         F.col("min").alias("severity_min"), F.col("max").alias("severity_max"),

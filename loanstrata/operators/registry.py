@@ -92,12 +92,12 @@ def registry_summary(state: DataFrame) -> DataFrame:
     return per
 
 
-def scan_runs(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
+def scan_runs(spark: SparkSession, root: str, pattern: str = "*", stages: int = STAGES) -> DataFrame:
     """Run table from `<root>/<run>/<stage>/handoff.json`; the run and stage are taken from the file path."""
     files = spark.read.schema(HANDOFF_SCHEMA).option("multiLine", True).json(f"{root}/{pattern}/*/handoff.json")
     parts = F.split(F.col("_metadata.file_path"), "/")
     rows = files.select("*", F.element_at(parts, -3).alias("run_id"), F.element_at(parts, -2).alias("stage"))
-    return run_table(rows)
+    return run_table(rows, stages)
 
 
 def count_artifacts(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:

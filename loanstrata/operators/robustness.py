@@ -8,18 +8,16 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loanstrata.functions.ordered import quantile_values
-from loanstrata.functions.text import clip
+from loanstrata.functions.ordered import quantile_values, rank_values
 from loanstrata.operators import metrics, models
 from loanstrata.operators.candidates import Candidate
 from loanstrata.operators.models import Fitted, ModelFrame
 from loanstrata.operators.profile import struct_rows
 from loanstrata.functions.stats import moments
-from loanstrata.session import pin
+from loanstrata.session import attach, pin
 
 # Fixed values: (scenario, {feature: (added, factor)}).
 SHOCKS = [
@@ -33,12 +31,7 @@ HIGH_IMPACT, MEDIUM_IMPACT, MAX_DROP_PCT = 0.10, 0.02, 10.0
 
 def rescore(frame: ModelFrame, fitted: Fitted, rows: DataFrame, keep: list[str]) -> DataFrame:
     """Scores raw feature columns with the frame's preparation; keeps the named columns."""
-    ready = frame.preparation.transform(rows)
-    part = models.slicer(frame, fitted.features)
-    ready = ready if part is None else part.transform(ready).drop("features").withColumnRenamed("_part", "features")
-    out = fitted.model.transform(ready)
-    value = vector_to_array("probability")[1] if "probability" in out.columns else F.col("prediction")
-    return out.select(*keep, clip(value, 0, 1).alias("score"))
+    return models.add_score(rows, frame, fitted).select(*keep, "score")
 
 
 def variants(df: DataFrame, name: str, features: list[str], made: list[tuple[str, dict[str, Column]]]) -> DataFrame:
@@ -128,9 +121,7 @@ def permutation_importance(frame: ModelFrame, fitted: Fitted, rows: DataFrame, r
     shuffled = metrics.discrimination(rescore(frame, fitted, changed, ["label", "feature", "repeat"]), ["feature", "repeat"])
     base = metrics.discrimination(rescore(frame, fitted, data, ["label"]), []).select(F.col("auc").alias("base_auc"))
     drop = shuffled.groupBy("feature").agg(F.avg("auc").alias("permuted_auc"))
-    # The base is one row.
-    both = drop.withColumn("_k", F.lit(1)).join(F.broadcast(base.withColumn("_k", F.lit(1))), "_k").drop("_k")
-    return both.withColumn("importance", F.greatest(F.lit(0.0), F.col("base_auc") - F.col("permuted_auc")))
+    return attach(drop, base).withColumn("importance", F.greatest(F.lit(0.0), F.col("base_auc") - F.col("permuted_auc")))
 
 
 def feature_dropout(frame: ModelFrame, candidate: Candidate, workers: int = 4) -> DataFrame:
@@ -236,8 +227,9 @@ def smote(df: DataFrame, features: list[str], target: str, enabled: bool = False
     near = nearest_neighbours(minority, features, k)
     each, extra = divmod(missing, minor)
     unit = lambda *c: F.pmod(F.xxhash64(*c), F.lit(2 ** 52)) / F.lit(float(2 ** 52))
-    # The `extra` rows of lowest hash give one more; a hash rank over the minority keys decides which.
-    picks = minority.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(extra).select("id", F.lit(1).alias("_one"))
+    # The `extra` rows of lowest rank in a random order give one more.
+    ticket = minority.select("id", F.concat(F.hex(F.xxhash64("id", F.lit(seed))), F.lit("-"), F.col("id").cast("string")).alias("_t"))
+    picks = rank_values(ticket, "_t").where(F.col("rank") <= extra).select("id", F.lit(1).alias("_one"))
     copies = minority.join(picks, "id", "left").withColumn("_copies", F.lit(each) + F.coalesce("_one", F.lit(0))).where("_copies > 0")
     drawn = copies.withColumn("copy", F.explode(F.expr("sequence(1, _copies)"))).withColumn(
         "rank", (F.floor(unit("id", "copy", F.lit(seed)) * min(k, minor - 1)) + 1).cast("int"))

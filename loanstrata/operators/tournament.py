@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from loanstrata.functions.text import clip
 from loanstrata.operators.metrics import rank_correlation
 from loanstrata.operators.profile import struct_rows
+from loanstrata.session import attach
 
 # The weight of each metric under every named rubric.
 RUBRICS = {
@@ -244,14 +245,14 @@ def tournament_summary(first: DataFrame, refined: DataFrame) -> DataFrame:
     """Champion, runner-up, candidates per phase and the gain of refinement, from two `(model, score)` tables."""
     top = lambda df: df.agg(
         F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "model"))), 1, 2).alias("top"),
-        F.count(F.lit(1)).alias("n"), F.lit(1).alias("_k"))
-    a = top(first).select("_k", F.col("n").alias("phase1_count"), F.get("top", F.lit(0)).alias("p1"),
+        F.count(F.lit(1)).alias("n"))
+    a = top(first).select(F.col("n").alias("phase1_count"), F.get("top", F.lit(0)).alias("p1"),
                           F.get("top", F.lit(1)).alias("p2"))
-    b = top(refined).select("_k", F.col("n").alias("phase3_count"), F.get("top", F.lit(0)).alias("r1"))
-    both = a.join(b, "_k")
-    before, after = -F.col("p1.s"), -F.col("r1.s")
-    return both.select(
-        F.when(after > before, F.col("r1.model")).otherwise(F.col("p1.model")).alias("champion"),
+    b = top(refined).select(F.col("n").alias("phase3_count"), F.get("top", F.lit(0))["s"].alias("_rs"),
+                            F.get("top", F.lit(0))["model"].alias("_rm"))
+    before, after = -F.col("p1.s"), -F.col("_rs")
+    return attach(a, b).select(
+        F.when(after > before, F.col("_rm")).otherwise(F.col("p1.model")).alias("champion"),
         F.coalesce("p2.model", F.lit("N/A")).alias("runner_up"), "phase1_count", "phase3_count",
         before.alias("phase1_best_score"), after.alias("phase3_best_score"),
         F.when(before > 0, after - before).otherwise(0.0).alias("improvement_from_refinement"))

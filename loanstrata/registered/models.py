@@ -10,7 +10,7 @@ from loanstrata.plans.tape import resolved_loans
 from loanstrata.registered import register
 from loanstrata.registered.profiling import TARGET_INPUTS, rounded
 from loanstrata.registered.sql import with_tape
-from loanstrata.session import pin
+from loanstrata.session import attach, pin
 
 FEATURES = ["loan_amnt", "annual_inc", "dti", "int_rate", "revol_bal", "open_acc", "signal"]
 
@@ -64,9 +64,9 @@ def ols_slope(spark, folder):
     rows = resolved_loans(spark, folder, ["revol_bal", "tot_cur_bal"])
     found = models.coefficient_table(rows, ["tot_cur_bal"], "revol_bal", "ols")
     at = lambda v: F.max(F.when(F.col("variable") == v, F.col("coefficient")))
-    n = found.summary.where("statistic = 'n_observations'").select(F.col("value").cast("bigint").alias("n"), F.lit(1).alias("_k"))
-    one = found.table.agg(at("tot_cur_bal").alias("slope"), at("const").alias("intercept"), F.lit(1).alias("_k"))
-    return rounded(one.join(n, "_k").drop("_k"), slope=6, intercept=2)
+    n = found.summary.where("statistic = 'n_observations'").select(F.col("value").cast("bigint").alias("n"))
+    one = found.table.agg(at("tot_cur_bal").alias("slope"), at("const").alias("intercept"))
+    return rounded(attach(one, n), slope=6, intercept=2)
 
 
 @register("pd_tournament")
@@ -97,7 +97,7 @@ def lgd_two_stage(spark, folder):
         "lgd", F.when(F.col("lgd") < 0.5, 0.0).otherwise(F.col("lgd"))).withColumn("any_loss", (F.col("lgd") > 0).cast("int"))
     out = models.lgd_two_stage(losses, ["loan_amnt", "annual_inc", "dti", "revol_bal"], fast(candidates.LGD_STAGE1[:2]),
                                fast(candidates.LGD_STAGE2[:2]))
-    return out.predictions.select("id", "split", "actual", "p_any_loss", "severity", "predicted")
+    return out.predict(losses).select("id", "split", F.col("lgd").alias("actual"), "p_any_loss", "severity", "predicted")
 
 
 @register("ead_tournament")

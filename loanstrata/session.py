@@ -72,6 +72,12 @@ def small_table(df: DataFrame, max_rows: int = LOOKUP_ROWS) -> DataFrame | None:
     return df.sparkSession.createDataFrame(rows, df.schema)
 
 
+def attach(df: DataFrame, one: DataFrame) -> DataFrame:
+    """Adds the columns of a one-row frame to every row, as literals instead of a join; nulls when it is empty."""
+    rows = one.limit(1).collect()
+    return df.withColumns({f.name: F.lit(rows[0][f.name] if rows else None).cast(f.dataType) for f in one.schema.fields})
+
+
 def join_lookup(df: DataFrame, lookup: DataFrame, keys: list[str], how: str = "left",
                 max_rows: int = LOOKUP_ROWS) -> DataFrame:
     """Joins an aggregate back to the rows it came from, nulls in the keys matching.

@@ -88,7 +88,7 @@ def psi_bins(counts: DataFrame, reference: str, other: str, rule: BinRule = QUAN
 def psi(df: DataFrame, side: str, reference: str, other: str, edges: dict[str, list[float]],
         rule: BinRule = QUANTILE_OPEN) -> DataFrame:
     """Population stability index per feature between two values of a column."""
-    counts = side_counts(df, side, [reference, other], edges, rule)
+    counts = side_counts(df, side, list(dict.fromkeys([reference, other])), edges, rule)
     return psi_bins(counts, reference, other, rule).groupBy("feature").agg(
         F.sum("contribution").alias("psi")).withColumn("status", stability_status(F.col("psi")))
 

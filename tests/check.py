@@ -1,4 +1,4 @@
-"""Command line: `python tests/check.py [name ...]` compares the named queries (default all) with their SQL."""
+"""Command line: `python tests/check.py [--dir=folder] [name ...]` compares the named queries (default all) with their SQL."""
 
 from __future__ import annotations
 
@@ -16,7 +16,7 @@ from oracle import connect, difference  # noqa: E402
 from loanstrata.session import local_session  # noqa: E402
 
 
-def main(names: list[str], folder: str = "/root/testdata/sf0.01") -> int:
+def main(names: list[str], folder: str) -> int:
     spark = local_session("8")
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(folder)
@@ -41,4 +41,5 @@ def main(names: list[str], folder: str = "/root/testdata/sf0.01") -> int:
 
 
 if __name__ == "__main__":
-    sys.exit(min(1, main([a for a in sys.argv[1:] if not a.startswith("-")])))
+    folder = next((a.removeprefix("--dir=") for a in sys.argv if a.startswith("--dir=")), "/root/testdata/sf0.01")
+    sys.exit(min(1, main([a for a in sys.argv[1:] if not a.startswith("-")], folder)))

@@ -13,7 +13,7 @@ from loanstrata.registered.sql import with_tape
 
 EL = """, el AS (
   SELECT *, pd * lgd * ead AS expected_loss FROM (SELECT id, grade, purpose, issue_year, default_flag,
-    least(1, greatest(0, CAST(0.05 + 0.1 * default_flag AS DOUBLE) + ((id * 17) % 1000) / 2000)) AS pd,
+    least(1, greatest(0, CAST(0.05 + 0.1 * default_flag AS DOUBLE) + ((id * 17) % 1000) / 2003)) AS pd,
     least(1, greatest(0, CAST(((id * 13) % 800) AS DOUBLE) / 1000 + 0.1)) AS lgd, greatest(0, loan_amnt) AS ead
   FROM resolved WHERE split = 'test')) """
 

@@ -14,7 +14,7 @@ from loanstrata.registered.sql import with_tape
 EL = """, el AS (
   SELECT *, pd * lgd * ead AS expected_loss FROM (SELECT id, grade, purpose, issue_year, default_flag,
     least(1, greatest(0, CAST(0.05 + 0.1 * default_flag AS DOUBLE) + ((id * 17) % 1000) / 2003)) AS pd,
-    least(1, greatest(0, CAST(((id * 13) % 800) AS DOUBLE) / 1000 + 0.1)) AS lgd, greatest(0, loan_amnt) AS ead
+    least(1, greatest(0, CAST(((id * 13) % 800) AS DOUBLE) / 1013 + 0.1)) AS lgd, greatest(0, loan_amnt) AS ead
   FROM resolved WHERE split = 'test')) """
 
 
@@ -24,14 +24,14 @@ def el(spark, folder):
     return loss.expected_loss(loans.select(
         "id", "grade", "purpose", "issue_year", "default_flag",
         (0.05 + 0.1 * F.col("default_flag") + (F.col("id") * 17) % 1000 / 2003).alias("pd"),
-        ((F.col("id") * 13) % 800 / 1000 + 0.1).alias("lgd"), F.col("loan_amnt").alias("ead")))
+        ((F.col("id") * 13) % 800 / 1013 + 0.1).alias("lgd"), F.col("loan_amnt").alias("ead")))
 
 
 @register("expected_loss", with_tape(EL +
-    "SELECT id, round(pd, 6) AS pd, round(lgd, 6) AS lgd, round(ead, 4) AS ead, round(expected_loss, 4) AS expected_loss FROM el"))
+    "SELECT id, round(pd, 6) AS pd, round(lgd, 6) AS lgd, round(ead, 4) AS ead, round(expected_loss, 6) AS expected_loss FROM el"))
 def expected_loss(spark, folder):
     return rounded(el(spark, folder).select("id", "pd", "lgd", "ead", "expected_loss"), pd=6, lgd=6, ead=4,
-                   expected_loss=4)
+                   expected_loss=6)
 
 
 _P = [0.05, 0.25, 0.5, 0.75, 0.95]

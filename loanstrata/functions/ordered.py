@@ -12,10 +12,12 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loanstrata.session import pin, small_table
+from loanstrata.session import LOOKUP_ROWS, pin, small_table
 
 TASK_ROWS = 2_000_000
 MAX_PIECES = 4096
+# Most cut points the driver holds at once.
+DRIVER_NUMBERS = 4_000_000
 
 
 def long_values(df: DataFrame, columns: list[str], keep: list[str] | None = None) -> DataFrame:
@@ -41,10 +43,10 @@ def with_piece(df: DataFrame, keys: list[str], value: str, task_rows: int = TASK
     side = math.ceil(math.sqrt(pieces))
     probs = [i / (side * side) for i in range(1, side * side)]
     cuts = df.groupBy(*keys).agg(F.percentile_approx(value, probs, 20 * side * side).alias("_cuts"))
-    held = small_table(cuts)
-    if held is None:
-        # More groups than the driver should hold: each is then small, so its own key spreads the work.
-        return df.withColumn("_piece", F.lit(0)), 1
+    held = small_table(cuts, max(1, DRIVER_NUMBERS // (side * side)))
+    # With more groups than the driver should hold, the cut points are written instead, and joined by key.
+    small = held is not None
+    held = held if small else pin(cuts)
     heads = F.array(*[F.get("_cuts", F.lit((i + 1) * side - 1)) for i in range(side - 1)])
     blocks = F.array(*[F.slice("_cuts", i * side + 1, side - 1) for i in range(side)])
     held = held.select(*keys, heads.alias("_heads"), blocks.alias("_blocks"))
@@ -56,7 +58,8 @@ def with_piece(df: DataFrame, keys: list[str], value: str, task_rows: int = TASK
         for key in keys:
             term = df[key].eqNullSafe(named[f"_{key}"])
             condition = term if condition is None else condition & term
-        joined = df.join(F.broadcast(named), condition).drop(*[f"_{key}" for key in keys])
+        side_table = F.broadcast(named) if small else named
+        joined = df.join(side_table, condition).drop(*[f"_{key}" for key in keys])
     else:
         found = held.collect()[0]
         joined = df.withColumns({"_heads": F.lit(list(found["_heads"])), "_blocks": F.array(*[
@@ -94,7 +97,7 @@ def value_totals(df: DataFrame, keys: list[str], value: str, sums: dict[str, Col
     offsets = totals.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_piece").alias("_at"), *[
         F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"_{n}_off") for n in sums
     ], *[F.sum(n).over(whole).alias(f"{n}_all") for n in sums])
-    held = small_table(offsets, 1_000_000)
+    held = small_table(offsets, LOOKUP_ROWS)
     side = offsets if held is None else F.broadcast(held)
     condition = local["_piece"] == side["_at"]
     for key in keys:
@@ -189,7 +192,7 @@ def ranked_groups(df: DataFrame, keys: list[str], value: str, tie: str, groups:
     borders = borders.where(
         (F.col("n_before") < F.col("_rank")) & (F.col("_rank") <= F.col("n_before") + F.col("n")))
     borders = borders.select(*keys, F.col(value).alias("_v"), (F.col("_rank") - F.col("n_before")).alias("_r"), "n")
-    held = small_table(borders, 1_000_000)
+    held = small_table(borders, LOOKUP_ROWS)
     spots = borders if held is None else F.broadcast(held)
     # Rows sharing a border value: a distributed sort of those alone when ties are many.
     wanted = spots.select(*[F.col(k).alias(f"_{k}") for k in keys], "_v").distinct()
@@ -205,7 +208,7 @@ def ranked_groups(df: DataFrame, keys: list[str], value: str, tie: str, groups:
         (F.col("n_before") < F.col("_r")) & (F.col("_r") <= F.col("n_before") + F.col("i.n"))
     ).groupBy(*[F.col(f"i.{k}").alias(f"_{k}") for k in keys]).agg(
         F.collect_list(F.struct(F.col("i._v").alias("v"), F.col(f"i.{tie}").alias("t"))).alias("_cuts"))
-    held = small_table(cuts, 100_000)
+    held = small_table(cuts, LOOKUP_ROWS // groups)
     side = cuts if held is None else F.broadcast(held)
     condition = None
     for key in keys:

@@ -15,13 +15,21 @@ from pyspark.sql import types as T
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
+WIDE_COLUMNS = 60
+
+
 class Moments(dict):
     """Moments per column, with the number of rows of the frame in `rows`."""
     rows: int = 0
 
 
 def moments(df: DataFrame, columns: list[str]) -> Moments:
-    """Count, mean, spread and range per column, one pass, read to the driver."""
+    """Count, mean, spread and range per column, one pass, read to the driver.
+
+    Tables of many columns are unpivoted first: hundreds of aggregates side by side would outgrow generated code.
+    """
+    if len(columns) > WIDE_COLUMNS:
+        return _moments_long(df, columns)
     row = df.agg(F.count(F.lit(1)).alias("_rows"), *[
         f.alias(f"{n}_{c}") for c in columns for n, f in (
             ("n", F.count(F.col(c))), ("mean", F.avg(F.col(c).cast("double"))),
@@ -33,6 +41,19 @@ def moments(df: DataFrame, columns: list[str]) -> Moments:
     return found
 
 
+def _moments_long(df: DataFrame, columns: list[str]) -> Moments:
+    pairs = F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in columns])
+    rows = df.select(F.explode(pairs).alias("_p")).groupBy("_p.c").agg(
+        F.count(F.lit(1)).alias("rows"), F.count("_p.v").alias("n"), F.avg("_p.v").alias("mean"), F.stddev_pop("_p.v").alias("std_pop"),
+        F.stddev_samp("_p.v").alias("std"), F.min("_p.v").alias("min"), F.max("_p.v").alias("max")).collect()
+    empty = {"n": 0, "mean": None, "std_pop": None, "std": None, "min": None, "max": None}
+    found = Moments({c: dict(empty) for c in columns})
+    for r in rows:
+        found[r["c"]] = {n: r[n] for n in empty}
+        found.rows = r["rows"]
+    return found
+
+
 def chi2_tail_even(x: Column, df: int) -> Column:
     """P(X > x) for a chi-square with an even number of degrees of freedom: a finite sum."""
     half = x / 2

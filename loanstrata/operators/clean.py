@@ -260,19 +260,19 @@ class Cleaned:
 
 def clean_tape(tape: DataFrame, key: str = "id", fit_scope: str = "all", train_last_year: int = 2015) -> Cleaned:
     """All six steps. `fit_scope='train'` learns medians, bounds and rates from the training vintages only."""
-    targets = with_targets(with_default_flag(resolved_only(tape)))
-    dated = targets.withColumn("issue_d", issue_date(F.col("issue_d"))).withColumn("issue_year", F.year("issue_d"))
+    # The joins behind the tape run once; every fit and every output below reads this table.
+    held = pin(with_default_flag(resolved_only(tape)))
+    dated = with_targets(held).withColumn("issue_d", issue_date(F.col("issue_d"))).withColumn("issue_year", F.year("issue_d"))
     target_columns = [key, "default_flag", "issue_year", "issue_d", "lgd", "ead", "ccf"]
-    base, leakage = split_leakage(resolved_only(tape), key)
-    steps = [("initial", None, len(tape.columns)), ("drop_leakage", None, len(base.columns))]
-    typed = coerce_types(with_default_flag(base).drop("loan_status", *[
-        c for c in UNUSED_COLUMNS if c != key]))
+    base, leakage = split_leakage(held, key)
+    rows = held.count()
+    steps = [("initial", tape.count(), len(tape.columns)), ("resolved_only", rows, len(tape.columns)),
+             ("drop_leakage", rows, len(base.columns) - 1)]
+    typed = coerce_types(base.drop("loan_status", *[c for c in UNUSED_COLUMNS if c != key]))
     held_back = [key, "default_flag", "issue_year"]
     typed = typed.withColumn("issue_year", F.year("issue_d")).drop(*[
         f.name for f in typed.schema.fields if isinstance(f.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType))])
-    # Every fit below reads this table instead of repeating the joins behind the tape.
-    typed = pin(typed)
-    steps.append(("coerce_types", None, len(typed.columns)))
+    steps.append(("coerce_types", rows, len(typed.columns)))
     train = typed.where(F.col("issue_year") <= train_last_year) if fit_scope == "train" else None
     numeric = [c for c in numeric_columns(typed) if c not in held_back]
     texts = string_columns(typed)
@@ -288,9 +288,9 @@ def clean_tape(tape: DataFrame, key: str = "id", fit_scope: str = "all", train_l
         coded = encode_target_rate(coded, "purpose", "default_flag",
                                    None if train is None else coded.where(F.col("issue_year") <= train_last_year))
     coded = drop_texts(encode_one_hot(coded))
-    steps.append(("encode", None, len(coded.columns)))
+    steps.append(("encode", rows, len(coded.columns)))
     lineage = tape.sparkSession.createDataFrame(
-        [(i, n, c) for i, (n, _, c) in enumerate(steps)], "step int, action string, columns int")
+        [(i, *step) for i, step in enumerate(steps)], "step int, action string, rows long, columns int")
     return Cleaned(coded, dated.select(*[c for c in target_columns if c in dated.columns]), leakage, lineage)
 
 

@@ -9,11 +9,12 @@ from pyspark.sql import types as T
 from loanstrata.functions.ordered import quantiles
 from loanstrata.functions.stats import moments, student_p
 from loanstrata.functions.text import issue_date
-from loanstrata.session import attach
+from loanstrata.session import attach, pin, small_table
 
 # Numeric columns reported first when present, and categorical columns whose shares are shown.
 CORE_NUMERIC = ["loan_amnt", "int_rate", "annual_inc", "dti", "fico_range_low"]
 CORE_CATEGORICAL = ["loan_status", "grade", "purpose", "home_ownership"]
+PAIRS_PER_PASS = 200
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -172,10 +173,23 @@ def co_missing_pairs(df: DataFrame, columns: list[str], threshold: float = 0.3,
     """
     flags = [F.col(c).isNull().cast("int").alias(c) for c in columns]
     patterns = df.select(*flags).groupBy(*columns).agg(F.count(F.lit(1)).alias("_n"))
+    held = small_table(patterns)
+    patterns = pin(patterns) if held is None else held
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1:]]
+    found = None
+    # Blocks of pairs keep the generated code small; each block reads the pattern counts, not the rows.
+    for start in range(0, len(pairs), PAIRS_PER_PASS):
+        part = _null_correlations(patterns, pairs[start:start + PAIRS_PER_PASS])
+        found = part if found is None else found.unionByName(part)
+    out = found.where(F.abs("correlation") > threshold)
+    return out.orderBy(F.desc(F.abs("correlation")), "col_a", "col_b").limit(top)
+
+
+def _null_correlations(patterns: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    names = sorted({c for pair in pairs for c in pair})
     sums = patterns.agg(
         F.sum("_n").alias("_rows"),
-        *[F.sum(F.col(c) * F.col("_n")).alias(f"s_{c}") for c in columns],
+        *[F.sum(F.col(c) * F.col("_n")).alias(f"s_{c}") for c in names],
         *[F.sum(F.col(a) * F.col(b) * F.col("_n")).alias(f"x_{i}") for i, (a, b) in enumerate(pairs)],
     )
     n = F.col("_rows").cast("double")
@@ -185,8 +199,7 @@ def co_missing_pairs(df: DataFrame, columns: list[str], threshold: float = 0.3,
         spread = F.sqrt(sa * (n - sa)) * F.sqrt(sb * (n - sb))
         rows.append(F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"),
                              F.try_divide(n * F.col(f"x_{i}") - sa * sb, spread).alias("correlation")))
-    out = struct_rows(sums, [], rows).where(F.abs("correlation") > threshold)
-    return out.orderBy(F.desc(F.abs("correlation")), "col_a", "col_b").limit(top)
+    return struct_rows(sums, [], rows)
 
 
 def segmented_null_rates(df: DataFrame, group: str, columns: list[str], first: int = 15) -> DataFrame:

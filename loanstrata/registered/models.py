@@ -1,4 +1,4 @@
-"""Training queries. They have no SQL counterpart; parameters are reduced only in the number of trees and draws."""
+"""Training queries over all loans. Pools are shortened and trees and draws reduced so that small tables train quickly."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from loanstrata.plans.tape import resolved_loans
 from loanstrata.registered import register
 from loanstrata.registered.profiling import TARGET_INPUTS, rounded
 from loanstrata.registered.sql import with_tape
-from loanstrata.session import attach, pin
+from loanstrata.session import attach, pin, spread
 
 FEATURES = ["loan_amnt", "annual_inc", "dti", "int_rate", "revol_bal", "open_acc", "signal"]
 
@@ -37,7 +37,7 @@ def loans(spark, folder):
         "signal": F.col("default_flag") * 0.35 + (k * 37) % 1000 / 1000,
         "issued": F.unix_timestamp(F.col("issue_ts").cast("timestamp")).cast("double"),
     })
-    ready = pin(typed.select("id", "split", "default_flag", "issued", *FEATURES))
+    ready = spread(pin(typed.select("id", "split", "default_flag", "issued", *FEATURES)))
     gaps = ["annual_inc", "dti", "revol_bal", "open_acc"]
     return clean.fill_numeric(ready, gaps, fit_on=ready.where("split = 'train'"))
 

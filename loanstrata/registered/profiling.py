@@ -156,8 +156,10 @@ def mcar_welch_t(spark, folder):
 
 @register("mcar_flags")
 def mcar_flags(spark, folder):
-    tape = loan_tape(spark, folder, list(dict.fromkeys(MCAR_NULL + MCAR_TEST)))
-    return profile.mcar_flags(tape, MCAR_NULL, MCAR_TEST)
+    tape = loan_tape(spark, folder, ["id", *dict.fromkeys(MCAR_NULL + MCAR_TEST)])
+    # Large loans lose a seventh of their dti, so that one gap is not random.
+    gaps = tape.withColumn("dti", F.when(~((F.col("loan_amnt") > 25000) & (F.col("id") % 7 == 0)), F.col("dti")))
+    return profile.mcar_flags(gaps, MCAR_NULL, MCAR_TEST)
 
 
 @register("class_balance", with_tape(

@@ -239,3 +239,25 @@ def test_scan_reads_only_what_a_query_needs(spark):
     plan = resolved_loans(spark, SMALL, ["loan_amnt"]).groupBy("split").agg(F.sum("loan_amnt"))._jdf.queryExecution().executedPlan().toString()
     assert "lineitem" not in plan and "customer" not in plan
     assert "In(o_orderstatus" in plan and "o_orderpriority" not in plan
+
+
+def test_wide_tables_take_the_long_path(spark):
+    df = spark.range(20).select(*[(F.col("id") * (i + 1)).cast("double").alias(f"c{i}") for i in range(70)], F.lit(None).cast("double").alias("empty"))
+    wide, narrow = stats.moments(df, df.columns), stats.moments(df, ["c0", "c69", "empty"])
+    assert wide.rows == narrow.rows == 20
+    for c in ("c0", "c69", "empty"):
+        assert {k: v if v is None else pytest.approx(v) for k, v in narrow[c].items()} == wide[c]
+
+
+def test_lineage_counts_rows_and_columns(spark):
+    from conftest import SMALL
+    from loanstrata.plans.tape import loan_tape
+    made = clean.clean_tape(loan_tape(spark, SMALL), fit_scope="train", train_last_year=1998)
+    rows = {r["action"]: r for r in made.lineage.collect()}
+    assert rows["initial"]["rows"] == 1500 and rows["resolved_only"]["rows"] == made.targets.count() == made.features.count()
+    assert rows["drop_leakage"]["columns"] == rows["initial"]["columns"] - 3
+    assert not [t for _, t in made.features.dtypes if t == "string"]
+    assert set(made.leakage.columns) == {"id", "recoveries", "collection_recovery_fee", "out_prncp"}
+    held = [c for c in made.features.columns if c not in ("id", "default_flag", "issue_year")]
+    gaps = made.features.agg(*[F.count(F.when(F.col(c).isNull(), 1)).alias(c) for c in held]).collect()[0]
+    assert sum(gaps) == 0

@@ -76,6 +76,16 @@ def test_metrics_do_not_depend_on_the_path(frame):
         assert found[g]["auc"] == pytest.approx(wins / len(pos) / len(neg), abs=1e-12)
 
 
+def test_cut_points_are_joined_when_groups_are_many(frame, monkeypatch):
+    df, pdf = frame
+    monkeypatch.setattr("loanstrata.functions.ordered.small_table", lambda *a, **k: None)
+    out = value_totals(df, ["g"], "score", {"n": F.count(F.lit(1))}, TINY).toPandas()
+    for g, part in pdf.groupby("g"):
+        want = part.groupby("score").size().sort_index().cumsum()
+        got = out[out.g == g].set_index("score").sort_index()
+        assert (got["n_before"] + got["n"] == want).all()
+
+
 def test_one_class_is_undecided(spark):
     df = spark.createDataFrame([(1, 0.2), (1, 0.7)], "label int, score double")
     row = metrics.discrimination(df, []).collect()[0]

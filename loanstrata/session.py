@@ -32,10 +32,15 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by `spark.checkpoint.dir`; a private one only where that is unset, as in local tests."""
+    """The folder named by `spark.checkpoint.dir`, which driver and executors share.
+
+    Only a local master, where all run on one machine, may leave it unset; it then gets a temporary folder.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if not named and not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="loanstrata-"))
     return context.getCheckpointDir()
 

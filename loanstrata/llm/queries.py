@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanstrata.llm import bpe, shards, warc
+from loanstrata.llm import bpe, decontaminate, language, shards, substring, warc
 from loanstrata.session import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +29,23 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query(r"""
+WITH dw AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
+iw AS (SELECT item_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark),
+sizes AS (SELECT DISTINCT least(len(w), 5) AS k FROM iw WHERE len(w) > 0),
+i AS (SELECT DISTINCT item_id, least(len(w), 5) AS k,
+  unnest(list_transform(range(1, len(w) - least(len(w), 5) + 2), lambda a: w[a:a + least(len(w), 5) - 1])) AS s FROM iw WHERE len(w) > 0),
+n AS (SELECT item_id, count(*) AS n_item FROM i GROUP BY item_id),
+d AS (SELECT DISTINCT doc_id, k, unnest(list_transform(range(1, len(w) - k + 2), lambda a: w[a:a + k - 1])) AS s
+  FROM dw, sizes WHERE len(w) >= k),
+m AS (SELECT doc_id, item_id, count(*) AS n_shared FROM d JOIN i ON d.k = i.k AND d.s = i.s GROUP BY ALL)
+SELECT doc_id, m.item_id, n_shared, n_item, n_shared::DOUBLE / n_item AS containment
+FROM m JOIN n ON m.item_id = n.item_id WHERE n_shared >= 0.8 * n_item
+""")
+def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 @query()
 def op5_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
@@ -49,6 +66,18 @@ def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.read_archives(spark, archives).drop("url")
 
 
+@query()
+def op7_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substring.removal_report(table(spark, folder, "documents"))
+
+
+@query()
+def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    learned = language.fit(docs.where(~language.in_fold()))
+    return language.predict(docs, learned).withColumn("held_out", language.in_fold())
+
+
 @query()
 def op10_kd_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return shards.shard_documents(table(spark, folder, "documents"), 16)

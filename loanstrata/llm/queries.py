@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanstrata.llm import bpe, decontaminate, language, shards, substring, warc
+from loanstrata.llm import bpe, decontaminate, jaccard, language, shards, substring, warc
 from loanstrata.session import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,6 +78,11 @@ def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language.predict(docs, learned).withColumn("held_out", language.in_fold())
 
 
+@query()
+def op9_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, folder, "documents"), 3, 90, 100)
+
+
 @query()
 def op10_kd_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return shards.shard_documents(table(spark, folder, "documents"), 16)

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanstrata.llm import bpe, decontaminate, hosts, jaccard, language, shards, substring, warc
+from loanstrata.llm import bpe, decontaminate, hosts, jaccard, language, shards, substring, vectors, warc
 from loanstrata.session import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,6 +46,11 @@ def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+@query()
+def op1_pq_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, folder, "embeddings"))
+
+
 @query()
 def op4_host_trust(spark: SparkSession, folder: str) -> DataFrame:
     return hosts.judge(table(spark, folder, "pages"))

@@ -81,3 +81,9 @@ def contaminated(docs: DataFrame, items: DataFrame, containment: float = CONTAIN
     candidates = pairs.where("_candidate").drop("_candidate")
     return candidates.withColumn("containment", F.col("n_shared") / F.col("n_item")).where(
         F.col("n_shared") >= F.lit(containment) * F.col("n_item") - 1e-9)
+
+
+def remove_contaminated(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT, size: int = SHINGLE_WORDS) -> DataFrame:
+    """Documents that hold no item, all columns kept; rows with a null doc_id stay."""
+    found = contaminated(docs, items, containment, size).select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(found, docs["doc_id"] == found["_gone"], "left_anti")

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanstrata.llm import bpe, decontaminate, hosts, jaccard, language, shards, substring, vectors, warc
+from loanstrata.llm import bpe, decontaminate, hosts, jaccard, katz, language, shards, substring, vectors, warc
 from loanstrata.session import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +29,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query()
+def op2_katz_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    return katz.score_documents(table(spark, folder, "documents"))
+
+
 @query(r"""
 WITH dw AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
 iw AS (SELECT item_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark),

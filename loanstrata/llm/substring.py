@@ -36,9 +36,9 @@ def prime_from(n: int) -> int:
     return n
 
 
-def bucket_count(docs: DataFrame, target: int = BUCKET_BYTES) -> int:
+def bucket_count(docs: DataFrame, target: int = BUCKET_BYTES, least: int = MIN_BUCKETS) -> int:
     size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
-    return prime_from(max(MIN_BUCKETS, -(-size // target)))
+    return prime_from(max(least, -(-size // target)))
 
 
 def ids_of(column: pa.Array) -> np.ndarray:

@@ -1,7 +1,7 @@
 """Order-based results (quantiles, running totals, equal groups) with no task that holds a whole group.
 
-A window over a whole group, or an array of its values, is used only when a row count has shown it to fit one task.
-Beyond that, values are counted, cut into ordered pieces of a size a task can sort, and the totals of the pieces
+For quantiles and running totals, a window over a whole group, or an array of its values, is used only when a row count
+has shown it to fit one task; beyond that, values are counted, cut into ordered pieces of a size a task can sort, and the totals of the pieces
 are added in front. The cut points only decide who sorts what; the results do not depend on them.
 """
 
@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from loanstrata.session import LOOKUP_ROWS, pin, small_table
 
 TASK_ROWS = 2_000_000
-MAX_PIECES = 4096
 # Most cut points the driver holds at once.
 DRIVER_NUMBERS = 4_000_000
 
@@ -37,7 +36,7 @@ def with_piece(df: DataFrame, keys: list[str], value: str, task_rows: int = TASK
     sees the same ones.
     """
     rows = df.count() if rows is None else rows
-    pieces = min(MAX_PIECES, math.ceil(rows / task_rows))
+    pieces = math.ceil(rows / task_rows)
     if pieces <= 1:
         return df.withColumn("_piece", F.lit(0)), 1
     side = math.ceil(math.sqrt(pieces))
@@ -90,8 +89,8 @@ def value_totals(df: DataFrame, keys: list[str], value: str, sums: dict[str, Col
         for name in sums:
             local = local.withColumn(f"{name}_all", F.sum(name).over(whole))
         return local.drop("_piece")
-    # Totals per piece: at most MAX_PIECES rows per group, whatever the number of rows.
-    totals = cut.groupBy(*keys, "_piece").agg(*[c.alias(n) for n, c in sums.items()])
+    # One row per piece and group, summed from the folded rows: the input itself is not read again.
+    totals = counted.groupBy(*keys, "_piece").agg(*[F.sum(n).alias(n) for n in sums])
     earlier = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)
     offsets = totals.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_piece").alias("_at"), *[
@@ -157,12 +156,12 @@ def rank_values(values: DataFrame, column: str, task_rows: int = TASK_ROWS) -> D
     rows = values.count()
     if rows <= task_rows:
         return values.withColumn("rank", F.row_number().over(Window.partitionBy().orderBy(column)))
-    pieces = min(MAX_PIECES, math.ceil(rows / task_rows))
+    pieces = math.ceil(rows / task_rows)
     placed = pin(values.repartitionByRange(pieces, column).withColumn("_piece", F.spark_partition_id()))
     sizes = placed.groupBy("_piece").agg(F.count(F.lit(1)).alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy().orderBy("_piece").rowsBetween(
         Window.unboundedPreceding, -1)), F.lit(0))
-    # One row per piece, at most MAX_PIECES.
+    # One row per piece.
     offsets = F.broadcast(sizes.select("_piece", before.alias("_off")))
     inside = F.row_number().over(Window.partitionBy("_piece").orderBy(column))
     return placed.join(offsets, "_piece").withColumn("rank", F.col("_off") + inside).drop("_piece", "_off")
@@ -172,49 +171,29 @@ def ranked_groups(df: DataFrame, keys: list[str], value: str, tie: str, groups:
                   task_rows: int = TASK_ROWS, rows: int | None = None) -> DataFrame:
     """Adds `bucket`, the equal-count group 1..groups of each row by `(value, tie)`, per key group.
 
-    Small input: one `ntile` window. Otherwise only the group borders are found: the value at each border from
-    running totals, then the tie-break value inside the rows that share it. Rows are then labelled by comparing
-    them with at most groups - 1 borders, so no row is shuffled or sorted.
+    One way for every size: rows are range-partitioned by (keys, value, tie) and written, so that a row's place is fixed
+    before its position inside the partition and the sizes of the earlier partitions are added up. The first
+    n % groups groups hold one row more. Nulls come first, NaN last; keys, values and ties may have any sortable type.
+    `rows` and `task_rows` only set the number of partitions.
     """
-    if not keys:
-        one = df.withColumn("_one", F.lit(0))
-        return ranked_groups(one, ["_one"], value, tie, groups, task_rows, rows).drop("_one")
-    rows = df.count() if rows is None else rows
-    if rows <= task_rows:
-        order = Window.partitionBy(*keys).orderBy(value, tie)
-        return df.withColumn("bucket", F.ntile(groups).over(order))
-    totals = value_totals(df, keys, value, {"n": F.count(F.lit(1))}, task_rows, rows)
-    lasts = F.sequence(F.lit(1), F.lit(groups - 1))
-    # Rank of the last row of each group but the final one.
-    size, extra = F.floor(F.col("n_all") / groups), F.col("n_all") % groups
-    borders = totals.select("*", F.explode(lasts).alias("_g")).withColumn(
-        "_rank", F.col("_g") * size + F.least(F.col("_g").cast("long"), extra))
-    borders = borders.where(
-        (F.col("n_before") < F.col("_rank")) & (F.col("_rank") <= F.col("n_before") + F.col("n")))
-    borders = borders.select(*keys, F.col(value).alias("_v"), (F.col("_rank") - F.col("n_before")).alias("_r"), "n")
-    held = small_table(borders, LOOKUP_ROWS)
-    spots = borders if held is None else F.broadcast(held)
-    # Rows sharing a border value: a distributed sort of those alone when ties are many.
-    wanted = spots.select(*[F.col(k).alias(f"_{k}") for k in keys], "_v").distinct()
-    condition = df[value] == wanted["_v"]
-    for key in keys:
-        condition = condition & df[key].eqNullSafe(wanted[f"_{key}"])
-    tied = df.join(F.broadcast(wanted) if held is not None else wanted, condition).select(*keys, "_v", tie)
-    inner = value_totals(tied, [*keys, "_v"], tie, {"n": F.count(F.lit(1))}, task_rows)
-    match = inner.alias("i").join(
-        spots.alias("s"),
-        [F.col(f"i.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys] + [F.col("i._v") == F.col("s._v")])
-    cuts = match.where(
-        (F.col("n_before") < F.col("_r")) & (F.col("_r") <= F.col("n_before") + F.col("i.n"))
-    ).groupBy(*[F.col(f"i.{k}").alias(f"_{k}") for k in keys]).agg(
-        F.collect_list(F.struct(F.col("i._v").alias("v"), F.col(f"i.{tie}").alias("t"))).alias("_cuts"))
-    held = small_table(cuts, LOOKUP_ROWS // groups)
-    side = cuts if held is None else F.broadcast(held)
-    condition = None
+    by = [*keys, value, tie]
+    held = df.repartitionByRange(math.ceil(rows / task_rows) or 1, *by) if rows is not None else df.repartitionByRange(*by)
+    placed = pin(held.withColumn("_piece", F.spark_partition_id()))
+    sizes = placed.groupBy(*keys, "_piece").agg(F.count(F.lit(1)).alias("_n"))
+    whole = Window.partitionBy(*keys)
+    before = F.coalesce(F.sum("_n").over(whole.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # One row per key group and partition.
+    offsets = sizes.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_piece").alias("_at"), before.alias("_off"),
+                           F.sum("_n").over(whole).alias("_all"))
+    inside = placed.withColumn("_r", F.row_number().over(Window.partitionBy(*keys, "_piece").orderBy(value, tie)))
+    condition = inside["_piece"] == offsets["_at"]
     for key in keys:
-        term = df[key].eqNullSafe(side[f"_{key}"])
-        condition = term if condition is None else condition & term
-    joined = df.join(side, condition, "left")
-    here = F.struct(F.col(value).alias("v"), F.col(tie).alias("t"))
-    bucket = F.coalesce(F.size(F.filter("_cuts", lambda c: c < here)), F.lit(0)) + 1
-    return joined.withColumn("bucket", bucket).drop("_cuts", *[f"_{k}" for k in keys])
+        condition = condition & inside[key].eqNullSafe(offsets[f"_{key}"])
+    ranked = inside.join(offsets, condition).withColumn("_rank", F.col("_off") + F.col("_r") - 1)
+    size, extra = F.floor(F.col("_all") / groups), F.col("_all") % groups
+    # The larger groups come first; past them, ranks are counted in groups of the smaller size.
+    wide = extra * (size + 1)
+    bucket = F.when(F.col("_rank") < wide, F.floor(F.col("_rank") / (size + 1))).otherwise(
+        extra + F.floor(F.try_divide(F.col("_rank") - wide, size)))
+    return ranked.withColumn("bucket", (bucket + 1).cast("int")).drop(
+        "_piece", "_at", "_off", "_all", "_r", "_rank", *[f"_{k}" for k in keys])

@@ -40,7 +40,6 @@ CREDIT_BOUNDS = {
 }
 GRADES = "ABCDEFG"
 ONE_HOT_COLUMNS = ["home_ownership", "verification_status", "initial_list_status", "application_type"]
-MAX_LEVELS = 1000
 
 
 def leakage_columns(df: DataFrame) -> list[str]:
@@ -103,9 +102,7 @@ def fill_numeric_by_group(df: DataFrame, columns: list[str], group: str = "grade
     ).drop(*[f"_m_{c}" for c in columns])
     filled = fill(df)
     fitted = filled if fit_on is None else fill(fit_on)
-    rest = fitted.agg(*[F.count(F.when(F.col(c).isNull(), 1)).alias(c) for c in columns]).collect()[0].asDict()
-    if fit_on is not None:
-        rest = filled.agg(*[F.count(F.when(F.col(c).isNull(), 1)).alias(c) for c in columns]).collect()[0].asDict()
+    rest = filled.agg(*[F.count(F.when(F.col(c).isNull(), 1)).alias(c) for c in columns]).collect()[0].asDict()
     left = [c for c in columns if rest[c]]
     return fill_numeric(filled, left, fitted) if left else filled
 
@@ -211,16 +208,23 @@ def encode_rank(df: DataFrame, column: str = "sub_grade") -> DataFrame:
 
 def encode_target_rate(df: DataFrame, column: str = "purpose", target: str = "default_flag",
                        fit_on: DataFrame | None = None) -> DataFrame:
-    """Category to its mean target; fit on the training rows to keep later rows out of it."""
-    source = df if fit_on is None else fit_on
-    rates = source.where(F.col(column).isNotNull()).groupBy(column).agg(
-        F.avg(F.col(target).cast("double")).alias(f"{column}_risk"))
-    return join_lookup(df, rates, [column])
-
+    """Category to its mean target; fit on the training rows to keep later rows out of it.
 
-def category_levels(df: DataFrame, column: str, limit: int = MAX_LEVELS) -> list[str]:
-    """Sorted distinct values; more than `limit` levels make one-hot columns meaningless and raise."""
-    held = small_table(df.where(F.col(column).isNotNull()).select(F.col(column).cast("string")).distinct(), limit)
+    A category that the fitted rows do not hold gets their overall rate; null stays null.
+    """
+    source = df if fit_on is None else fit_on
+    rate = F.avg(F.col(target).cast("double"))
+    rates = source.where(F.col(column).isNotNull()).groupBy(column).agg(rate.alias(f"{column}_risk"))
+    overall = source.agg(rate.alias("r")).collect()[0]["r"]
+    coded = join_lookup(df, rates, [column])
+    unseen = F.when(F.col(column).isNotNull(), F.lit(overall).cast("double"))
+    return coded.withColumn(f"{column}_risk", F.coalesce(F.col(f"{column}_risk"), unseen))
+
+
+def category_levels(df: DataFrame, column: str, limit: int | None = None) -> list[str]:
+    """Sorted distinct values; a caller that wants no more than `limit` of them gets an error beyond it."""
+    levels = df.where(F.col(column).isNotNull()).select(F.col(column).cast("string")).distinct()
+    held = levels if limit is None else small_table(levels, limit)
     if held is None:
         raise ValueError(f"{column} has more than {limit} levels; use encode_target_rate")
     return sorted(r[0] for r in held.collect())

@@ -6,9 +6,11 @@ size depends on the number of columns only.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, Window
@@ -24,7 +26,6 @@ from loanstrata.session import pin
 IV_BANDS = [(0.02, "not useful"), (0.10, "weak"), (0.30, "medium"), (0.50, "strong")]
 EMPTY_SHARE = 0.0001
 INFINITE_VIF = 999999.99
-PAIRS_PER_PASS = 200
 
 
 def split_report(df: DataFrame) -> DataFrame:
@@ -171,32 +172,40 @@ def woe_transform(df: DataFrame, label: str, cuts: dict[str, list[float]]) -> Da
 
 
 def correlation_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Pearson correlation of every pair of columns over the rows that hold both.
+    """Pearson correlation of every pair of columns over the rows that hold both; null where it is undefined.
 
-    Up to a few hundred pairs fit one aggregate. Above that, columns without nulls go through one distributed
-    covariance pass, and the rest in blocks of pairs.
+    One pass for any number of columns and any nulls: each task adds up the products of all pairs and of their
+    indicators of finite values, and the matrices of the tasks are summed in Spark. NaN and infinite values count as
+    missing; a pair with a constant column, or with fewer than two common rows, has no correlation.
     """
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1:]]
-    spark = df.sparkSession
-    number = lambda c: F.col(c).cast("double")
-    if len(pairs) <= PAIRS_PER_PASS:
-        one = df.agg(*[F.corr(number(a), number(b)).alias(f"_{i}") for i, (a, b) in enumerate(pairs)])
-        return struct_rows(one, [], [
-            F.struct(F.lit(a).alias("feature_1"), F.lit(b).alias("feature_2"), F.col(f"_{i}").alias("r"))
-            for i, (a, b) in enumerate(pairs)])
-    nulls = df.agg(*[F.count(F.when(F.col(c).isNull(), 1)).alias(c) for c in columns]).collect()[0].asDict()
-    full = [c for c in columns if nulls[c] == 0]
-    found = {}
-    if len(full) > 1:
-        matrix, _, _ = _pearson(df, full)
-        found = {(a, b): float(matrix[i, i + 1 + j]) for i, a in enumerate(full) for j, b in enumerate(full[i + 1:])}
-    rest = [p for p in pairs if p not in found]
-    for start in range(0, len(rest), PAIRS_PER_PASS):
-        block = rest[start:start + PAIRS_PER_PASS]
-        row = df.agg(*[F.corr(number(a), number(b)).alias(f"_{i}") for i, (a, b) in enumerate(block)]).collect()[0]
-        found.update({p: row[f"_{i}"] for i, p in enumerate(block)})
-    rows = [(a, b, None if found[a, b] is None or np.isnan(found[a, b]) else found[a, b]) for a, b in pairs]
-    return spark.createDataFrame(rows, "feature_1 string, feature_2 string, r double")
+    k = len(columns)
+    values = df.select(*[finite(F.col(c)).alias(c) for c in columns])
+    stats = moments(values, columns)
+    centre = np.array([stats[c]["mean"] or 0.0 for c in columns])
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, sx, sxx, sxy = (np.zeros((k, k)) for _ in range(4))
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns])
+            held = ~np.isnan(x)
+            x = np.where(held, x - centre, 0.0)
+            m = held.astype(float)
+            n, sx, sxx, sxy = n + m.T @ m, sx + x.T @ m, sxx + (x * x).T @ m, sxy + x.T @ x
+        i, j = np.triu_indices(k, 1)
+        yield pa.RecordBatch.from_arrays([pa.array(v) for v in (
+            i, j, n[i, j], sx[i, j], sx.T[i, j], sxx[i, j], sxx.T[i, j], sxy[i, j])], ["i", "j", "n", "sx", "sy", "sxx", "syy", "sxy"])
+
+    sums = values.mapInArrow(products, "i long, j long, n double, sx double, sy double, sxx double, syy double, sxy double").groupBy(
+        "i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
+    n = F.col("n")
+    vx, vy = F.col("sxx") - F.try_divide(F.col("sx") * F.col("sx"), n), F.col("syy") - F.try_divide(F.col("sy") * F.col("sy"), n)
+    # Rounding leaves a trace of variance in a constant column.
+    varied = (n >= 2) & (vx > F.col("sxx") * 1e-14) & (vy > F.col("syy") * 1e-14) & (vx > 0) & (vy > 0)
+    r = F.try_divide(F.col("sxy") - F.try_divide(F.col("sx") * F.col("sy"), n), F.sqrt(vx) * F.sqrt(vy))
+    constant = [i for i, c in enumerate(columns) if stats[c]["min"] == stats[c]["max"]]
+    usable = varied & ~F.col("i").isin(constant) & ~F.col("j").isin(constant)
+    name = lambda c: F.get(F.array(*[F.lit(x) for x in columns]), F.col(c).cast("int"))
+    return sums.select(name("i").alias("feature_1"), name("j").alias("feature_2"), F.when(usable, r).alias("r"))
 
 
 def _pearson(df: DataFrame, columns: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -209,7 +218,7 @@ def _pearson(df: DataFrame, columns: list[str]) -> tuple[np.ndarray, np.ndarray,
 
 
 def flagged_pairs(pairs: DataFrame, threshold: float = 0.85) -> DataFrame:
-    return pairs.where(F.abs("r") > threshold).orderBy(F.desc(F.abs("r")), "feature_1", "feature_2")
+    return pairs.where((F.abs("r") > threshold) & ~F.isnan("r")).orderBy(F.desc(F.abs("r")), "feature_1", "feature_2")
 
 
 def correlation_summary(pairs: DataFrame, threshold: float = 0.85) -> DataFrame:
@@ -245,9 +254,11 @@ class Gram:
 
 
 def gram(df: DataFrame, columns: list[str]) -> Gram:
-    """One distributed covariance pass; constant columns are left out."""
+    """One distributed covariance pass; constant columns are left out, and fewer than two columns give none."""
     stats = moments(df, columns)
-    varied = [c for c in columns if stats[c]["std_pop"]]
+    varied = [c for c in columns if stats[c]["std_pop"] and stats[c]["min"] != stats[c]["max"]]
+    if len(varied) < 2:
+        return Gram([], np.zeros((0, 0)), np.zeros(0))
     matrix, means, spread = _pearson(df, varied)
     return Gram(varied, matrix * np.outer(spread, spread) + np.outer(means, means), means)
 

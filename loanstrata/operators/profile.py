@@ -202,9 +202,9 @@ def _null_correlations(patterns: DataFrame, pairs: list[tuple[str, str]]) -> Dat
     return struct_rows(sums, [], rows)
 
 
-def segmented_null_rates(df: DataFrame, group: str, columns: list[str], first: int = 15) -> DataFrame:
+def segmented_null_rates(df: DataFrame, group: str, columns: list[str]) -> DataFrame:
     """Null rate of each column within each group value, long form."""
-    chosen = columns[:first]
+    chosen = columns
     rates = df.where(F.col(group).isNotNull()).groupBy(F.col(group).alias("segment")).agg(*[
         F.avg(F.col(c).isNull().cast("int")).alias(f"r_{c}") for c in chosen
     ])
@@ -217,7 +217,7 @@ def welch_by_missingness(df: DataFrame, null_columns: list[str], test_columns: l
                          min_side: int = 10) -> DataFrame:
     """Welch t of each test column between rows where another column is present and rows where it is missing.
 
-    All pairs in one pass: six conditional aggregates per pair (at most 10 x 5 pairs in the default report).
+    All pairs in one pass: six conditional aggregates per pair.
     """
     pairs = [(a, b) for a in null_columns for b in test_columns if a != b]
     aggs = []
@@ -241,7 +241,7 @@ def welch_by_missingness(df: DataFrame, null_columns: list[str], test_columns: l
 
 def mcar_flags(df: DataFrame, null_columns: list[str], test_columns: list[str], top: int = 15) -> DataFrame:
     """The pairs that speak against missing completely at random (p below 0.05), strongest first."""
-    tests = welch_by_missingness(df, null_columns[:10], test_columns[:5])
+    tests = welch_by_missingness(df, null_columns, test_columns)
     tests = tests.withColumn("p_value", student_p("t_statistic", "welch_df")).where(F.col("p_value") < 0.05)
     verdict = F.when(F.col("p_value") < 0.01, "MAR likely").otherwise("Possibly MAR")
     return tests.withColumn("interpretation", verdict).orderBy("p_value", "null_column", "test_column").limit(top)

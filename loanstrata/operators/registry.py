@@ -71,10 +71,11 @@ def registry_state(events: DataFrame) -> DataFrame:
     return joined.withColumn("champion", F.col("champion_id").isNotNull()).drop("_t", "champion_id")
 
 
-def list_models(state: DataFrame, model_type: str | None = None, limit: int = 100) -> DataFrame:
+def list_models(state: DataFrame, model_type: str | None = None, limit: int | None = None) -> DataFrame:
     """Newest first, optionally of one type."""
     chosen = state if model_type is None else state.where(F.col("model_type") == model_type.upper())
-    return chosen.orderBy(F.desc("registered_at"), "model_id").limit(limit)
+    newest = chosen.orderBy(F.desc("registered_at"), "model_id")
+    return newest if limit is None else newest.limit(limit)
 
 
 def get_model(state: DataFrame, model_id: str) -> DataFrame:

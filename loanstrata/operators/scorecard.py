@@ -55,7 +55,7 @@ def dq_scorecard(df: DataFrame, target: str = "default_flag", skip: tuple[str, .
     vif = 0.0
     if use_vif:
         factors = features.gram(data, numbers)
-        vif = max(factors.vif(factors.columns).values(), default=0.0)
+        vif = max(factors.vif(factors.columns).values(), default=0.0) if factors.columns else 0.0
         where = f"{where}; max VIF {vif:.2f}"
     add("DQ-05", "Multicollinearity", verdict(r > CORRELATION or vif > VIF), r, CORRELATION, where)
     strength = metrics.feature_auc(data, numbers, target).collect()

@@ -8,7 +8,7 @@ from loanstrata.operators import drift, scorecard
 from loanstrata.plans.tape import resolved_loans, table
 from loanstrata.registered import register
 from loanstrata.registered.profiling import rounded
-from loanstrata.registered.sql import unpivot, with_tape
+from loanstrata.registered.sql import inflation, unpivot, with_tape
 from loanstrata.session import pin
 
 DRIFT = ["loan_amnt", "annual_inc", "dti", "revol_bal", "open_acc"]
@@ -163,7 +163,8 @@ _PSI = ", psis AS (" + _psi_sql("test", LEFT_CLOSED, REPLACE, total="c").lstrip(
 
 @register("dq_scorecard", with_tape(EDGES + _AUC + _SHARES + _OUT + _PSI +
     ", r AS (SELECT greatest(" + ", ".join(
-        f"abs(corr({a}, {b}))" for i, a in enumerate(DRIFT) for b in DRIFT[i + 1:]) + ") AS r FROM resolved), x AS ("
+        f"abs(corr({a}, {b}))" for i, a in enumerate(DRIFT) for b in DRIFT[i + 1:]) + ") AS r FROM resolved), "
+    + inflation(DRIFT) + ", x AS ("
     "SELECT 'DQ-01' AS test_id, max(null_rate) AS value, CASE WHEN max(null_rate) > 0.05 THEN 'FAIL' ELSE 'PASS' END AS status FROM ov "
     "UNION ALL SELECT 'DQ-02', least(avg(default_flag), 1 - avg(default_flag)), CASE WHEN least(avg(default_flag), 1 - avg(default_flag)) < 0.05 "
     "THEN 'FAIL' ELSE 'PASS' END FROM resolved UNION ALL SELECT 'DQ-03', max(u), CASE WHEN max(u) > 50 THEN 'FAIL' ELSE 'PASS' END FROM ov "
@@ -174,8 +175,8 @@ _PSI = ", psis AS (" + _psi_sql("test", LEFT_CLOSED, REPLACE, total="c").lstrip(
     "count(*) FILTER (2 * auc - 1 < 0.02 OR 2 * auc - 1 > 0.5), CASE WHEN count(*) FILTER (2 * auc - 1 < 0.02 OR 2 * auc - 1 > 0.5) > 0 THEN "
     "'WARN' ELSE 'PASS' END FROM au UNION ALL SELECT 'DQ-10', max(s), CASE WHEN max(s) > 0.9 THEN 'FAIL' ELSE 'PASS' END FROM ("
     + " UNION ALL ".join(f"SELECT avg(CASE WHEN TRY_CAST({c} AS DOUBLE) IS NOT NULL THEN 1 ELSE 0 END) FILTER ({c} IS NOT NULL) AS s FROM resolved"
-                         for c in _TXT) + ") UNION ALL SELECT 'DQ-05', r, CASE WHEN r > 0.85 THEN 'FAIL' ELSE 'PASS' END FROM r) "
+                         for c in _TXT) + ") UNION ALL SELECT 'DQ-05', r, CASE WHEN r > 0.85 OR (SELECT max(vif) FROM vifs) > 10 THEN 'FAIL' ELSE 'PASS' END FROM r) "
     "SELECT test_id, status, round(value, 6) AS value FROM x"))
 def dq_scorecard(spark, folder):
     rows = resolved_loans(spark, folder, [*_NUM, *_TXT]).select("id", "split", "default_flag", *_NUM, *_TXT)
-    return rounded(scorecard.dq_scorecard(rows, use_vif=False).select("test_id", "status", "value"), value=6)
+    return rounded(scorecard.dq_scorecard(rows).select("test_id", "status", "value"), value=6)

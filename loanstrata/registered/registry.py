@@ -42,7 +42,7 @@ def registry_summary(spark, folder):
     return registry.registry_summary(registry.registry_state(registrations(spark, folder)))
 
 
-@register("registry_newest", EVENTS + "SELECT model_id, model_type FROM state ORDER BY registered_at DESC, model_id LIMIT 100")
+@register("registry_newest", EVENTS + "SELECT model_id, model_type FROM state ORDER BY registered_at DESC, model_id")
 def registry_newest(spark, folder):
     state = registry.registry_state(registrations(spark, folder))
     return registry.list_models(state).select("model_id", "model_type")

@@ -58,3 +58,27 @@ def unpivot(columns: list[str], keep: str = "", source: str = "tape") -> str:
     lead = f"{keep}, " if keep else ""
     parts = [f"SELECT {lead}'{c}' AS feature, CAST({c} AS DOUBLE) AS value FROM {source}" for c in columns]
     return "SELECT * FROM (" + " UNION ALL ".join(parts) + ") WHERE value IS NOT NULL"
+
+
+def determinant(cell, rows: list[int], columns: list[int]) -> str:
+    """SQL for the determinant of a small matrix whose entries are `cell(i, j)`, by expansion along the first row."""
+    if not rows:
+        return "1"
+    parts = []
+    for k, j in enumerate(columns):
+        minor = determinant(cell, rows[1:], columns[:k] + columns[k + 1:])
+        parts.append(f"{'-' if k % 2 else '+'} {cell(rows[0], j)} * ({minor})")
+    return " ".join(parts)
+
+
+def inflation(columns: list[str], source: str = "resolved") -> str:
+    """CTE `vifs(feature, vif)`: variance inflation without intercept over the rows that hold all columns."""
+    n = range(len(columns))
+    cells = ", ".join(f"sum({columns[i]} * {columns[j]}) / sqrt(sum({columns[i]} * {columns[i]}) * sum({columns[j]} * {columns[j]})) AS g{i}_{j}"
+                      for i in n for j in n if i < j)
+    cell = lambda i, j: "1" if i == j else f"g{min(i, j)}_{max(i, j)}"
+    whole = determinant(cell, list(n), list(n))
+    rows = " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, ({determinant(cell, [i for i in n if i != k], [i for i in n if i != k])}) / ({whole}) AS vif FROM gram"
+        for k, c in enumerate(columns))
+    return (f"gram AS (SELECT {cells} FROM {source} WHERE " + " AND ".join(f"{c} IS NOT NULL" for c in columns) + f"), vifs AS ({rows})")

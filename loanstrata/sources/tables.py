@@ -54,11 +54,13 @@ def schema_rows(df: DataFrame, key: str | None = None) -> DataFrame:
 
 
 def describe_table(df: DataFrame, dictionary: DataFrame, key: str | None = None) -> DataFrame:
-    """Schema rows with the dictionary text of each column; names match without case and outer blanks."""
+    """Schema rows with the dictionary text of each column; names match without case and outer blanks.
+
+    Adaptive execution picks the join: the schema side is one row per column.
+    """
     texts = dictionary.select(F.lower(F.trim("field")).alias("_f"), "description").dropDuplicates(["_f"])
     columns = schema_rows(df, key)
-    # The schema side is a local relation, so it is the one that is broadcast.
-    return F.broadcast(columns).join(texts, F.lower(F.trim("name")) == F.col("_f"), "left").drop("_f")
+    return columns.join(texts, F.lower(F.trim("name")) == F.col("_f"), "left").drop("_f")
 
 
 def dictionary_summary(df: DataFrame, dictionary: DataFrame, first: int = 30) -> DataFrame:

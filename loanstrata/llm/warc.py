@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 
 MIN_REVISIT_BYTES = 1000
 SEGMENT_BYTES = 8 << 20
-ARCHIVE_BYTES = 32 << 20
 INFLATE_BYTES = 1 << 16
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\nContent-Length: %d\r\n\r\n"
 
@@ -155,15 +154,14 @@ def with_revisits(pages: DataFrame) -> DataFrame:
     large = F.octet_length("html") >= MIN_REVISIT_BYTES
     digests = rows.where(large).groupBy(F.sha2("html", 256).alias("_digest")).agg(
         F.max("page_id").alias("_kept"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
-    keyed = rows.withColumn("_key", F.when(large, F.sha2("html", 256)))
+    # Small payloads have keys of their own, so that they do not meet in one task.
+    keyed = rows.withColumn("_key", F.when(large, F.sha2("html", 256)).otherwise(F.concat(F.lit("-"), F.xxhash64("page_id"))))
     joined = keyed.join(digests, keyed["_key"] == digests["_digest"], "left")
     return joined.select("page_id", "url", "html", F.when(F.col("_kept") != F.col("page_id"), F.col("_kept")).alias("refers_to"))
 
 
 def write_archives(pages: DataFrame, folder: str) -> None:
-    """Writes a record for each row into .warc.gz files of about ARCHIVE_BYTES of payload each."""
-    size = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
-    spark = pages.sparkSession
+    """Writes a record for each row, one archive for each task of the join that finds the revisits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,9 +173,7 @@ def write_archives(pages: DataFrame, folder: str) -> None:
                 # The sink's separator is the last byte of each member.
                 yield pa.RecordBatch.from_arrays([pa.array([m[:-1] for m in made], pa.binary())], ["value"])
 
-    count = max(spark.sparkContext.defaultParallelism, -(-size // ARCHIVE_BYTES))
-    revisits = with_revisits(pages)
-    packed = revisits.repartition(int(count)).mapInArrow(run, "value binary")
+    packed = with_revisits(pages).mapInArrow(run, "value binary")
     packed.select(F.col("value").cast("string")).write.option("lineSep", "\0").text(folder)
 
 

@@ -159,48 +159,49 @@ def additive_contributions(df: DataFrame, importances: dict[str, float], fit_on:
     return df.select("id", *[c.alias(n) for n, c in parts.items()], total.alias("total_contribution"))
 
 
-def nearest_neighbours(points: DataFrame, features: list[str], k: int = 5, block_rows: int = 50_000) -> DataFrame:
-    """Exact k nearest rows of every row: `(id, neighbour, rank)`.
+def nearest_neighbours(points: DataFrame, features: list[str], k: int = 5, leaf_rows: int = 20_000, trees: int = 6) -> DataFrame:
+    """The k nearest rows of every row among its candidates: `(id, neighbour, rank, distance)`.
 
-    The rows are cut into blocks of bounded size. Each block in turn is sent to all tasks, which keep the k best of it
-    for each of their rows by a matrix product over slices; a last grouping merges the k best of the blocks. Pairs are
-    never written out, and no block is larger than `block_rows`.
+    Candidates share a leaf: rows are ordered by a random projection and range-partitioned into leaves of about
+    `leaf_rows` rows, once for each of `trees` projections, and compared inside each leaf by matrix products. Up to
+    `leaf_rows` rows there is one leaf, and the result is exact; beyond it, more trees find more of the true neighbours.
+    Nothing passes the driver, work grows with the rows, and ids cut groups of equal rows.
     """
-    spark = points.sparkSession
     data = pin(points.select("id", *[F.col(f).cast("double").alias(f) for f in features]))
-    blocks = max(1, -(-data.count() // block_rows))
-    # Twice as many hash blocks as needed keeps the largest below the bound.
-    blocks = blocks if blocks == 1 else 2 * blocks
-    at = F.pmod(F.xxhash64("id", F.lit("block")), F.lit(blocks))
+    stats = moments(data, features)
+    leaves = max(1, -(-stats.rows // leaf_rows))
+    draws = np.random.default_rng(17)
     found = None
-    for b in range(blocks):
-        held = data.where(at == b).toPandas()
-        if held.empty:
-            continue
-        shared = spark.sparkContext.broadcast((held["id"].to_numpy(), held[features].to_numpy()))
-        part = data.mapInPandas(_nearest_in_block(shared, features, k), "id long, neighbour long, distance double")
+    for _ in range(1 if leaves == 1 else trees):
+        weights = draws.normal(size=len(features))
+        line = sum((F.coalesce(F.col(f), F.lit(0.0)) * float(w / (stats[f]["std_pop"] or 1.0)) for f, w in zip(features, weights)), F.lit(0.0))
+        dealt = data.withColumn("_line", line).repartitionByRange(leaves, "_line", "id").drop("_line")
+        part = dealt.mapInPandas(_nearest_in_leaf(features, k), "id long, neighbour long, distance double")
         found = part if found is None else found.unionByName(part)
-    best = F.slice(F.sort_array(F.collect_list(F.struct("distance", "neighbour"))), 1, k)
+    # At most k rows per tree meet for each id.
+    best = F.slice(F.array_sort(F.collect_set(F.struct("distance", "neighbour"))), 1, k)
     return found.groupBy("id").agg(best.alias("_n")).select("id", F.posexplode("_n").alias("rank", "_n")).select(
         "id", F.col("_n.neighbour").alias("neighbour"), (F.col("rank") + 1).alias("rank"), F.col("_n.distance").alias("distance"))
 
 
-def _nearest_in_block(shared, features: list[str], k: int):
+def _nearest_in_leaf(features: list[str], k: int):
     def run(batches):
-        ids, points = shared.value
+        held = list(batches)
+        if not held:
+            return
+        leaf = pd.concat(held)
+        ids, points = leaf["id"].to_numpy(), leaf[features].to_numpy()
         norms = (points * points).sum(axis=1)
-        for pdf in batches:
-            for start in range(0, len(pdf), 256):
-                part = pdf.iloc[start:start + 256]
-                x = part[features].to_numpy()
-                gap = (x * x).sum(axis=1)[:, None] + norms[None, :] - 2 * x @ points.T
-                gap[part["id"].to_numpy()[:, None] == ids[None, :]] = np.inf
-                keep = min(k, len(ids))
-                near = np.argpartition(gap, keep - 1, axis=1)[:, :keep]
-                found = np.take_along_axis(gap, near, axis=1)
-                ok = np.isfinite(found).ravel()
-                yield pd.DataFrame({"id": np.repeat(part["id"].to_numpy(), keep)[ok], "neighbour": ids[near].ravel()[ok],
-                                    "distance": np.sqrt(np.maximum(found, 0)).ravel()[ok]})
+        keep = min(k, len(ids))
+        for start in range(0, len(ids), 256):
+            x, own = points[start:start + 256], ids[start:start + 256]
+            gap = norms[start:start + 256, None] + norms[None, :] - 2 * x @ points.T
+            gap[own[:, None] == ids[None, :]] = np.inf
+            near = np.argpartition(gap, keep - 1, axis=1)[:, :keep]
+            ok = np.isfinite(np.take_along_axis(gap, near, axis=1)).ravel()
+            # The chosen few are measured again by differences, so that every leaf gives a pair the same distance.
+            exact = np.sqrt(((x[:, None, :] - points[near]) ** 2).sum(axis=2)).ravel()
+            yield pd.DataFrame({"id": np.repeat(own, keep)[ok], "neighbour": ids[near].ravel()[ok], "distance": exact[ok]})
     return run
 
 
@@ -208,11 +209,11 @@ def smote(df: DataFrame, features: list[str], target: str, enabled: bool = False
           never_from: float = 0.40, k: int = 5, seed: int = 42) -> DataFrame:
     """Adds synthetic minority rows until both classes are equal, if enabled and the minority is rare enough.
 
-    A synthetic row lies at a random point between a minority row and one of its k nearest minority rows. Every minority
-    row gives the same number of rows, give or take one.
+    A synthetic row lies at a random point between a minority row, its `parent_id`, and one of its k nearest minority
+    rows; its id follows the largest one. Every minority row gives the same number of rows, give or take one.
     """
     base = df.select("id", F.col(target).cast("int").alias(target), *[F.col(f).cast("double").alias(f) for f in features],
-                     F.lit(False).alias("synthetic"))
+                     F.lit(False).alias("synthetic"), F.lit(None).cast("long").alias("parent_id"))
     if not enabled:
         return base
     sizes = {r[target]: r["n"] for r in base.groupBy(target).agg(F.count(F.lit(1)).alias("n")).limit(3).collect()}
@@ -223,19 +224,23 @@ def smote(df: DataFrame, features: list[str], target: str, enabled: bool = False
     if minor / total >= min(below, never_from) or minor < 2:
         return base
     missing = total - 2 * minor
-    minority = base.where(F.col(target) == rare)
-    near = nearest_neighbours(minority, features, k)
+    minority = pin(base.where(F.col(target) == rare).drop("synthetic", "parent_id"))
+    last = base.agg(F.max("id")).first()[0]
+    near = nearest_neighbours(minority, features, k).groupBy("id").agg(
+        F.array_sort(F.collect_list(F.struct("rank", "neighbour"))).alias("_near"))
     each, extra = divmod(missing, minor)
     unit = lambda *c: F.pmod(F.xxhash64(*c), F.lit(2 ** 52)) / F.lit(float(2 ** 52))
     # The `extra` rows of lowest rank in a random order give one more.
     ticket = minority.select("id", F.concat(F.hex(F.xxhash64("id", F.lit(seed))), F.lit("-"), F.col("id").cast("string")).alias("_t"))
-    picks = rank_values(ticket, "_t").where(F.col("rank") <= extra).select("id", F.lit(1).alias("_one"))
-    copies = minority.join(picks, "id", "left").withColumn("_copies", F.lit(each) + F.coalesce("_one", F.lit(0))).where("_copies > 0")
-    drawn = copies.withColumn("copy", F.explode(F.expr("sequence(1, _copies)"))).withColumn(
-        "rank", (F.floor(unit("id", "copy", F.lit(seed)) * min(k, minor - 1)) + 1).cast("int"))
+    ranked = rank_values(ticket, "_t").select("id", "rank")
+    copies = F.lit(each) + (F.col("rank") <= extra).cast("int")
+    drawn = minority.join(ranked, "id").join(near, "id").withColumn("_copies", copies).where("_copies > 0")
+    drawn = drawn.withColumn("copy", F.explode(F.expr("sequence(1, _copies)"))).withColumn(
+        "neighbour", F.get("_near", F.floor(unit("id", "copy", F.lit(seed)) * F.size("_near")).cast("int"))["neighbour"])
     other = minority.select(F.col("id").alias("neighbour"), *[F.col(f).alias(f"_n_{f}") for f in features])
-    paired = drawn.join(near.select("id", "rank", "neighbour"), ["id", "rank"]).join(other, "neighbour")
     share = unit("id", "copy", F.lit(seed), F.lit("share"))
-    made = paired.select("id", target, *[(F.col(f) + share * (F.col(f"_n_{f}") - F.col(f))).alias(f) for f in features],
-                         F.lit(True).alias("synthetic"))
+    made = drawn.join(other, "neighbour").select(
+        (F.lit(last) + (F.col("copy") - 1) * minor + F.col("rank")).cast("long").alias("id"), target,
+        *[(F.col(f) + share * (F.col(f"_n_{f}") - F.col(f))).alias(f) for f in features],
+        F.lit(True).alias("synthetic"), F.col("id").alias("parent_id"))
     return base.unionByName(made)

@@ -159,6 +159,21 @@ def smote(spark, folder):
     return robustness.smote(rare, ["loan_amnt", "open_acc"], "rare", enabled=True)
 
 
+@register("smote_counts", with_tape(
+    ", r AS (SELECT CASE WHEN id % 29 = 0 AND default_flag = 1 THEN 1 ELSE 0 END AS rare FROM resolved), n AS (SELECT count(*) FILTER (rare = 0) AS n0, "
+    "count(*) FILTER (rare = 1) AS n1 FROM r) SELECT 0 AS rare, false AS synthetic, n0 AS n, n0 AS ids, CAST(0 AS BIGINT) AS outside FROM n UNION ALL "
+    "SELECT 1, false, n1, n1, 0 FROM n UNION ALL SELECT 1, true, n0 - n1, n0 - n1, 0 FROM n"))
+def smote_counts(spark, folder):
+    """Rows and distinct ids per class, and synthetic rows outside the range of their class."""
+    rows = resolved_loans(spark, folder, ["loan_amnt", "dti"]).select("id", "default_flag", "loan_amnt", F.coalesce("dti", F.lit(0.0)).alias("dti"))
+    rare = rows.withColumn("rare", ((F.col("id") % 29 == 0) & (F.col("default_flag") == 1)).cast("int"))
+    limits = rare.where("rare = 1").agg(F.min("loan_amnt").alias("lo"), F.max("loan_amnt").alias("hi"))
+    out = attach(robustness.smote(rare, ["loan_amnt", "dti"], "rare", enabled=True), limits)
+    return out.groupBy("rare", "synthetic").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("ids"),
+        F.count(F.when(F.col("synthetic") & ~F.col("loan_amnt").between(F.col("lo") - 1e-9, F.col("hi") + 1e-9), 1)).alias("outside"))
+
+
 @register("additive_contributions", with_tape(
     ", m AS (SELECT avg(loan_amnt) AS a, avg(dti) AS d FROM resolved WHERE split = 'train') SELECT id, "
     "round((loan_amnt - a) * 0.75, 4) AS loan_amnt_contribution, round((dti - d) * 0.25, 4) AS dti_contribution, "

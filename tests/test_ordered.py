@@ -90,3 +90,30 @@ def test_one_class_is_undecided(spark):
     df = spark.createDataFrame([(1, 0.2), (1, 0.7)], "label int, score double")
     row = metrics.discrimination(df, []).collect()[0]
     assert (row["auc"], row["ks"], row["ks_pvalue"]) == (0.5, 0.0, None)
+
+
+def test_equal_groups_with_nulls_nan_and_text_ids(spark):
+    rng = np.random.default_rng(11)
+    n = 700
+    score = np.where(rng.random(n) < 0.25, None, np.where(rng.random(n) < 0.05, np.nan, np.round(rng.random(n), 1)))
+    rows = [(f"L{i}", "ab"[i % 3 == 0], None if s is None else float(s)) for i, s in enumerate(score)]
+    df = spark.createDataFrame(rows, "id string, g string, score double").repartition(4)
+    order = lambda r: (r[2] is not None, r[2] is not None and np.isnan(r[2]), 0.0 if r[2] is None or np.isnan(r[2]) else r[2], r[0])
+    want = {}
+    for g in "ab":
+        part = sorted((r for r in rows if r[1] == g), key=order)
+        for bucket, ids in enumerate(np.array_split([r[0] for r in part], 10), 1):
+            want.update({i: bucket for i in ids})
+    for size in (None, 10_000, TINY):
+        got = {r["id"]: r["bucket"] for r in ranked_groups(df, ["g"], "score", "id", 10, *([size, n] if size else [])).collect()}
+        assert got == want
+
+
+def test_correlation_survives_constant_and_odd_columns(spark):
+    from loanstrata.operators import features
+    df = spark.createDataFrame([(1.0, 2.0, 5.0, None), (2.0, 4.1, 5.0, float("nan")), (3.0, 5.9, 5.0, float("inf")), (4.0, 8.0, 5.0, 1.0)],
+                               "a double, b double, c double, d double")
+    got = {(r["feature_1"], r["feature_2"]): r["r"] for r in features.correlation_pairs(df, ["a", "b", "c", "d"]).collect()}
+    assert got["a", "b"] == pytest.approx(np.corrcoef([1, 2, 3, 4], [2, 4.1, 5.9, 8])[0, 1])
+    assert all(r is None for pair, r in got.items() if pair != ("a", "b")) and len(got) == 6
+    assert [r["feature_1"] for r in features.flagged_pairs(features.correlation_pairs(df, ["a", "b", "c", "d"])).collect()] == ["a"]

@@ -172,7 +172,10 @@ def _with_texts(docs: DataFrame, size: int, finish: Callable, schema) -> DataFra
     buckets = bucket_count(docs)
     reports = repeats(docs, size, buckets)
     home = F.pmod(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), F.lit(buckets)).cast("int")
-    left = docs.withColumn("_home", home).groupBy("_home")
+    key = "_home"
+    while key in docs.columns:
+        key += "_"
+    left = docs.withColumn(key, home).groupBy(key)
     return left.cogroup(reports.groupBy("bucket")).applyInArrow(
         lambda texts, found: finish(texts, spans_by_doc(found, size)), schema)
 

@@ -32,7 +32,7 @@ def kd_leaves(points: DataFrame, weight: str, dims: list[str], leaves: int) -> D
     coordinates stay together; an empty table gives no rows.
     """
     at = F.array(*[F.coalesce(F.col(d).cast("double"), F.lit(0.0)) for d in dims])
-    placed = points.withColumns({"_at": at, "_w": F.coalesce(F.col(weight).cast("double"), F.lit(0.0)), "_node": F.lit(0)})
+    placed = pin(points.withColumns({"_at": at, "_w": F.coalesce(F.col(weight).cast("double"), F.lit(0.0)), "_node": F.lit(0)}))
     nodes = {0: (0, leaves)}
     whole: list[float] | None = None
     fresh = 1
@@ -82,6 +82,8 @@ def kd_leaves(points: DataFrame, weight: str, dims: list[str], leaves: int) -> D
         placed = placed.join(table, placed["_node"] == table["n"], "left").withColumn("_node", F.when(
             F.col("n").isNull(), F.col("_node")).when(F.get("_at", F.col("dim")) <= F.col("cut"), F.col("lhs"))
             .otherwise(F.col("rhs"))).drop("n", "dim", "cut", "lhs", "rhs")
+        # Written each level: the next one reads plain columns and never plans this one again.
+        placed = pin(placed)
         nodes = grown
     table = _node_table(placed, [(k, first) for k, (first, _) in nodes.items()], "n int, leaf int")
     return placed.join(table, placed["_node"] == table["n"]).drop("n", "_node", "_at", "_w")

@@ -28,6 +28,8 @@ class Plan:
     train_last_year: int = 2015
     test_first_year: int = 2017
     iv_threshold: float = 0.02
+    # Strongest features kept when none passes the selection; 0 stops the run instead.
+    fallback_features: int = 3
     fit_scope: str = "train"
     stages: tuple[str, ...] = ("data", "features", "pd", "lgd", "ead", "loss")
     pd_pool: list[Candidate] = field(default_factory=lambda: candidates.PD_CANDIDATES)
@@ -71,9 +73,13 @@ def _features(run: Run) -> dict[str, float]:
         "split", split_column(year, run.plan.train_last_year, run.plan.test_first_year))
     names = [f.name for f in ready.schema.fields if f.name not in ("id", "default_flag", "issue_year", "split")]
     found = features.select_features(ready.where("split = 'train'"), names, "default_flag", run.plan.iv_threshold)
-    # A tape without informative features still gets a model: the strongest three are kept.
-    run.selected = found.selected or [r["feature"] for r in found.values.orderBy(F.desc("iv"), "feature").limit(3).collect()]
-    write_json(found.log, run.path("features", "removed"))
+    strongest = [] if found.selected else [
+        r["feature"] for r in found.values.orderBy(F.desc("iv"), "feature").limit(run.plan.fallback_features).collect()]
+    run.selected = found.selected or strongest
+    if not run.selected:
+        raise ValueError("no feature passes the selection")
+    kept = run.spark.createDataFrame([(f, "fallback", "kept: no feature passed the selection") for f in strongest], found.log.schema)
+    write_json(found.log.unionByName(kept), run.path("features", "removed"))
     keep = ["id", "split", "default_flag", "issue_year"]
     targets = run.read("data", "targets").select("id", "lgd", "ead", F.unix_timestamp(F.col("issue_d").cast("timestamp")).cast("double").alias("issued"))
     extra = [c for c in ("grade_ord",) if c in ready.columns and c not in run.selected]

@@ -190,7 +190,12 @@ def consensus_tiers_score(spark, folder):
     return rounded(tournament.tiers_by_score(tournament.consensus(importances(spark, folder))), consensus=6)
 
 
-@register("feature_sets")
+@register("feature_sets", scores_sql(IMPORTANCE +
+    ", r AS (SELECT *, row_number() OVER (ORDER BY consensus DESC, feature) AS rank, count(*) OVER () AS n FROM cons), "
+    "t AS (SELECT feature, CASE WHEN rank <= ceil(n * 2 / 10) THEN 1 WHEN rank <= ceil(n * 5 / 10) THEN 2 WHEN rank <= ceil(n * 8 / 10) "
+    "THEN 3 ELSE 4 END AS tier FROM r), s AS (SELECT position, variant, string_agg(feature, ',' ORDER BY feature) AS features FROM t "
+    "JOIN (VALUES (0, 'tier12', 2), (1, 'tier123', 3), (2, 'full', 4)) v(position, variant, top) ON tier <= top GROUP BY 1, 2) "
+    "SELECT variant, features FROM (SELECT *, row_number() OVER (PARTITION BY features ORDER BY position) AS k FROM s) WHERE k = 1"))
 def feature_sets(spark, folder):
     tiers = tournament.tiers_by_rank(tournament.consensus(importances(spark, folder)))
     return tournament.feature_sets(tiers).select("variant", F.concat_ws(",", "features").alias("features"))

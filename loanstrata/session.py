@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LOOKUP_ROWS = 100_000
+# Values of a look-up table that the driver may hold: rows times columns.
+LOOKUP_VALUES = 1_000_000
 PINNED: list[str] = []
 
 
@@ -104,7 +106,7 @@ def join_lookup(df: DataFrame, lookup: DataFrame, keys: list[str], how: str = "l
     renamed = lookup
     for key in keys:
         renamed = renamed.withColumnRenamed(key, f"_{key}")
-    held = small_table(renamed, max_rows)
+    held = small_table(renamed, min(max_rows, LOOKUP_VALUES // max(1, len(renamed.columns))))
     right = renamed if held is None else F.broadcast(held)
     condition: Column | None = None
     for key in keys:

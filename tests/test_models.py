@@ -217,3 +217,17 @@ def test_many_correlations_take_the_matrix_path(spark):
     want = pdf.corr()
     assert len(got) == 22 * 21 // 2
     assert all(abs(r.r - want.loc[r.feature_1, r.feature_2]) < 1e-9 for r in got.itertuples())
+
+
+def test_null_features_are_filled_at_fit_and_score(spark):
+    rng = np.random.default_rng(4)
+    n = 300
+    x = rng.normal(size=n)
+    pdf = pd.DataFrame({"id": np.arange(n), "split": np.where(np.arange(n) < 200, "train", "test"), "x": x, "y": (x > 0).astype(int)})
+    df = spark.createDataFrame(pdf).withColumn("x", F.when(F.col("id") % 10 != 3, F.col("x")))
+    frame = models.model_frame(df, ["x"], "y")
+    assert frame.data.count() == n and frame.train_rows == 200
+    fitted = models.fit(frame, candidates.PD_CANDIDATES[0])
+    assert fitted.error is None
+    scored = models.add_score(df, frame, fitted)
+    assert scored.columns == [*df.columns, "score"] and scored.where("score IS NULL").count() == 0

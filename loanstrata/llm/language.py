@@ -19,9 +19,11 @@ from pyspark.sql import functions as F
 from loanstrata.llm.words import LOWER, slices, text_bytes
 
 SEGMENT = 256
-# The bound of the fit: rows read per language, and bytes of each language's sample that enter its automaton.
-SAMPLE_ROWS = 400
+# The bound of the fit: languages, rows read of each, and bytes of its sample that enter the automaton.
+SAMPLE_ROWS = 200
 SAMPLE_BYTES = 24_000
+MAX_LANGUAGES = 200
+HASHES = 1 << 40
 UNKNOWN = "und"
 # A text that needs more phrases than this per byte fits no learned language; the languages here need 0.1 to 0.3.
 MAX_PHRASES_PER_BYTE = 0.75
@@ -137,21 +139,21 @@ def in_fold(key: str = "doc_id", folds: int = 3, fold: int = 1) -> Column:
 
 
 def fit(labelled: DataFrame, rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES) -> dict[str, bytes]:
-    """Sample text per language, at most `size` bytes, from `rows` labelled rows each.
+    """Sample text per language, at most `size` bytes, from `rows` labelled rows each, of at most MAX_LANGUAGES languages.
 
-    Of equal texts one counts, so copies do not fill the sample. Rows are taken in the order of a hash of their text;
-    only the first `rows` of each task reach the shuffle, whatever share of the table a language holds. Of each text at most
-    an eighth of the sample is used.
+    Of equal texts one counts, so copies do not fill the sample. Rows are taken in the order of a hash of their text, and
+    of each text at most an eighth of the sample, so that one text does not stand for a language.
     """
     known = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", "text")
-    keyed = known.withColumn("_order", F.xxhash64("text"))
+    # A hash keeps about four times the rows wanted of a large language, before the exact choice.
+    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n")).limit(MAX_LANGUAGES).collect()}
+    keep = F.lit(False)
+    for lang, n in sizes.items():
+        keep = keep | ((F.col("lang") == lang) & (F.col("_order") % HASHES < max(4 * rows * HASHES // n, 1)))
+    keyed = known.withColumn("_order", F.shiftrightunsigned(F.xxhash64("text"), 1)).where(keep).dropDuplicates(["lang", "_order"])
     best = keyed.withColumn("_at", F.row_number().over(Window.partitionBy("lang").orderBy("_order"))).where(F.col("_at") <= rows)
     samples: dict[str, bytearray] = {}
-    taken: set[tuple[str, int]] = set()
-    for r in best.select("lang", "_order", "_at", F.expr(f"substring(text, 1, {size // 8})").alias("text")).orderBy("lang", "_at").toLocalIterator():
-        if (r["lang"], r["_order"]) in taken:
-            continue
-        taken.add((r["lang"], r["_order"]))
+    for r in best.select("lang", "_at", F.expr(f"substring(text, 1, {size // 8})").alias("text")).orderBy("lang", "_at").toLocalIterator():
         have = samples.setdefault(r["lang"], bytearray())
         have += (r["text"] + "\n").encode()[:size - len(have)]
     return {lang: bytes(text) for lang, text in samples.items() if text}

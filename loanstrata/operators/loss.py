@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loanstrata.functions.ordered import quantiles
 from loanstrata.functions.text import clip
-from loanstrata.session import attach
+from loanstrata.session import attach, pin
 
 # Scenario, factor on PD, floor of LGD.
 SCENARIOS = [("base", 1.0, None), ("adverse", 1.5, 0.45), ("severe", 2.0, 0.60)]
@@ -52,10 +52,12 @@ def rollup(el: DataFrame, group: str) -> DataFrame:
 
 
 def with_shares(sums: DataFrame) -> DataFrame:
-    portfolio = F.sum("total_el").over(Window.partitionBy())
-    return sums.withColumns({
+    """Adds the loss rate and the share of the portfolio's loss; the groups may be many, so their total is an aggregate."""
+    held = pin(sums)
+    portfolio = held.agg(F.sum("total_el")).first()[0]
+    return held.withColumns({
         "el_rate": F.coalesce(F.try_divide("total_el", "total_ead"), F.lit(0.0)),
-        "el_share_pct": F.col("total_el") / F.greatest(portfolio, F.lit(1.0)) * 100,
+        "el_share_pct": F.col("total_el") / F.greatest(F.lit(portfolio).cast("double"), F.lit(1.0)) * 100,
     })
 
 

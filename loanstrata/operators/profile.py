@@ -92,8 +92,10 @@ def top_values(df: DataFrame, columns: list[str], k: int = 10, with_null: bool =
 
 def share_distribution(df: DataFrame, column: str) -> DataFrame:
     """Count and share of every value of a category."""
-    counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-    return counts.select(column, "n", (F.col("n") / F.lit(df.count())).alias("share"))
+    # The counts are written, so that the rows are read once for them and for their total.
+    counts = pin(df.groupBy(column).agg(F.count(F.lit(1)).alias("n")))
+    total = counts.agg(F.sum("n")).first()[0]
+    return counts.select(column, "n", (F.col("n") / F.lit(total)).alias("share"))
 
 
 def feature_type(name: str, unique: Column, is_numeric: bool) -> Column:
@@ -161,9 +163,10 @@ def numeric_summary(df: DataFrame, columns: list[str], probs: list[float] | None
 def missing_patterns(df: DataFrame, columns: list[str], top: int = 20) -> DataFrame:
     """The most frequent sets of null columns; the pattern text joins the sorted names with a bar."""
     pattern = F.concat_ws("|", *[F.when(F.col(c).isNull(), F.lit(c)) for c in sorted(columns)])
-    counts = df.groupBy(pattern.alias("pattern")).agg(F.count(F.lit(1)).alias("row_count"))
+    counts = pin(df.groupBy(pattern.alias("pattern")).agg(F.count(F.lit(1)).alias("row_count")))
+    total = counts.agg(F.sum("row_count")).first()[0]
     return counts.orderBy(F.desc("row_count"), "pattern").limit(top).withColumn(
-        "pct", F.col("row_count") / F.lit(df.count()) * 100)
+        "pct", F.col("row_count") / F.lit(total) * 100)
 
 
 def co_missing_pairs(df: DataFrame, columns: list[str], threshold: float = 0.3, top: int = 20) -> DataFrame:

@@ -19,6 +19,7 @@ from loanstrata.operators import candidates, clean, features, loss, metrics, mod
 from loanstrata.operators.candidates import Candidate
 from loanstrata.operators.registry import HANDOFF_SCHEMA, register_model
 from loanstrata.plans.tape import split_column
+from loanstrata.session import PINNED, release_pins
 from loanstrata.sources.tables import write_csv, write_json, write_parquet
 
 
@@ -151,7 +152,11 @@ STAGES: dict[str, Callable[[Run], dict[str, float]]] = {
 
 
 def run_all(tape: DataFrame, root: str, plan: Plan | None = None) -> Run:
-    """Runs the planned stages in order; the handoff of each is written to `<root>/<stage>/handoff.json`."""
+    """Runs the planned stages in order; the handoff of each is written to `<root>/<stage>/handoff.json`.
+
+    Intermediate tables of the run are deleted at its end; its results are in the folder.
+    """
+    pinned = len(PINNED)
     run = Run(tape.sparkSession, root.rstrip("/"), plan or Plan(), tape)
     for stage in run.plan.stages:
         begun = datetime.now(timezone.utc).replace(tzinfo=None)
@@ -167,6 +172,7 @@ def run_all(tape: DataFrame, root: str, plan: Plan | None = None) -> Run:
         write_handoff(run, stage, row)
         if errors:
             break
+    release_pins(run.spark, pinned)
     return run
 
 

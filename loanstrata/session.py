@@ -68,11 +68,11 @@ def spread(table: DataFrame) -> DataFrame:
     return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores)
 
 
-def release_pins(spark: SparkSession) -> int:
-    """Deletes the tables written by `pin`; call it when no frame built on them is needed any more."""
+def release_pins(spark: SparkSession, keep: int = 0) -> int:
+    """Deletes the tables written by `pin`, all but the first `keep`, once no frame built on them is needed any more."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     removed = 0
-    while PINNED:
+    while len(PINNED) > keep:
         path = jvm.org.apache.hadoop.fs.Path(PINNED.pop())
         removed += bool(path.getFileSystem(conf).delete(path, True))
     return removed

@@ -9,6 +9,7 @@ import pytest
 from conftest import SMALL
 from loanstrata.operators import candidates, models, registry
 from loanstrata.plans.tape import loan_tape
+from loanstrata.session import PINNED
 from loanstrata.plans.workflow import Plan, handoff_table, run_all
 from loanstrata.registered.models import fast
 from pyspark.sql import functions as F
@@ -25,7 +26,10 @@ def finished(spark):
                 pd_pool=fast([candidates.PD_CANDIDATES[0], candidates.PD_CANDIDATES[3]]),
                 lgd_pools=(fast(candidates.LGD_STAGE1[:1]), candidates.LGD_STAGE2[:2]), ead_pool=candidates.EAD_CANDIDATES[:2],
                 settings=models.Settings(top_k=1, rounds=1, draws=0, workers=2))
-    return run_all(tape, root, plan), root
+    before = len(PINNED)
+    run = run_all(tape, root, plan)
+    assert len(PINNED) == before
+    return run, root
 
 
 def test_every_stage_completes(finished):

@@ -86,6 +86,19 @@ def test_katz_matches_plain_version(spark, table):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_katz_spreads_hot_histories(spark, table, monkeypatch):
+    docs, rows = table
+    rows_of = docs.select("doc_id", "text", (~katz.in_fold()).alias("train"))
+    hot = katz.hot_histories(rows_of, 61)
+    assert len(hot) and katz.BEGIN not in hot or len(hot) <= katz.HOT_PER_BUCKET * 61
+    # With none spread, and with nearly every repeated word spread, the scores are the same.
+    found = []
+    for share in (1e-9, 1e9):
+        monkeypatch.setattr(katz, "HOT_PER_BUCKET", share)
+        found.append({r.doc_id: (r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in katz.score_documents(docs).collect()})
+    assert found[0] == found[1]
+
+
 def test_katz_on_odd_rows(odd, none, spark):
     got = {r.doc_id: r for r in katz.score_documents(odd).collect()}
     assert len(got) == 18 and got[1].n_tokens == got[2].n_tokens == got[3].n_tokens == 1

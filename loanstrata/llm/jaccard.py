@@ -1,10 +1,13 @@
 """N-gram Jaccard join by T-occurrence search over inverted lists, in pieces that never hold more than a bounded group.
 
 1. Every document's distinct shingles are hashed; equal sets become one class, represented by its smallest doc_id.
-2. Two sets that reach the threshold must share one of their rarest shingles (n - ceil(t n) + 1 of them in a common
-   order). A counting sketch puts common shingles last, so that shared passages do not bring strangers together.
-   Documents that share such a shingle at a comparable size form clusters; every link lies inside a cluster.
-3. Inside a cluster each document is a query against the inverted lists of the smaller ones: short lists are merged,
+2. Shingles that only one document holds cannot be part of an overlap. They are found by dealing all hashes into buckets,
+   packed, a shingle that many documents of a task share as one entry; what comes back to a document is its shared
+   shingles. A document with too few of them for the threshold links with nothing and is done.
+3. Of the others, two sets that reach the threshold must share one of their rarest shingles (n - ceil(t n) + 1 of
+   them in a common order). A counting sketch puts common shingles last, so that shared passages do not bring
+   strangers together. Documents that share such a shingle at a comparable size form clusters; every link lies inside one.
+4. Inside a cluster each document is a query against the inverted lists of the smaller ones: short lists are merged,
    long ones probed by binary search, and candidates with the required overlap are linked (DivideSkip). Candidates
    already connected need no test, so a group of near copies costs one test each.
 Large clusters are cut into tiles of similar size, each pair of blocks a task of its own.
@@ -20,6 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loanstrata.llm.components import components, stars
+from loanstrata.llm.substring import bucket_count
 from loanstrata.llm.words import mix, pack, shingle_sets, slices, unpack
 from loanstrata.session import pin
 
@@ -77,13 +81,11 @@ def required(n: np.ndarray, num: int, den: int) -> np.ndarray:
     return -(-num * n // den)
 
 
-def _signatures(docs: DataFrame, size: int, num: int, den: int, counts: np.ndarray) -> DataFrame:
-    """doc_id, n, a 128-bit signature of the shingle set, and the rarest shingles as 6-byte planes."""
-    shipped = docs.sparkSession.sparkContext.broadcast(counts)
-    fields = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("prefix", pa.binary())])
+def _signatures(docs: DataFrame, size: int) -> DataFrame:
+    """doc_id, n and a 128-bit signature of the shingle set."""
+    fields = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shipped.value
         for batch in slices(batches):
             shingles, first = shingle_sets(batch.column(1), size)
             n = np.diff(first)
@@ -92,19 +94,115 @@ def _signatures(docs: DataFrame, size: int, num: int, den: int, counts: np.ndarr
             if len(shingles):
                 s1[n > 0] = np.add.reduceat(mix(shingles), some)
                 s2[n > 0] = np.add.reduceat(mix(shingles ^ np.uint64(0x5851F42D4C957F2D)), some)
-            length = np.where(n > 0, n - required(n, num, den) + 1, 0)
-            keys = order_key(shingles, known)
-            row = np.repeat(np.arange(len(n)), n)
-            order = np.lexsort((keys, row))
-            rank = np.arange(len(keys)) - np.repeat(first[:-1], n)
-            chosen = shingles[order][rank < length[row]]
-            ends = np.cumsum(length)
-            prefixes = [pack(chosen[e - k:e], 6) if k else b"" for e, k in zip(ends.tolist(), length.tolist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(s1.view(np.int64)),
-                                              pa.array(s2.view(np.int64)), pa.array(prefixes, pa.binary())], schema=fields)
+                                              pa.array(s2.view(np.int64))], schema=fields)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, prefix binary")
+    return rows.mapInArrow(run, "doc_id long, n long, s1 long, s2 long")
+
+
+HELD = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("docs", pa.binary()), ("per", pa.binary()), ("hashes", pa.binary())])
+HELD_TYPE = "bucket int, kind int, docs binary, per binary, hashes binary"
+ONCE, OFTEN, SHARED, SIZE = 0, 1, 2, 3
+
+
+def _packed(bucket: np.ndarray, doc: np.ndarray, hashes: np.ndarray, kind: int) -> Iterator[tuple]:
+    """Rows of entries sorted by document: distinct documents, entries of each, hashes."""
+    order = np.argsort(bucket, kind="stable")
+    for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []:
+        d = doc[part]
+        head = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
+        yield (int(bucket[part[0]]), kind, pack(np.diff(d[head], prepend=0).view(np.uint64), 8),
+               pack(np.diff(np.append(head, len(d))), 4), pack(hashes[part], 6))
+
+
+def _unpacked(docs: bytes, per: bytes, hashes: bytes | None) -> tuple[np.ndarray, np.ndarray]:
+    ids = np.cumsum(unpack(docs, 8).view(np.int64))
+    n = unpack(per, 4).astype(np.int64)
+    return (ids, n) if hashes is None else (np.repeat(ids, n), unpack(hashes, 6))
+
+
+def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * len(schema), schema)], schema=schema)
+
+
+def shared_shingles(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """(doc_id, n, shingles): the shingles each document shares with another one, where they are enough to link it.
+
+    Rows with a null doc_id are left out; rows that share a doc_id count as one document with the larger size.
+    """
+    buckets = bucket_count(docs)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            ids = batch.column(0).to_numpy()
+            order = np.argsort(ids, kind="stable")
+            shingles, first = shingle_sets(batch.column(1).take(pa.array(order)), size)
+            ids, n = ids[order], np.diff(first)
+            doc = np.repeat(ids, n)
+            _, where, member, times = np.unique(shingles, return_index=True, return_inverse=True, return_counts=True)
+            lead = np.zeros(len(doc), bool)
+            lead[where] = True
+            often = times[member] > 1
+            home = (mix(shingles) % np.uint64(buckets)).astype(np.int32)
+            rows = []
+            for chosen, kind in ((lead & ~often, ONCE), (lead & often, OFTEN)):
+                rows += _packed(home[chosen], doc[chosen], shingles[chosen], kind)
+            rows += _packed((doc[often] % buckets).astype(np.int32), doc[often], shingles[often], SHARED)
+            back = (ids % buckets).astype(np.int32)
+            order = np.argsort(back, kind="stable")
+            for part in np.split(order, np.flatnonzero(np.diff(back[order])) + 1):
+                rows.append((int(back[part[0]]), SIZE, pack(np.diff(ids[part], prepend=0).view(np.uint64), 8), pack(n[part], 4), None))
+            yield from _table(rows, HELD).to_batches()
+
+    def find(table: pa.Table) -> pa.Table:
+        rows, docs, hashes, once = [], [], [], []
+        for row in zip(*[c.to_pylist() for c in table.columns]):
+            if row[1] in (SHARED, SIZE):
+                rows.append(row)
+            else:
+                d, h = _unpacked(*row[2:])
+                docs.append(d), hashes.append(h), once.append(np.full(len(d), row[1] == ONCE))
+        if docs:
+            h = np.concatenate(hashes)
+            order = np.argsort(h)
+            same = h[order][1:] == h[order][:-1]
+            order = order[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
+            order = order[np.concatenate(once)[order]]
+            d = np.concatenate(docs)[order]
+            by_doc = np.argsort(d, kind="stable")
+            rows += _packed((d[by_doc] % buckets).astype(np.int32), d[by_doc], h[order][by_doc], SHARED)
+        return _table(rows, HELD)
+
+    target = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("shingles", pa.binary())])
+
+    def gather(table: pa.Table) -> pa.Table:
+        docs, hashes, ids, sizes = [], [], [], []
+        for row in zip(*[c.to_pylist() for c in table.columns]):
+            a, b = _unpacked(*row[2:])
+            (ids if row[1] == SIZE else docs).append(a), (sizes if row[1] == SIZE else hashes).append(b)
+        if not docs:
+            return _table([], target)
+        ids, sizes = np.concatenate(ids), np.concatenate(sizes)
+        order = np.lexsort((sizes, ids))
+        ids, sizes = ids[order], sizes[order]
+        last = np.append(ids[1:] != ids[:-1], True)
+        ids, sizes = ids[last], sizes[last]
+        d, h = np.concatenate(docs), np.concatenate(hashes)
+        order = np.lexsort((h, d))
+        d, h = d[order], h[order]
+        new = np.concatenate([[True], (d[1:] != d[:-1]) | (h[1:] != h[:-1])])
+        d, h = d[new], h[new]
+        head = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
+        ends = np.append(head[1:], len(d))
+        n = sizes[np.searchsorted(ids, d[head])]
+        enough = ends - head >= required(n, num, den)
+        rows = [(int(d[x]), int(k), pack(h[x:y], 6)) for x, y, k in zip(head[enough], ends[enough], n[enough])]
+        return _table(rows, target)
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL")
+    found = texts.mapInArrow(deal, HELD_TYPE).groupBy("bucket").applyInArrow(find, HELD_TYPE)
+    return found.groupBy("bucket").applyInArrow(gather, "doc_id long, n long, shingles binary")
 
 
 def size_class(n: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -112,12 +210,13 @@ def size_class(n: np.ndarray, num: int, den: int) -> np.ndarray:
     return np.floor(np.log(n) / np.log(den / num) + 1e-9).astype(np.int64)
 
 
-def _prefix_links(reps: DataFrame, num: int, den: int) -> DataFrame:
+def _prefix_links(reps: DataFrame, num: int, den: int, counts: np.ndarray) -> DataFrame:
     """Links between documents that share a rare shingle in the same or adjacent size classes; a few per document.
 
     A task keeps one entry for each shingle and class and links the others to it at once, so a shingle that all its
     documents share is dealt out as one entry per task.
     """
+    shipped = reps.sparkSession.sparkContext.broadcast(counts)
     link = pa.schema([("bucket", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("h", pa.binary()), ("c", pa.binary())])
 
     def star_links(h: np.ndarray, c: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -132,10 +231,14 @@ def _prefix_links(reps: DataFrame, num: int, den: int) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
+            n = batch.column(1).to_numpy()
             parts = [unpack(x.as_py(), 6) for x in batch.column(2)]
+            # Shingles that no other document holds come first in the order, and need not be looked at.
+            few = n - required(n, num, den) + 1 - (n - np.array([len(p) for p in parts]))
+            parts = [p[np.argsort(order_key(p, shipped.value))[:k]] for p, k in zip(parts, few.tolist())]
             sizes = [len(p) for p in parts]
             doc = np.repeat(batch.column(0).to_numpy(), sizes)
-            c = np.repeat(size_class(batch.column(1).to_numpy().astype(float), num, den), sizes)
+            c = np.repeat(size_class(n.astype(float), num, den), sizes)
             h = np.concatenate(parts)
             head, x, y = star_links(h, c, doc)
             x, y = stars(x, y)
@@ -165,20 +268,20 @@ def _prefix_links(reps: DataFrame, num: int, den: int) -> DataFrame:
         x, y = stars(np.concatenate(xs), np.concatenate(ys))
         return pa.table({"a": pa.array(x, pa.int64()), "b": pa.array(y, pa.int64())})
 
-    blobs = reps.select("doc_id", "n", "prefix").mapInArrow(spread, "bucket int, a binary, b binary, h binary, c binary")
+    blobs = reps.select("doc_id", "n", "shingles").mapInArrow(spread, "bucket int, a binary, b binary, h binary, c binary")
     return blobs.groupBy("bucket").applyInArrow(join, "a long, b long")
 
 
-def occurrence_links(ids: np.ndarray, side: np.ndarray, parts: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+def occurrence_links(ids: np.ndarray, side: np.ndarray, n: np.ndarray, parts: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
     """A spanning set of the links among a few sets: every linked pair is connected by the returned ones.
 
-    `side` is 0 where all pairs count; sets of side 1 are only compared with those of side 2.
+    `parts` hold the shared shingles of sets of size `n`. `side` is 0 where all pairs count; sets of side 1 are only compared with those of side 2.
     """
-    n = np.array([len(p) for p in parts], np.int64)
     order = np.lexsort((ids, n))
     n, side, name = n[order], side[order], ids[order]
+    held_by = np.array([len(parts[i]) for i in order], np.int64)
     total = len(order)
-    doc = np.repeat(np.arange(total), n)
+    doc = np.repeat(np.arange(total), held_by)
     shingle = np.concatenate([parts[i] for i in order])
     by_list = np.argsort(shingle, kind="stable")
     ranked = shingle[by_list]
@@ -188,7 +291,7 @@ def occurrence_links(ids: np.ndarray, side: np.ndarray, parts: list[np.ndarray],
     place[by_list] = np.arange(len(shingle))
     posting = doc[by_list]
     keyed = list_of[by_list] * total + posting
-    ends = np.cumsum(n)
+    ends = np.cumsum(held_by)
     parent = list(range(total))
 
     def find(x: int) -> int:
@@ -203,7 +306,7 @@ def occurrence_links(ids: np.ndarray, side: np.ndarray, parts: list[np.ndarray],
         low = int(np.searchsorted(n, -(-num * size // den)))
         if low >= q:
             continue
-        own = slice(int(ends[q]) - size, int(ends[q]))
+        own = slice(int(ends[q] - held_by[q]), int(ends[q]))
         lists, until = list_of[own], place[own]
         start = np.searchsorted(keyed, lists * total + low)
         length = until - start
@@ -278,6 +381,14 @@ def _tiles(members: DataFrame, num: int, den: int) -> DataFrame:
     return small.unionByName(tiled)
 
 
+def _members(classes: DataFrame, found: DataFrame) -> DataFrame:
+    """doc_id, n and cluster of every member of a component, its smallest included."""
+    found = pin(found)
+    inside = found.select(F.col("id").alias("doc_id"), F.col("component").alias("cluster")).unionByName(
+        found.select(F.col("component").alias("doc_id"), F.col("component").alias("cluster")).distinct())
+    return classes.select(F.col("rep").alias("doc_id"), "n").join(inside, "doc_id")
+
+
 def jaccard_components(docs: DataFrame, size: int = 5, num: int = 8, den: int = 10) -> DataFrame:
     """doc_id, n_shingles and component_id of every document; links need Jaccard >= num / den of distinct shingles.
 
@@ -286,38 +397,21 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 8, den: int =
     itself included. Rows that repeat a doc_id stay as rows and count as one document; a null doc_id links with
     nothing and has no component. Other columns are not read; an empty table gives no rows.
     """
-    counts = rarity(docs, size)
-    signed = pin(_signatures(docs, size, num, den, counts))
+    signed = pin(_signatures(docs, size))
     usable = signed.where("n > 0 AND doc_id IS NOT NULL")
-    classes = usable.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"))
-    classes = pin(classes)
-    reps = usable.join(classes.select(F.col("rep").alias("_r")).distinct(), F.col("doc_id") == F.col("_r"), "left_semi")
-    clusters = pin(components(_prefix_links(reps, num, den), "a", "b"))
-    # Every member of a cluster, its smallest included.
-    inside = clusters.select(F.col("id").alias("doc_id"), F.col("component").alias("cluster")).unionByName(
-        clusters.select(F.col("component").alias("doc_id"), F.col("component").alias("cluster")).distinct())
-    members = classes.select(F.col("rep").alias("doc_id"), "n").join(inside, "doc_id")
-    tiles = _tiles(members, num, den).groupBy("doc_id").agg(F.collect_list(F.struct("tile", "side")).alias("tiles"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    wanted = texts.join(tiles, "doc_id").select("doc_id", "text", "tiles")
-    held = pa.schema([("tile", pa.int64()), ("doc_id", pa.int64()), ("side", pa.int32()), ("shingles", pa.binary())])
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            shingles, first = shingle_sets(batch.column(1), size)
-            for i, tile_list in enumerate(batch.column(2)):
-                blob = pack(shingles[first[i]:first[i + 1]], 6)
-                rows = [(t["tile"], batch.column(0)[i].as_py(), t["side"], blob) for t in tile_list.as_py()]
-                for at in range(0, len(rows), 64):
-                    yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*rows[at:at + 64]), held)], schema=held)
+    classes = pin(usable.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep")))
+    leads = classes.select(F.col("rep").alias("_r")).distinct()
+    reps = pin(shared_shingles(docs, size, num, den).join(leads, F.col("doc_id") == F.col("_r"), "left_semi"))
+    clusters = components(_prefix_links(reps, num, den, rarity(docs, size)), "a", "b")
+    tiles = _tiles(_members(classes, clusters), num, den).withColumnRenamed("doc_id", "_d")
+    held = reps.join(tiles, F.col("doc_id") == F.col("_d")).select("tile", "doc_id", "side", "n", "shingles")
 
     def link(tables: pa.Table) -> pa.Table:
-        parts = [unpack(x.as_py(), 6) for x in tables.column(3)]
-        a, b = occurrence_links(tables.column(1).to_numpy(), tables.column(2).to_numpy(), parts, num, den)
+        parts = [unpack(x.as_py(), 6) for x in tables.column(4)]
+        a, b = occurrence_links(*[tables.column(i).to_numpy() for i in (1, 2, 3)], parts, num, den)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    tiled = wanted.mapInArrow(cut, "tile long, doc_id long, side int, shingles binary")
-    links = tiled.groupBy("tile").applyInArrow(link, "a long, b long")
+    links = held.groupBy("tile").applyInArrow(link, "a long, b long")
     joined = components(links, "a", "b")
     found = joined.select(F.col("id").alias("_id"), "component")
     lead = classes.join(found, F.col("rep") == F.col("_id"), "left").select(

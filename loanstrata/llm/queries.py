@@ -7,7 +7,6 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from loanstrata.llm import bpe, decontaminate, hosts, jaccard, katz, language, shards, substring, vectors, warc
 from loanstrata.session import shared_folder

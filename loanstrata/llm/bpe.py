@@ -18,7 +18,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHE_TOKENS = 600_000
+CACHE_TOKENS = 200_000
 PIECE_ROWS = 64
 PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 

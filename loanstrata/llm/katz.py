@@ -6,6 +6,9 @@ is the history of the next token, the bucket also knows the count of each word o
 the base score need. Only the followers that a bigram keeps must be looked up elsewhere: each bucket asks the buckets of
 those words for their counts. Per-document sums come back in buckets of documents.
 
+A history that would fill a bucket alone (the opening token, or a word like "the") is spread over all buckets by its
+followers. There are at most HOT_PER_BUCKET of them per bucket; their counts and backoff sums are added up per history.
+
 P(w | h) = d(c(hw)) c(hw) / c(h) where c(hw) >= MIN_COUNT, else a(h) P(w); a(h) makes the sum over all words exactly 1.
 P(w) = d(c(w)) c(w) / N for known words; the discounted mass is the probability of the one class of unknown words.
 """
@@ -28,8 +31,10 @@ from loanstrata.llm.words import mix, pack, slices, unpack, words_of
 GOOD_TURING_LIMIT = 5
 # Bigrams seen less often are left to the backoff.
 MIN_COUNT = 2
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 9 << 20
 FIXED_POINT = 1e10
+# A history is spread when it holds more than this part of an average bucket, so there are at most 4 per bucket.
+HOT_PER_BUCKET = 4
 BEGIN, END = np.uint64(1), np.uint64(2)
 
 ENTRY = pa.schema([("bucket", pa.int32()), *[(c, pa.binary()) for c in ("docs", "train", "histories", "h", "followers", "w", "times")]])
@@ -52,24 +57,71 @@ def home(words: np.ndarray, buckets: int) -> np.ndarray:
     return (mix(words) % np.uint64(buckets)).astype(np.int32)
 
 
-def count_slices(buckets: int):
+def pairs(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Document ids in order, their training flags, and the row, history and word of every token."""
+    ids = ids_of(batch.column(0))
+    order = np.argsort(ids, kind="stable")
+    train = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)[order]
+    words = words_of(batch.column(1).take(pa.array(order)), True)
+    code = (words.hash >> np.uint64(16)) | np.uint64(4)
+    history, word = np.insert(code, words.first[:-1], BEGIN), np.insert(code, words.first[1:], END)
+    return ids[order], train, np.repeat(np.arange(len(ids)), words.counts + 1), history, word
+
+
+def hot_histories(rows: DataFrame, buckets: int) -> np.ndarray:
+    """Histories with more than 1 / HOT_PER_BUCKET of an average bucket's tokens, sorted.
+
+    Each slice reports those that reach half of that share in it. Whatever holds the whole share of all tokens and is
+    spread evenly is reported nearly everywhere; what is missed only makes a bucket larger, never a result wrong.
+    """
+    share = 1 / (HOT_PER_BUCKET * buckets)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            history = pairs(batch)[3]
+            h, n = np.unique(history, return_counts=True)
+            often = n >= max(2, share / 2 * len(history))
+            # Row 0 carries the tokens of the slice; no word has that code.
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(h[often], 0).astype(np.int64)), pa.array(np.append(n[often], len(history)))], ["h", "n"])
+
+    counts = rows.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    with shuffles_released(rows.sparkSession):
+        total = counts.where("h = 0").first()
+        least = share * (total["n"] if total else 0)
+        # Shares above `share` leave room for at most 1 / share of them.
+        found = counts.where((F.col("h") > 0) & (F.col("n") >= F.lit(max(least, 2.0)))).select("h").collect()
+    return np.sort(np.array([r["h"] for r in found], np.uint64))
+
+
+def place(history: np.ndarray, word: np.ndarray, hot: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket of each token: that of its history, or for a hot history one drawn from both."""
+    out = home(history, buckets)
+    if len(hot):
+        spread = held_in(history, hot)
+        out[spread] = home(mix(history[spread]) ^ word[spread], buckets)
+    return out
+
+
+def held_in(values: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Whether each value occurs in a sorted table."""
+    if not len(table):
+        return np.zeros(len(values), bool)
+    return table[np.minimum(np.searchsorted(table, values), len(table) - 1)] == values
+
+
+def count_slices(buckets: int, hot: np.ndarray):
     """Distinct (document, history, word) with their number, one row per slice of texts and bucket of histories."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            ids = ids_of(batch.column(0))
-            order = np.argsort(ids, kind="stable")
-            ids = ids[order]
-            train = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)[order]
-            words = words_of(batch.column(1).take(pa.array(order)), True)
-            code = (words.hash >> np.uint64(16)) | np.uint64(4)
-            history, word = np.insert(code, words.first[:-1], BEGIN), np.insert(code, words.first[1:], END)
-            row = np.repeat(np.arange(len(ids)), words.counts + 1)
-            order = np.lexsort((word, history, row))
+            ids, train, row, history, word = pairs(batch)
+            # Codes have 48 bits and a slice few rows, so that row and history make one sort key.
+            key = (row.astype(np.uint64) << np.uint64(48)) | history
+            order = np.lexsort((word, key))
             history, word, row = history[order], word[order], row[order]
-            first = heads(row, history, word)
+            first = heads(key[order], word)
             times = lengths(first, len(row))
             history, word, row = history[first], word[first], row[first]
-            bucket = home(history, buckets)
+            bucket = place(history, word, hot, buckets)
             order = np.argsort(bucket, kind="stable")
             edges = np.flatnonzero(np.diff(bucket[order])) + 1
             rows = []
@@ -102,9 +154,13 @@ def entries(table: pa.Table) -> Entries:
         flags = np.unpackbits(np.frombuffer(train, np.uint8))[:len(ids)].astype(bool)
         per_doc, per_h = unpack(histories, 4).astype(np.int64), unpack(followers, 4).astype(np.int64)
         for out, value in zip(parts, (np.repeat(np.repeat(ids, per_doc), per_h), np.repeat(np.repeat(flags, per_doc), per_h),
-                                      np.repeat(unpack(h, 6), per_h), unpack(w, 6), unpack(times, 4).astype(np.int64))):
+                                      np.repeat(unpack(h, 6), per_h), unpack(w, 6), unpack(times, 4).astype(np.int32))):
             out.append(value)
-    return Entries(*[np.concatenate(p) for p in parts])
+    whole = []
+    while parts:
+        # Each column's pieces are let go before the next is joined.
+        whole.append(np.concatenate(parts.pop(0)))
+    return Entries(*whole)
 
 
 class Bigrams(NamedTuple):
@@ -124,12 +180,12 @@ def bigrams(e: Entries) -> Bigrams:
     order = np.lexsort((e.w, e.h))
     h, w, times = e.h[order], e.w[order], np.where(e.train, e.times, 0)[order]
     first = heads(h, w)
-    count = np.add.reduceat(times, first)
+    count = np.add.reduceat(times, first, dtype=np.int64)
     pair_h, pair_w = h[first], w[first]
     top = heads(pair_h)
-    row_pair = np.empty(len(order), np.int64)
-    row_pair[order] = np.repeat(np.arange(len(first)), lengths(first, len(order)))
-    of_pair = np.repeat(np.arange(len(top)), lengths(top, len(first)))
+    row_pair = np.empty(len(order), np.int32)
+    row_pair[order] = np.repeat(np.arange(len(first), dtype=np.int32), lengths(first, len(order)))
+    of_pair = np.repeat(np.arange(len(top), dtype=np.int32), lengths(top, len(first)))
     return Bigrams(pair_h[top], np.add.reduceat(count, top), of_pair, pair_w, count, of_pair[row_pair], row_pair)
 
 
@@ -153,7 +209,10 @@ def discounts(n: list[int]) -> np.ndarray:
 
 
 class Model(NamedTuple):
-    """What all buckets need: token count N, distinct tokens V, training documents, discounts of both orders."""
+    """What all buckets need: token count N, distinct tokens V, training documents, discounts of both orders.
+
+    Also the counts of the hot histories, and the sums behind their backoff weights once these are known.
+    """
 
     tokens: int
     distinct: int
@@ -162,6 +221,10 @@ class Model(NamedTuple):
     d2: np.ndarray
     unknown: float
     spare: int
+    hot: np.ndarray
+    hot_count: np.ndarray
+    hot_mass: np.ndarray | None = None
+    hot_below: np.ndarray | None = None
 
     def unigram(self, count: np.ndarray) -> np.ndarray:
         """P(w) by training count; 0 stands for the class of unknown words."""
@@ -169,26 +232,30 @@ class Model(NamedTuple):
         return np.where(count > 0, known, self.unknown)
 
 
-def model_of(n1: list[int], n2: list[int], tokens: int, distinct: int, documents: int) -> Model:
+def model_of(n1: list[int], n2: list[int], tokens: int, distinct: int, documents: int, hot: np.ndarray, hot_count: np.ndarray) -> Model:
     d1, d2 = discounts(n1), discounts(n2)
     freed = sum((1 - d1[r]) * r * n1[r - 1] for r in range(1, GOOD_TURING_LIMIT + 1))
     # Where discounting frees no mass, one token more makes room for the unknown.
     spare = 0 if freed > 0 else 1
     unknown = freed / tokens if freed > 0 else 1 / (tokens + 1)
-    return Model(tokens, distinct, documents, d1, d2, unknown, spare)
+    return Model(tokens, distinct, documents, d1, d2, unknown, spare, hot, hot_count)
 
 
-def bucket_stats(table: pa.Table) -> pa.Table:
-    b = bigrams(entries(table))
-    begin = b.h == BEGIN
-    words = b.total[~begin]
-    row = [int(words.sum()), int((words > 0).sum()), int(b.total[begin].sum()), *frequencies(words), *frequencies(b.count)]
-    return pa.table({"s": pa.array([row], pa.list_(pa.int64()))})
+def bucket_stats(hot: np.ndarray):
+    """Rows (at, n): sums at fixed places, then the counts of the hot histories in their order."""
+    def run(table: pa.Table) -> pa.Table:
+        b = bigrams(entries(table))
+        apart = held_in(b.h, hot)
+        words = b.total[~apart & (b.h != BEGIN)]
+        row = [int(words.sum()), int((words > 0).sum()), int(b.total[~apart & (b.h == BEGIN)].sum()), *frequencies(words), *frequencies(b.count)]
+        at = np.concatenate([np.arange(len(row)), len(row) + np.searchsorted(hot, b.h[apart])])
+        return pa.table({"at": pa.array(at, pa.int64()), "n": pa.array(np.concatenate([row, b.total[apart]]), pa.int64())})
+    return run
 
 
 @contextmanager
 def shuffles_released(spark: SparkSession) -> Iterator[None]:
-    """Queries collected inside delete their shuffle files as soon as they end, instead of at some later collection."""
+    """Frames built and collected inside delete their shuffle files once the query ends, not at some later collection."""
     key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(key, "false")
     spark.conf.set(key, "true")
@@ -198,21 +265,27 @@ def shuffles_released(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
-def learn(blobs: DataFrame) -> Model:
-    """One small row per bucket, summed in Spark."""
+def learn(blobs: DataFrame, hot: np.ndarray) -> Model:
+    """A few sums per bucket, added up in Spark; the hot histories' counts enter once they are whole."""
     width = 3 + 2 * (GOOD_TURING_LIMIT + 1)
-    stats = blobs.groupBy("bucket").applyInArrow(bucket_stats, "s array<long>")
-    total = stats.agg(*[F.coalesce(F.sum(F.get("s", F.lit(i))), F.lit(0)).alias(f"s{i}") for i in range(width)])
+    sums = np.zeros(width + len(hot), np.int64)
     with shuffles_released(blobs.sparkSession):
-        row = total.first()
-    tokens, distinct, documents, *n = list(row)
+        stats = blobs.groupBy("bucket").applyInArrow(bucket_stats(hot), "at long, n long").groupBy("at").agg(F.sum("n").alias("n"))
+        for r in stats.collect():
+            sums[r["at"]] = r["n"]
+    tokens, distinct, documents, *n = sums[:width].tolist()
     n1, n2 = n[:GOOD_TURING_LIMIT + 1], n[GOOD_TURING_LIMIT + 1:]
+    hot_count = sums[width:]
+    documents += int(hot_count[hot == BEGIN].sum())
+    known = hot_count[(hot != BEGIN) & (hot_count > 0)]
+    tokens, distinct = tokens + int(known.sum()), distinct + len(known)
+    n1 = [a + b for a, b in zip(n1, frequencies(known))]
     # The closing token: once in every training document.
     if documents:
         tokens, distinct = tokens + documents, distinct + 1
         if documents <= GOOD_TURING_LIMIT + 1:
             n1[documents - 1] += 1
-    return model_of(n1, n2, tokens, distinct, documents)
+    return model_of(n1, n2, tokens, distinct, documents, hot, hot_count)
 
 
 def kept_pairs(b: Bigrams, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -238,8 +311,12 @@ def ask(buckets: int):
     return run
 
 
-def answer(table: pa.Table) -> pa.Table:
+def answer(m: Model):
     """Counts of the asked words, in the order of the question, addressed to the bucket that asked."""
+    return lambda table: _answer(table, m)
+
+
+def _answer(table: pa.Table, m: Model) -> pa.Table:
     rows = list(zip(*[c.to_pylist() for c in table.columns]))
     own = [r for r in rows if r[1] < 0]
     words = unpack(own[0][2], 6) if own else np.zeros(0, np.uint64)
@@ -250,6 +327,9 @@ def answer(table: pa.Table) -> pa.Table:
             w = unpack(asked, 6)
             at = np.minimum(np.searchsorted(words, w), max(len(words) - 1, 0))
             found = np.where(words[at] == w, counts[at], 0) if len(words) else np.zeros(len(w), np.int64)
+            if len(m.hot):
+                apart = held_in(w, m.hot)
+                found[apart] = m.hot_count[np.searchsorted(m.hot, w[apart])]
             out.append((source, bucket, pack(found, 8)))
     kinds = (pa.int32(), pa.int32(), pa.binary())
     return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 3, kinds)], ["bucket", "source", "counts"])
@@ -266,20 +346,58 @@ def unfixed(blob: bytes) -> np.ndarray:
     return (v >> np.uint64(1)).view(np.int64) ^ -(v & np.uint64(1)).view(np.int64)
 
 
-def backoff(b: Bigrams, kept: np.ndarray, word_counts: np.ndarray, m: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """log10 of a(h) per history, log10 P(w | h) of the kept pairs, and log10 P(w) of their words."""
+def kept_sums(b: Bigrams, kept: np.ndarray, word_counts: np.ndarray, m: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Discounted counts and lower-order probabilities of the kept pairs, and the sums of both per history."""
     low = m.unigram(np.where(b.pair_w[kept] == END, m.documents, word_counts))
     weight = m.d2[np.minimum(b.count[kept], GOOD_TURING_LIMIT + 1)] * b.count[kept]
     at = b.pair_h[kept]
     mass, below = np.zeros(len(b.h)), np.zeros(len(b.h))
     np.add.at(mass, at, weight)
     np.add.at(below, at, low)
+    return weight, low, mass, below
+
+
+def whole_counts(b: Bigrams, m: Model) -> np.ndarray:
+    """Training count of each history of a bucket; a hot one's is that of all buckets."""
+    total = b.total.copy()
+    if len(m.hot):
+        apart = held_in(b.h, m.hot)
+        total[apart] = m.hot_count[np.searchsorted(m.hot, b.h[apart])]
+    return total
+
+
+def backoff(b: Bigrams, kept: np.ndarray, word_counts: np.ndarray, m: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """log10 of a(h) per history, log10 P(w | h) of the kept pairs, and log10 P(w) of their words."""
+    weight, low, mass, below = kept_sums(b, kept, word_counts, m)
+    at, count = b.pair_h[kept], whole_counts(b, m)
+    if len(m.hot):
+        apart = held_in(b.h, m.hot)
+        place_of = np.searchsorted(m.hot, b.h[apart])
+        mass[apart], below[apart] = m.hot_mass[place_of], m.hot_below[place_of]
     # A history whose followers leave no mass gets one token more.
-    total = b.total + (b.total - mass <= 1e-9 * b.total)
-    left = np.where(b.total > 0, 1 - mass / np.maximum(total, 1), 1.0)
+    total = count + (count - mass <= 1e-9 * count)
+    left = np.where(count > 0, 1 - mass / np.maximum(total, 1), 1.0)
     return np.log10(left / np.maximum(1 - below, 1e-300)), np.log10(weight / total[at]), np.log10(low)
 
 
+def replied(answers: pa.Table) -> np.ndarray:
+    """Counts of the words of the kept pairs, in the order of the pairs."""
+    replies = sorted(zip(answers.column("source").to_pylist(), answers.column("counts").to_pylist()))
+    return np.concatenate([unpack(c, 8) for _, c in replies]).astype(np.int64) if replies else np.zeros(0, np.int64)
+
+
+def hot_sums(m: Model, buckets: int):
+    """A bucket's share of the backoff sums of the hot histories."""
+    def run(table: pa.Table, answers: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return pa.table({"at": pa.array([], pa.int64()), "mass": pa.array([], pa.float64()), "below": pa.array([], pa.float64())})
+        b = bigrams(entries(table))
+        _, _, mass, below = kept_sums(b, kept_pairs(b, buckets)[0], replied(answers), m)
+        apart = held_in(b.h, m.hot)
+        return pa.table({"at": pa.array(np.searchsorted(m.hot, b.h[apart]), pa.int64()), "mass": mass[apart], "below": below[apart]})
+    return run
+
+
 def score_bucket(m: Model, buckets: int):
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
         kinds = [pa.int32(), *[pa.binary()] * 5]
@@ -288,25 +406,24 @@ def score_bucket(m: Model, buckets: int):
             return pa.Table.from_arrays([pa.array([], k) for k in kinds], names)
         e = entries(table)
         b = bigrams(e)
+        row_doc, row_times = e.doc, e.times
+        del e, table
         kept, _ = kept_pairs(b, buckets)
-        replies = sorted(zip(answers.column("source").to_pylist(), answers.column("counts").to_pylist()))
-        counts = np.concatenate([unpack(c, 8) for _, c in replies]).astype(np.int64) if replies else np.zeros(0, np.int64)
-        alpha, high, low = backoff(b, kept, counts, m)
+        alpha, high, low = backoff(b, kept, replied(answers), m)
         gain = np.zeros(len(b.count))
         gain[kept] = high - low - alpha[b.pair_h[kept]]
         begin = b.h == BEGIN
         # A word's own count is that of its history; the opening one stands for the closing token.
-        own = np.where(begin, m.documents, b.total)
+        own = np.where(begin, m.documents, whole_counts(b, m))
         with np.errstate(divide="ignore"):
             token, base = np.log10(m.unigram(own)), np.log10((own + 1) / (m.tokens + m.distinct + 1))
-        times = e.times.astype(float)
-        order = np.argsort(e.doc, kind="stable")
-        doc = e.doc[order]
+        order = np.argsort(row_doc, kind="stable")
+        doc, times, h, pair = row_doc[order], row_times[order].astype(np.int64), b.row_h[order], b.row_pair[order]
+        del row_doc, row_times, order
         first = heads(doc)
-        per_row = [e.times, np.where(own[b.row_h] > 0, e.times, 0), times * base[b.row_h],
-                   times * (token[b.row_h] + alpha[b.row_h] + gain[b.row_pair])]
-        sums = [np.add.reduceat(v[order], first) for v in per_row]
         doc = doc[first]
+        sums = [np.add.reduceat(times, first), np.add.reduceat(np.where(own[h] > 0, times, 0), first),
+                np.add.reduceat(times * base[h], first), np.add.reduceat(times * ((token + alpha)[h] + gain[pair]), first)]
         target = (doc % buckets).astype(np.int32)
         order = np.argsort(target, kind="stable")
         rows = []
@@ -349,11 +466,19 @@ def score_documents(docs: DataFrame, held_out: Column | None = None) -> DataFram
     buckets = bucket_count(docs, BUCKET_BYTES, 61)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
                        (~held_out).alias("train"))
-    blobs = rows.mapInArrow(count_slices(buckets), ENTRY_TYPE)
-    model = learn(blobs)
-    # The same grouping of the same rows three times in one plan: Spark shuffles it once.
+    hot = hot_histories(rows, buckets)
+    blobs = rows.mapInArrow(count_slices(buckets, hot), ENTRY_TYPE)
+    model = learn(blobs, hot)
+    # The same grouping of the same rows twice in one plan: Spark shuffles it once.
     asked = blobs.groupBy("bucket").applyInArrow(ask(buckets), "bucket int, source int, words binary, counts binary")
-    answers = asked.groupBy("bucket").applyInArrow(answer, "bucket int, source int, counts binary")
+    answers = asked.groupBy("bucket").applyInArrow(answer(model), "bucket int, source int, counts binary")
+    if len(hot):
+        parts = blobs.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(hot_sums(model, buckets), "at long, mass double, below double")
+        mass, below = np.zeros(len(hot)), np.zeros(len(hot))
+        with shuffles_released(docs.sparkSession):
+            for r in parts.groupBy("at").agg(F.sum("mass").alias("mass"), F.sum("below").alias("below")).collect():
+                mass[r["at"]], below[r["at"]] = r["mass"], r["below"]
+        model = model._replace(hot_mass=mass, hot_below=below)
     sums = blobs.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(
         score_bucket(model, buckets), "bucket int, docs binary, n_tokens binary, n_known binary, base binary, score binary")
     totals = sums.groupBy("bucket").applyInArrow(add_up, "doc_id long, n_tokens long, n_known long, base_score double, score double")

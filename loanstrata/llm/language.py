@@ -23,7 +23,8 @@ SEGMENT = 256
 SAMPLE_ROWS = 200
 SAMPLE_BYTES = 24_000
 MAX_LANGUAGES = 200
-HASHES = 1 << 40
+LAST_HASH = (1 << 63) - 1
+MARGIN = 4
 UNKNOWN = "und"
 # A text that needs more phrases than this per byte fits no learned language; the languages here need 0.1 to 0.3.
 MAX_PHRASES_PER_BYTE = 0.75
@@ -139,24 +140,35 @@ def in_fold(key: str = "doc_id", folds: int = 3, fold: int = 1) -> Column:
 
 
 def fit(labelled: DataFrame, rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES) -> dict[str, bytes]:
-    """Sample text per language, at most `size` bytes, from `rows` labelled rows each, of at most MAX_LANGUAGES languages.
+    """Sample text per language, at most `size` bytes, from `rows` distinct texts each, of at most MAX_LANGUAGES languages.
 
-    Of equal texts one counts, so copies do not fill the sample. Rows are taken in the order of a hash of their text, and
-    of each text at most an eighth of the sample, so that one text does not stand for a language.
+    Of equal texts one counts, so copies neither fill the sample nor thin it. The texts with the smallest hashes are taken,
+    and of each text at most an eighth of the sample, so that one text does not stand for a language.
     """
-    known = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", "text")
-    # A hash keeps about four times the rows wanted of a large language, before the exact choice.
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n")).limit(MAX_LANGUAGES).collect()}
-    keep = F.lit(False)
-    for lang, n in sizes.items():
-        keep = keep | ((F.col("lang") == lang) & (F.col("_order") % HASHES < max(4 * rows * HASHES // n, 1)))
-    keyed = known.withColumn("_order", F.shiftrightunsigned(F.xxhash64("text"), 1)).where(keep).dropDuplicates(["lang", "_order"])
-    best = keyed.withColumn("_at", F.row_number().over(Window.partitionBy("lang").orderBy("_order"))).where(F.col("_at") <= rows)
-    samples: dict[str, bytearray] = {}
-    for r in best.select("lang", "_at", F.expr(f"substring(text, 1, {size // 8})").alias("text")).orderBy("lang", "_at").toLocalIterator():
-        have = samples.setdefault(r["lang"], bytearray())
-        have += (r["text"] + "\n").encode()[:size - len(have)]
-    return {lang: bytes(text) for lang, text in samples.items() if text}
+    known = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select(
+        F.col("lang").cast("string").alias("lang"), F.shiftrightunsigned(F.xxhash64("text"), 1).alias("_order"),
+        F.expr(f"substring(text, 1, {size // 8})").alias("text"))
+    # Copies are folded first: a language is as large as its distinct texts.
+    counts = known.select("lang", "_order").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    sizes = {r["lang"]: r["n"] for r in counts.orderBy(F.desc("n")).limit(MAX_LANGUAGES).collect()}
+    # Hashes up to the cut hold about MARGIN times the texts wanted, before the exact choice.
+    cuts = {lang: min(int(MARGIN * rows) * LAST_HASH // n, LAST_HASH) for lang, n in sizes.items()}
+    while True:
+        cut = labelled.sparkSession.createDataFrame(list(cuts.items()), "_lang string, _cut long")
+        near = known.join(F.broadcast(cut), (F.col("lang") == F.col("_lang")) & (F.col("_order") <= F.col("_cut")))
+        once = near.select("lang", "_order", "text").dropDuplicates(["lang", "_order"])
+        best = once.withColumn("_at", F.row_number().over(Window.partitionBy("lang").orderBy("_order"))).where(F.col("_at") <= rows)
+        samples: dict[str, bytearray] = {}
+        taken = dict.fromkeys(sizes, 0)
+        for r in best.select("lang", "_at", "text").orderBy("lang", "_at").toLocalIterator():
+            have = samples.setdefault(r["lang"], bytearray())
+            have += (r["text"] + "\n").encode()[:size - len(have)]
+            taken[r["lang"]] += 1
+        short = [lang for lang, n in sizes.items() if taken[lang] < min(rows, n) and cuts[lang] < LAST_HASH]
+        if not short:
+            return {lang: bytes(text) for lang, text in samples.items() if text}
+        # The cut left too few: it is raised until the smallest hashes are all there.
+        cuts |= {lang: min(8 * cuts[lang] + 1, LAST_HASH) for lang in short}
 
 
 def predict(docs: DataFrame, samples: dict[str, bytes]) -> DataFrame:

@@ -283,6 +283,26 @@ def test_language_accuracy_and_rejects(spark, table, odd, none):
     assert language.keep_known(docs, learned).count() == docs.count()
 
 
+def test_copies_do_not_thin_the_sample(spark):
+    k = F.col("id")
+    one = spark.range(100_000).select(k.alias("doc_id"), F.lit("uno dos tres cuatro cinco seis siete").alias("text"), F.lit("es").alias("lang"))
+    few = spark.range(100_000).select(k.alias("doc_id"), F.concat(F.lit("eins zwei drei vier "), F.conv((k % 300).cast("string"), 10, 2)).alias("text"), F.lit("de").alias("lang"))
+    rare = spark.range(3).select(k.alias("doc_id"), F.concat(F.lit("un deux trois quatre "), k.cast("string")).alias("text"), F.lit("fr").alias("lang"))
+    learned = language.fit(one.unionByName(few).unionByName(rare))
+    assert {lang: text.count(b"\n") for lang, text in learned.items()} == {"es": 1, "de": language.SAMPLE_ROWS, "fr": 3}
+    got = {r.doc_id: r.lang_pred for r in language.predict(plain.documents(spark, [(1, "dos tres cuatro"), (2, "zwei drei"), (3, "deux trois")]), learned).collect()}
+    assert got == {1: "es", 2: "de", 3: "fr"}
+
+
+def test_sample_does_not_depend_on_the_cut(spark, table, monkeypatch):
+    docs, _ = table
+    want = language.fit(docs, 20)
+    monkeypatch.setattr(language, "MARGIN", 0.05)
+    assert language.fit(docs, 20) == want
+    smallest = sorted((r["h"], r["text"]) for r in docs.where("lang = 'en' and text rlike '\\\\p{L}'").selectExpr("shiftrightunsigned(xxhash64(text), 1) AS h", "substring(text, 1, 3000) AS text").distinct().collect())
+    assert want["en"] == "".join(t + "\n" for _, t in smallest[:20]).encode()[:language.SAMPLE_BYTES]
+
+
 def test_cross_parsing_matches_a_greedy_search():
     text = b"abracadabra abracadabra"
     model = language.Model({"a": text, "b": b"zzzz"})

@@ -19,10 +19,12 @@ from pyspark.sql import functions as F
 from loanstrata.llm.words import LOWER, slices, text_bytes
 
 SEGMENT = 256
-# The bound of the fit: languages, rows read of each, and bytes of its sample that enter the automaton.
+# The bound of the fit: rows read of each language, bytes of its sample that enter the automaton, and bytes of all samples.
 SAMPLE_ROWS = 200
 SAMPLE_BYTES = 24_000
-MAX_LANGUAGES = 200
+TOTAL_BYTES = 200 * SAMPLE_BYTES
+# With more languages than leave this much to each, the fit refuses.
+LEAST_BYTES = 1_000
 LAST_HASH = (1 << 63) - 1
 MARGIN = 4
 UNKNOWN = "und"
@@ -140,17 +142,24 @@ def in_fold(key: str = "doc_id", folds: int = 3, fold: int = 1) -> Column:
 
 
 def fit(labelled: DataFrame, rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES) -> dict[str, bytes]:
-    """Sample text per language, at most `size` bytes, from `rows` distinct texts each, of at most MAX_LANGUAGES languages.
+    """Sample text per language, at most `size` bytes, from `rows` distinct texts each.
+
+    Every language is learned: where the samples would exceed TOTAL_BYTES together, all get the same smaller share, and a
+    share under LEAST_BYTES raises a ValueError.
 
     Of equal texts one counts, so copies neither fill the sample nor thin it. The texts with the smallest hashes are taken,
     and of each text at most an eighth of the sample, so that one text does not stand for a language.
     """
     known = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select(
-        F.col("lang").cast("string").alias("lang"), F.shiftrightunsigned(F.xxhash64("text"), 1).alias("_order"),
-        F.expr(f"substring(text, 1, {size // 8})").alias("text"))
+        F.col("lang").cast("string").alias("lang"), F.shiftrightunsigned(F.xxhash64("text"), 1).alias("_order"), "text")
     # Copies are folded first: a language is as large as its distinct texts.
     counts = known.select("lang", "_order").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    sizes = {r["lang"]: r["n"] for r in counts.orderBy(F.desc("n")).limit(MAX_LANGUAGES).collect()}
+    most = TOTAL_BYTES // LEAST_BYTES
+    sizes = {r["lang"]: r["n"] for r in counts.limit(most + 1).collect()}
+    if len(sizes) > most:
+        raise ValueError(f"more than {most} languages: their samples do not fit in {TOTAL_BYTES} bytes")
+    size = min(size, TOTAL_BYTES // max(len(sizes), 1))
+    known = known.withColumn("text", F.expr(f"substring(text, 1, {max(size // 8, 1)})"))
     # Hashes up to the cut hold about MARGIN times the texts wanted, before the exact choice.
     cuts = {lang: min(int(MARGIN * rows) * LAST_HASH // n, LAST_HASH) for lang, n in sizes.items()}
     while True:

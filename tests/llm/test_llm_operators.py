@@ -303,6 +303,20 @@ def test_sample_does_not_depend_on_the_cut(spark, table, monkeypatch):
     assert want["en"] == "".join(t + "\n" for _, t in smallest[:20]).encode()[:language.SAMPLE_BYTES]
 
 
+def test_every_language_is_learned(spark, monkeypatch):
+    number = F.format_string("%03d", F.col("id") % 260)
+    text = F.translate(number, "0123456789", "abcdefghij")
+    docs = spark.range(520).select(F.concat(F.lit("l"), number).alias("lang"), F.concat(text, text, F.lit(" "), (F.col("id") >= 260).cast("string")).alias("text"))
+    learned = language.fit(docs)
+    assert len(learned) == 260 and sum(map(len, learned.values())) <= language.TOTAL_BYTES
+    monkeypatch.setattr(language, "TOTAL_BYTES", 260 * 4)
+    monkeypatch.setattr(language, "LEAST_BYTES", 4)
+    assert {len(s) for s in language.fit(docs).values()} == {4}
+    monkeypatch.setattr(language, "LEAST_BYTES", 5)
+    with pytest.raises(ValueError, match="languages"):
+        language.fit(docs)
+
+
 def test_cross_parsing_matches_a_greedy_search():
     text = b"abracadabra abracadabra"
     model = language.Model({"a": text, "b": b"zzzz"})

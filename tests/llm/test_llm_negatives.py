@@ -41,7 +41,7 @@ def odd_vectors():
     return rows + [
         (500, None, 1), (600, [], 1), (601, [], 2), (602, [None] * 20, 1), (603, [float("nan")] * 20, 1), (604, [float("inf")] * 20, 1),
         (700, x[3].tolist(), None), (800, x[3][:7].tolist(), 2), (801, [*x[3].tolist(), 9.0, 9.0], 2), (None, x[3].tolist(), 1),
-        (12, x[12].tolist(), 0), (12, x[12].tolist(), 0), (200, x[200].tolist(), 0), (200, x[9].tolist(), 3), (900, [-v for v in x[3]], 1)]
+        (12, x[12].tolist(), 0), (12, x[12].tolist(), 0), (200, x[200].tolist(), 0), (200, x[9].tolist(), 3), (900, (-x[3]).tolist(), 1)]
 
 
 @pytest.mark.parametrize("small", [False, True])

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanstrata.llm import bpe, decontaminate, hosts, jaccard, katz, language, negatives, shards, substring, vectors, warc
+from loanstrata.llm import bpe, decontaminate, hosts, jaccard, katz, language, negatives, quality, shards, substring, vectors, warc
 from loanstrata.session import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -119,3 +119,8 @@ FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 *
 def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
     shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return negatives.mine(table(spark, folder, "embeddings").withColumn("label", shifted))
+
+
+@query()
+def op12_rule_ensemble(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanstrata.llm import bpe, decontaminate, hosts, jaccard, katz, language, negatives, quality, shards, substring, vectors, warc
+from loanstrata.llm import bpe, conversations, decontaminate, hosts, jaccard, katz, language, negatives, quality, shards, substring, vectors, warc
 from loanstrata.session import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -124,3 +124,8 @@ def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op12_rule_ensemble(spark: SparkSession, folder: str) -> DataFrame:
     return quality.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query()
+def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return conversations.audit_damaged(table(spark, folder, "conversations"))

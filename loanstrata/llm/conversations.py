@@ -77,7 +77,7 @@ def same_prefix(a: Node, b: Node) -> bool:
     """Whether two nodes of one depth spell the same; equal hashes are verified back to the node they share."""
     if a.hash != b.hash:
         return False
-    while a is not b:
+    while a is not b and a.up:
         if a.letter != b.letter:
             return False
         a, b = a.up[0], b.up[0]

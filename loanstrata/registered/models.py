@@ -1,7 +1,8 @@
-"""Training queries over all loans. Pools are shortened and trees and draws reduced so that small tables train quickly."""
+"""Training queries over all loans, with the whole pools, trees, folds and draws."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loanstrata.functions.text import percent_number
@@ -15,19 +16,6 @@ from loanstrata.session import attach, pin, spread
 FEATURES = ["loan_amnt", "annual_inc", "dti", "int_rate", "revol_bal", "open_acc", "signal"]
 
 
-def fast(pool, trees: int = 8, leaf: int = 20):
-    """The pool with fewer trees and smaller leaves, for small test tables."""
-    out = []
-    for c in pool:
-        changes = {}
-        if "n_estimators" in c.params:
-            changes["n_estimators"] = trees
-        if "min_samples_leaf" in c.params:
-            changes["min_samples_leaf"] = leaf
-        out.append(c.with_params(**changes) if changes else c)
-    return out
-
-
 def loans(spark, folder):
     """Resolved loans with a planted signal, complete features and the month of issue as a number."""
     rows = resolved_loans(spark, folder, ["loan_amnt", "annual_inc", "dti", "int_rate", "revol_bal", "open_acc", "issue_ts"])
@@ -71,32 +59,66 @@ def ols_slope(spark, folder):
 
 @register("pd_tournament")
 def pd_tournament(spark, folder):
-    pool = fast([c for c in candidates.PD_CANDIDATES if c.name in (
-        "Logistic Regression L2", "Decision Tree", "Random Forest", "Gradient Boosting (GBM)", "Logit statsmodels", "AdaBoost")])
-    out = models.pd_tournament(frame(loans(spark, folder)), pool, models.Settings(top_k=2, rounds=2, draws=0))
-    return out.leaderboard.select("rank", "model", "status", "auc", "ks", "brier", "psi", "overfit_gap", "rubric_score")
+    """The whole pool with all trees; the search is run by `search_trace`, whose fits the full settings multiply."""
+    out = models.pd_tournament(frame(loans(spark, folder)), None, models.Settings(draws=0, workers=8))
+    return out.leaderboard.select("rank", "model", "status", "auc", "ks", "brier", "psi", "overfit_gap", "trees_asked", "trees_kept", "rubric_score")
 
 
 @register("random_search")
 def random_search(spark, folder):
     built = frame(loans(spark, folder))
-    settings = models.Settings(folds=2, draws=2)
-    folded = models.time_folds(built, "issued", settings.folds)
-    candidate = candidates.PD_CANDIDATES[0].with_params(max_iter=20)
+    settings = models.Settings(workers=8)
+    folded = pin(models.time_folds(built, "issued", settings.folds))
+    candidate = candidates.PD_CANDIDATES[0]
     best = models.search(built, folded, candidate, FEATURES, candidates.draw_params(candidate, settings.draws, 42), settings)
     fitted = models.fit(built, best)
     return models.classification_entries(built, [fitted], calibrated=False).select("model", "auc", "overfit_gap")
 
 
+@register("search_trace", """
+WITH RECURSIVE race(fold, n) AS (SELECT 1, 20 UNION ALL SELECT fold + 1, greatest(2, CAST(ceil(n / 2.0) AS INTEGER)) FROM race WHERE fold < 5)
+SELECT model, fold, n::BIGINT AS judged, CASE WHEN fold = 5 THEN 1 ELSE greatest(2, ceil(n / 2.0)) END::BIGINT AS go_on, n::BIGINT AS judged_on_all,
+  true AS best_go_on, CASE WHEN fold = 5 THEN 1 ELSE 0 END::BIGINT AS chosen
+FROM race, (VALUES ('Logistic Regression L2'), ('Decision Tree')) m(model)
+""")
+def search_trace(spark, folder):
+    """Draws judged per fold, how many were judged on every fold before, and whether those with the best mean went on."""
+    built = frame(loans(spark, folder))
+    settings = models.Settings(workers=8)
+    folded = pin(models.time_folds(built, "issued", settings.folds))
+    plans = [models.SearchPlan(c.name, c, FEATURES, candidates.draw_params(c, settings.draws, settings.seed))
+             for c in candidates.PD_CANDIDATES if c.name in ("Logistic Regression L2", "Decision Tree")]
+    trace = models.search_table(models.search_all(built, folded, plans, settings)[1], spark)
+    so_far = Window.partitionBy("model", "draw").orderBy("fold").rowsBetween(Window.unboundedPreceding, 0)
+    seen = trace.withColumns({"mean": F.avg("auc").over(so_far), "times": F.count(F.lit(1)).over(so_far)})
+    limits = seen.groupBy("model", "fold").agg(
+        F.count(F.lit(1)).alias("judged"), F.count_if("goes_on").alias("go_on"), F.count_if(F.col("times") == F.col("fold")).alias("judged_on_all"),
+        (F.min(F.when(F.col("goes_on"), F.col("mean"))) >= F.coalesce(F.max(F.when(~F.col("goes_on"), F.col("mean"))), F.lit(0.0))).alias("best_go_on"),
+        F.count_if("chosen").alias("chosen"))
+    return limits
+
+
+@register("boosting_rounds", with_tape(
+    "SELECT 'Gradient Boosting (GBM)' AS model, 40 AS trees_asked, true AS stopped, true AS within, count(*) FILTER (split = 'train') AS fitted_on, "
+    "count(*) FILTER (split = 'val') AS held_back FROM resolved"))
+def boosting_rounds(spark, folder):
+    """A fast-learning boosted model stops before its last tree, judged on the validation rows."""
+    built = frame(loans(spark, folder))
+    asked = next(c for c in candidates.PD_CANDIDATES if c.kind == "boost").with_params(n_estimators=40, learning_rate=0.9)
+    made = models.fit_table([models.fit(built, asked, stop_on="val")], spark)
+    rows = built.data.agg(F.count_if(F.col("split") == "train").alias("fitted_on"), F.count_if(F.col("split") == "val").alias("held_back"))
+    return attach(made.select("model", "trees_asked", (F.col("trees_kept") < F.col("trees_asked")).alias("stopped"),
+                              F.col("trees_kept").between(1, F.col("trees_asked")).alias("within")), rows)
+
+
 @register("lgd_two_stage")
 def lgd_two_stage(spark, folder):
     rows = resolved_loans(spark, folder, [*TARGET_INPUTS, "loan_amnt", "annual_inc", "dti", "revol_bal"])
-    rows = clean.fill_numeric(rows, ["annual_inc", "dti", "revol_bal"], fit_on=rows.where("split = 'train'"))
+    rows = pin(clean.fill_numeric(rows, ["annual_inc", "dti", "revol_bal"], fit_on=rows.where("split = 'train'")))
     # A loss below one half counts as none, so that both classes occur in the tape.
     losses = clean.loss_stage_targets(clean.with_targets(rows)).withColumn(
         "lgd", F.when(F.col("lgd") < 0.5, 0.0).otherwise(F.col("lgd"))).withColumn("any_loss", (F.col("lgd") > 0).cast("int"))
-    out = models.lgd_two_stage(losses, ["loan_amnt", "annual_inc", "dti", "revol_bal"], fast(candidates.LGD_STAGE1[:2]),
-                               fast(candidates.LGD_STAGE2[:2]))
+    out = models.lgd_two_stage(losses, ["loan_amnt", "annual_inc", "dti", "revol_bal"], workers=8)
     return out.predict(losses).select("id", "split", F.col("lgd").alias("actual"), "p_any_loss", "severity", "predicted")
 
 
@@ -105,15 +127,14 @@ def ead_tournament(spark, folder):
     rows = resolved_loans(spark, folder, [*TARGET_INPUTS, "loan_amnt", "revol_bal", "open_acc", "total_acc"])
     rows = clean.with_targets(rows).where("ead IS NOT NULL")
     built = models.model_frame(rows, ["loan_amnt", "revol_bal", "open_acc", "total_acc"], "ead")
-    pool = fast([c for c in candidates.EAD_CANDIDATES if c.name not in ("XGBoostRegressor", "LightGBMRegressor")])
-    out = models.regression_tournament(built, pool, 0.0, None)
-    return out.entries.select("model", "status", "train_rmse", "val_rmse", "val_mae", "val_r2", "test_rmse", "overfit_gap")
+    out = models.regression_tournament(built, None, 0.0, None, 8)
+    return out.entries.select("model", "status", "trees_asked", "trees_kept", "train_rmse", "val_rmse", "val_mae", "val_r2", "test_rmse", "overfit_gap")
 
 
 def _fitted(spark, folder):
     rows = loans(spark, folder)
     built = frame(rows)
-    fitted = models.fit(built, candidates.PD_CANDIDATES[0].with_params(max_iter=50))
+    fitted = models.fit(built, candidates.PD_CANDIDATES[0])
     return built, fitted, rows.where("split = 'test'").withColumn("label", F.col("default_flag"))
 
 
@@ -144,12 +165,12 @@ def permutation_importance(spark, folder):
 
 @register("feature_dropout")
 def feature_dropout(spark, folder):
-    return robustness.feature_dropout(frame(loans(spark, folder)), candidates.PD_CANDIDATES[0].with_params(max_iter=50))
+    return robustness.feature_dropout(frame(loans(spark, folder)), candidates.PD_CANDIDATES[0])
 
 
 @register("importance_stability")
 def importance_stability(spark, folder):
-    return robustness.importance_stability(frame(loans(spark, folder)), candidates.PD_CANDIDATES[0].with_params(max_iter=50))
+    return robustness.importance_stability(frame(loans(spark, folder)), candidates.PD_CANDIDATES[0])
 
 
 @register("smote")

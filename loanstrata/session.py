@@ -20,6 +20,7 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession
         SparkSession.builder.master(f"local[{cores}]")
         .appName("loanstrata")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+        .config("spark.scheduler.mode", "FAIR")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         # Recording the Python call site of every column expression costs more than small queries take.

@@ -102,6 +102,54 @@ def test_tournament_refines_and_chooses(frame):
     assert min(rounds) == 1 and max(rounds) <= 2
 
 
+def test_halving_finds_what_the_full_search_finds(frame):
+    base = next(c for c in candidates.PD_CANDIDATES if c.name == "Decision Tree")
+    draws = [{"max_depth": d, "min_samples_leaf": leaf} for d, leaf in ((1, 250), (4, 10), (2, 240), (1, 200), (3, 20), (5, 150), (1, 100))]
+    folded = models.pin(models.time_folds(frame, "issued", 4))
+    plans = [models.SearchPlan("tree", base, frame.features, draws), models.SearchPlan("fixed", candidates.PD_CANDIDATES[10], frame.features, [{}])]
+    best, rows = models.search_all(frame, folded, plans, models.Settings(folds=4), 1)
+    full, every = models.search_all(frame, folded, plans, models.Settings(folds=4, halving=1), 1)
+    assert best["tree"].params == full["tree"].params and best["fixed"] is not None
+    assert len(every) == 4 * len(draws) and {r[1] for r in every} == {"tree"}
+    # A draw that reaches a fold was judged on all earlier ones, and the race narrows by half.
+    seen = {}
+    for _, _, draw, fold, auc, _, _, _ in rows:
+        seen.setdefault(draw, []).append(fold)
+        assert 0 <= auc <= 1
+    assert all(folds == list(range(1, len(folds) + 1)) for folds in seen.values())
+    assert [sum(r[3] == f for r in rows) for f in (1, 2, 3, 4)] == [7, 4, 2, 2]
+    assert [r[2] for r in rows if r[6]] == [draws.index({k: best["tree"].params[k] for k in draws[0]})]
+    same = {(r[2], r[3]): r[4] for r in every}
+    assert all(r[4] == same[r[2], r[3]] for r in rows)
+
+
+def test_boosting_stops_early(frame):
+    asked = next(c for c in candidates.PD_CANDIDATES if c.name.startswith("Gradient")).with_params(n_estimators=60, learning_rate=0.5)
+    held, full = models.fit(frame, asked, stop_on="val"), models.fit(frame, asked)
+    assert full.rounds == 60 and 1 <= held.rounds < 60
+    part = models.fit(frame, asked, stop_on="stop")
+    assert part.error is None and 1 <= part.rounds <= 60
+    row = models.fit_table([held], frame.data.sparkSession).collect()[0]
+    assert (row["trees_asked"], row["trees_kept"]) == (60, held.rounds)
+    # The kept trees are those with the least validation error among the ones tried.
+    loss = full.model.evaluateEachIteration(frame.data.where("split = 'val'"))
+    assert loss[held.rounds - 1] == min(loss[:held.rounds])
+
+
+def test_a_slow_fit_is_cancelled_and_the_others_go_on(frame):
+    slow = next(c for c in candidates.PD_CANDIDATES if c.name.startswith("Gradient")).with_params(n_estimators=2000)
+    quick = candidates.PD_CANDIDATES[0].with_params(max_iter=5)
+    found = models.fit_all(frame, [slow, quick], workers=2, limit_s=8.0)
+    assert [f.status for f in found] == ["failed", "trained"] and found[0].seconds < 30
+    assert "cancel" in found[0].error.lower()
+    assert models.fit(frame, quick).status == "trained"
+
+
+def test_fits_run_in_pools_of_their_own(spark):
+    seen = models.side_by_side(spark, lambda _: spark.sparkContext.getLocalProperty("spark.scheduler.pool"), list(range(4)), 2)
+    assert all(p.startswith("fits-") for p in seen) and spark.sparkContext.getLocalProperty("spark.scheduler.pool") is None
+
+
 def test_time_folds_expand_in_order(frame):
     rows = models.time_folds(frame, "issued", 5).groupBy("fold").agg(
         F.min("issued").alias("lo"), F.max("issued").alias("hi"), F.count("*").alias("n")).orderBy("fold").collect()

@@ -11,7 +11,6 @@ from loanstrata.operators import candidates, models, registry
 from loanstrata.plans.tape import loan_tape
 from loanstrata.session import PINNED
 from loanstrata.plans.workflow import Plan, handoff_table, run_all
-from loanstrata.registered.models import fast
 from pyspark.sql import functions as F
 
 
@@ -23,8 +22,8 @@ def finished(spark):
         F.col("loan_status") == "Charged Off", 12000).otherwise(0))
     tape = tape.withColumn("recoveries", F.when(k % 3 == 0, F.col("funded_amnt") * 2).otherwise(F.col("recoveries")))
     plan = Plan(train_last_year=1998, test_first_year=2000,
-                pd_pool=fast([candidates.PD_CANDIDATES[0], candidates.PD_CANDIDATES[3]]),
-                lgd_pools=(fast(candidates.LGD_STAGE1[:1]), candidates.LGD_STAGE2[:2]), ead_pool=candidates.EAD_CANDIDATES[:2],
+                pd_pool=[candidates.PD_CANDIDATES[0], candidates.PD_CANDIDATES[3].with_params(min_samples_leaf=20)],
+                lgd_pools=(candidates.LGD_STAGE1[:1], candidates.LGD_STAGE2[:2]), ead_pool=candidates.EAD_CANDIDATES[:2],
                 settings=models.Settings(top_k=1, rounds=1, draws=0, workers=2))
     before = len(PINNED)
     run = run_all(tape, root, plan)

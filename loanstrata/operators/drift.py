@@ -5,6 +5,7 @@ Edges are fitted once and used as literals, so every comparison is one scan whos
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -15,6 +16,7 @@ from loanstrata.operators.features import bin_number
 from loanstrata.operators.metrics import discrimination
 from loanstrata.operators.profile import struct_rows
 from loanstrata.functions.stats import moments
+from loanstrata.session import attach, pin
 
 
 @dataclass(frozen=True)
@@ -135,45 +137,85 @@ def mean_embedding_drift(df: DataFrame, features: list[str], side: str = "split"
     return one.select("n_reference", "n_other", F.sqrt(total).alias("drift_score"))
 
 
-def permutation_drift(df: DataFrame, features: list[str], key: str = "id", side: str = "split",
-                      reference: str = "train", other: str = "test", permutations: int = 100, cells: int = 1000,
-                      seed: int = 42) -> DataFrame:
-    """p-value of the drift score under random relabelling.
+# Tickets are residues modulo this prime; a histogram level resolves 12 of their 31 bits.
+TICKET_PRIME = (1 << 31) - 1
+TICKET_SHIFTS = (19, 7, 0)
+# Rows of a draw that one task may sort.
+BOUNDARY_ROWS = 2_000
 
-    Rows fall into `cells` random groups by a hash of their key; one scan sums the standardised features per cell,
-    and the relabelling draws cells instead of rows. A cell is a random sample of rows, so the statistic has the same
-    spread as with single rows, and only `cells` rows are replicated per permutation.
+
+def tickets(df: DataFrame, key: str, draws: int, seed: int) -> DataFrame:
+    """Every row once per draw 1..draws, exploded in place, with a `ticket` that is a hash of key and draw.
+
+    The key is hashed once; a draw mixes the two halves of that hash with multipliers of its own.
+    """
+    part = lambda at: F.conv(F.substring(F.md5(F.concat(F.col(key).cast("string"), F.lit(f"-{seed}"))), at, 7), 16, 10).cast("long")
+    number = lambda name, draw: int(hashlib.md5(f"{name}-{draw}-{seed}".encode()).hexdigest()[:7], 16) + 1
+    mixes = F.array(*[F.struct(F.lit(d).alias("draw"), *[F.lit(number(n, d)).cast("long").alias(n) for n in "abc"]) for d in range(1, draws + 1)])
+    mixed = df.withColumns({"_x": part(1), "_y": part(8), "_mix": F.explode(mixes)})
+    p = F.lit(TICKET_PRIME)
+    ticket = (F.col("_x") * F.col("_mix.a") % p + F.col("_y") * F.col("_mix.b") % p + F.col("_mix.c")) % p
+    return mixed.withColumns({"draw": F.col("_mix.draw"), "ticket": ticket}).drop("_x", "_y", "_mix")
+
+
+def ticket_cuts(ticketed: DataFrame, key: str, draws: int, size: int) -> dict[int, tuple]:
+    """The `size`-th smallest (ticket, key) of every draw, without sorting the rows.
+
+    Each pass counts tickets per draw in 4,096 ranges inside the range that holds the cut; what remains after the last
+    pass that was needed is sorted. Only one row per draw reaches the driver.
+    """
+    inside, left = ticketed, {d: size for d in range(1, draws + 1)}
+    for shift in TICKET_SHIFTS:
+        counts = inside.groupBy("draw", F.shiftright("ticket", shift).alias("range")).agg(F.count(F.lit(1)).alias("n"))
+        before = F.sum("n").over(Window.partitionBy("draw").orderBy("range")) - F.col("n")
+        need = F.get(F.lit([left.get(d, 0) for d in range(1, draws + 1)]), F.col("draw") - 1)
+        spots = counts.withColumns({"before": before, "need": need}).where((F.col("before") < F.col("need")) & (F.col("before") + F.col("n") >= F.col("need")))
+        held = {r["draw"]: r for r in spots.collect()}
+        left = {d: left[d] - r["before"] for d, r in held.items()}
+        ranges = F.get(F.lit([held[d]["range"] if d in held else -1 for d in range(1, draws + 1)]), F.col("draw") - 1)
+        inside = inside.where(F.shiftright("ticket", shift) == ranges)
+        if not held or max(r["n"] for r in held.values()) <= BOUNDARY_ROWS:
+            break
+    place = F.row_number().over(Window.partitionBy("draw").orderBy("ticket", key))
+    need = F.get(F.lit([left.get(d, 0) for d in range(1, draws + 1)]), F.col("draw") - 1)
+    rows = inside.select("draw", "ticket", key).withColumn("_place", place).where(F.col("_place") == need).collect()
+    return {r["draw"]: (r["ticket"], r[key]) for r in rows}
+
+
+def permutation_draws(df: DataFrame, features: list[str], key: str = "id", side: str = "split", reference: str = "train",
+                      other: str = "test", permutations: int = 100, seed: int = 42) -> DataFrame:
+    """`(draw, n_reference, n_other, stat)`: distance of mean standardised features; draw 0 has the real sides.
+
+    In a draw the rows with the smallest tickets play the reference, exactly as many as there really are. `key` names a
+    unique column. Rows with a null feature or on neither side are left out.
     """
     known = complete_rows(df.where(F.col(side).isin(reference, other)), features)
     fitted = moments(known.where(F.col(side) == reference), features)
     z = {c: (F.col(c).cast("double") - F.lit(fitted[c]["mean"])) / F.lit(fitted[c]["std_pop"] or 1.0) for c in features}
-    number = lambda text: F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
-    cell = number(F.concat(F.col(key).cast("string"), F.lit(f"-{seed}"))) % cells
-    sums = known.groupBy(cell.alias("cell")).agg(
-        F.count(F.lit(1)).alias("n"), F.count(F.when(F.col(side) == reference, 1)).alias("n_ref"),
-        *[F.sum(v).alias(f"s_{c}") for c, v in z.items()],
-        *[F.sum(F.when(F.col(side) == reference, v)).alias(f"r_{c}") for c, v in z.items()])
-    whole = Window.partitionBy()
-    drawn = sums.withColumn("share", F.sum("n_ref").over(whole) / F.sum("n").over(whole)).withColumn(
-        "draw", F.explode(F.sequence(F.lit(0), F.lit(permutations))))
-    # Draw 0 is the real labelling.
-    mark = number(F.concat_ws("-", F.col("cell"), F.col("draw"), F.lit(seed))) / F.lit(float(2 ** 32)) < F.col("share")
-    inside = F.when(F.col("draw") == 0, F.col("n_ref")).when(mark, F.col("n")).otherwise(0)
-    part = {c: F.when(F.col("draw") == 0, F.coalesce(F.col(f"r_{c}"), F.lit(0.0))).when(mark, F.col(f"s_{c}")).otherwise(0.0)
-            for c in features}
-    per = drawn.groupBy("draw").agg(
-        F.sum(inside).alias("a"), F.sum(F.col("n") - inside).alias("b"),
-        *[F.sum(v).alias(f"a_{c}") for c, v in part.items()],
-        *[F.sum(F.col(f"s_{c}") - v).alias(f"b_{c}") for c, v in part.items()])
+    rows = pin(known.select(F.col(key).alias("_key"), (F.col(side) == reference).alias("_ref"), *[v.alias(f"_z_{c}") for c, v in z.items()]))
+    facts = rows.agg(F.count_if("_ref").alias("a"), F.count_if(~F.col("_ref")).alias("b"), *[F.sum(f"_z_{c}").alias(c) for c in features]).collect()[0]
+    cuts = ticket_cuts(tickets(rows.select("_key"), "_key", permutations, seed), "_key", permutations, facts["a"])
+    at = lambda i, kind: F.get(F.array(*[F.lit(cuts[d][i] if d in cuts else None).cast(kind) for d in range(1, permutations + 1)]),
+                               F.col("draw") - 1)
+    cut_ticket, cut_key = at(0, "long"), at(1, rows.schema["_key"].dataType)
+    chosen = tickets(rows, "_key", permutations, seed).where((F.col("ticket") < cut_ticket) | (F.col("ticket") == cut_ticket) & (F.col("_key") <= cut_key))
+    sums = [F.count(F.lit(1)).alias("n_reference"), *[F.sum(f"_z_{c}").alias(f"_a_{c}") for c in features]]
+    real = rows.where("_ref").agg(*sums).select(F.lit(0).alias("draw"), "*")
+    per = real.unionByName(chosen.groupBy("draw").agg(*sums)).withColumn("n_other", F.lit(facts["a"] + facts["b"]) - F.col("n_reference"))
     total = F.lit(0.0)
     for c in features:
-        d = F.try_divide(F.col(f"a_{c}"), F.col("a")) - F.try_divide(F.col(f"b_{c}"), F.col("b"))
+        rest = F.lit(facts[c]) - F.col(f"_a_{c}")
+        d = F.try_divide(F.col(f"_a_{c}"), F.col("n_reference")) - F.try_divide(rest, F.col("n_other"))
         total = total + d * d
-    stats = per.select("draw", F.sqrt(total).alias("stat"))
-    observed = F.max(F.when(F.col("draw") == 0, F.col("stat"))).over(whole)
-    marked = stats.withColumn("drift_score", observed).where(F.col("draw") > 0)
-    out = marked.agg(F.max("drift_score").alias("drift_score"),
-                     F.avg((F.col("stat") >= F.col("drift_score")).cast("int")).alias("p_value"))
+    return per.select("draw", "n_reference", "n_other", F.sqrt(total).alias("stat"))
+
+
+def permutation_drift(df: DataFrame, features: list[str], key: str = "id", side: str = "split", reference: str = "train",
+                      other: str = "test", permutations: int = 100, seed: int = 42) -> DataFrame:
+    """p-value of the drift score under random relabelling of rows that keeps the group sizes."""
+    stats = permutation_draws(df, features, key, side, reference, other, permutations, seed)
+    out = attach(stats.where("draw > 0"), stats.where("draw = 0").select(F.col("stat").alias("_real"))).agg(
+        F.max("_real").alias("drift_score"), F.avg((F.col("stat") >= F.col("_real")).cast("int")).alias("p_value"))
     return out.withColumn("interpretation", F.when(
         F.col("p_value") < 0.05, "significant drift").otherwise("no significant drift"))
 

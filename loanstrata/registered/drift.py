@@ -101,21 +101,21 @@ def mean_embedding_drift(spark, folder):
     return rounded(drift.mean_embedding_drift(loans(spark, folder), DRIFT), drift_score=6)
 
 
-_CELLS = (
+_HEX = lambda text, at: f"CAST(('0x' || substr(md5({text}), {at}, 7)) AS BIGINT)"
+_DRAWS = (
     f", k AS (SELECT * FROM resolved WHERE split IN ('train', 'test') AND {_COMPLETE}), f AS (SELECT " + ", ".join(
         f"avg({c}) AS m_{c}, stddev_pop({c}) AS d_{c}" for c in DRIFT) + " FROM k WHERE split = 'train'), "
-    "cells AS (SELECT CAST(('0x' || substr(md5(concat(id, '-42')), 1, 8)) AS BIGINT) % 1000 AS cell, count(*) AS n, "
-    "count(*) FILTER (split = 'train') AS nr, " + ", ".join(
-        f"sum(({c} - m_{c}) / d_{c}) AS s_{c}, coalesce(sum(({c} - m_{c}) / d_{c}) FILTER (split = 'train'), 0) AS r_{c}" for c in DRIFT)
-    + " FROM k, f GROUP BY 1), draws AS (SELECT *, draw = 0 AS real, CAST(('0x' || substr(md5(concat(cell, '-', draw, '-42')), "
-    "1, 8)) AS BIGINT) / 4294967296.0 < (SELECT sum(nr) / sum(n) FROM cells) AS hit FROM cells, generate_series(0, 100) g(draw)), "
-    "a AS (SELECT draw, sum(CASE WHEN real THEN nr WHEN hit THEN n ELSE 0 END) AS na, sum(n) AS nt, " + ", ".join(
-        f"sum(CASE WHEN real THEN r_{c} WHEN hit THEN s_{c} ELSE 0 END) AS a_{c}, sum(s_{c}) AS t_{c}" for c in DRIFT)
-    + " FROM draws GROUP BY draw), st AS (SELECT draw, sqrt(" + " + ".join(
-        f"(a_{c} / na - (t_{c} - a_{c}) / (nt - na)) ** 2" for c in DRIFT) + ") AS stat FROM a) ")
-
-
-@register("permutation_drift", with_tape(_CELLS +
+    "z AS (SELECT id, split = 'train' AS ref, " + ", ".join(f"({c} - m_{c}) / d_{c} AS z_{c}" for c in DRIFT)
+    + f", {_HEX("concat(id, '-42')", 1)} AS x, {_HEX("concat(id, '-42')", 8)} AS y FROM k, f), "
+    "g AS (SELECT draw, " + ", ".join(f"{_HEX(f"concat('{n}-', draw, '-42')", 1)} + 1 AS {n}" for n in "abc") + " FROM generate_series(1, 100) t(draw)), "
+    "tk AS (SELECT z.*, draw, (x * a % 2147483647 + y * b % 2147483647 + c) % 2147483647 AS ticket FROM z, g), "
+    "rk AS (SELECT *, row_number() OVER (PARTITION BY draw ORDER BY ticket, id) <= (SELECT count(*) FROM z WHERE ref) AS hit FROM tk "
+    "UNION ALL SELECT *, 0, 0, ref FROM z), "
+    "st AS (SELECT draw, count(*) FILTER (hit) AS n_reference, count(*) FILTER (NOT hit) AS n_other, sqrt(" + " + ".join(
+        f"(avg(z_{c}) FILTER (hit) - avg(z_{c}) FILTER (NOT hit)) ** 2" for c in DRIFT) + ") AS stat FROM rk GROUP BY draw) ")
+
+
+@register("permutation_drift", with_tape(_DRAWS +
     "SELECT round(o, 6) AS drift_score, round(p, 4) AS p_value, CASE WHEN p < 0.05 THEN 'significant drift' "
     "ELSE 'no significant drift' END AS interpretation FROM (SELECT any_value(o) AS o, avg(CASE WHEN stat >= o THEN 1 ELSE 0 END) "
     "AS p FROM st, (SELECT stat AS o FROM st WHERE draw = 0) WHERE draw > 0)"))
@@ -123,6 +123,13 @@ def permutation_drift(spark, folder):
     return rounded(drift.permutation_drift(loans(spark, folder), DRIFT), drift_score=6, p_value=4)
 
 
+@register("permutation_draws", with_tape(_DRAWS + "SELECT draw, n_reference, n_other, round(stat, 9) AS stat FROM st"))
+def permutation_draws(spark, folder):
+    """Sizes and distance of every relabelling: each has as many reference rows as there really are."""
+    out = rounded(drift.permutation_draws(loans(spark, folder), DRIFT), stat=9)
+    return out.withColumn("draw", F.col("draw").cast("long"))
+
+
 @register("ks_by_feature", with_tape(VALUES +
     ", c AS (SELECT feature, value, count(*) FILTER (split = 'train') AS r, count(*) FILTER (split = 'test') AS o FROM v "
     "WHERE split IN ('train', 'test') GROUP BY 1, 2), s AS (SELECT feature, sum(r) OVER w AS r, sum(o) OVER w AS o, "

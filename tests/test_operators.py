@@ -261,3 +261,25 @@ def test_lineage_counts_rows_and_columns(spark):
     held = [c for c in made.features.columns if c not in ("id", "default_flag", "issue_year")]
     gaps = made.features.agg(*[F.count(F.when(F.col(c).isNull(), 1)).alias(c) for c in held]).collect()[0]
     assert sum(gaps) == 0
+
+
+def test_permutations_keep_sizes_and_pick_the_smallest_tickets(spark, monkeypatch):
+    rows = spark.range(3000).select("id", F.when(F.col("id") % 7 < 3, "train").otherwise("test").alias("split"),
+                                    (F.col("id") * 37 % 101).cast("double").alias("x"), F.when(F.col("id") % 50 != 0, F.col("id") % 13).alias("y"))
+    held = rows.where("y IS NOT NULL")
+    size = held.where("split = 'train'").count()
+    exact = {}
+    for r in drift.tickets(held.select("id"), "id", 6, 9).collect():
+        exact.setdefault(r["draw"], []).append((r["ticket"], r["id"]))
+    want = {d: sorted(v)[size - 1] for d, v in exact.items()}
+    for limit in (2_000, 1):  # one histogram level, then all of them
+        monkeypatch.setattr(drift, "BOUNDARY_ROWS", limit)
+        assert drift.ticket_cuts(drift.tickets(held.select("id"), "id", 6, 9), "id", 6, size) == want
+    draws = drift.permutation_draws(rows, ["x", "y"], permutations=6, seed=9).collect()
+    assert {r["n_reference"] for r in draws} == {size} and len({r["stat"] for r in draws}) == 7
+    # Two draws share about as many rows as independent ones would.
+    one, two = ({i for t, i in exact[d] if (t, i) <= want[d]} for d in (1, 2))
+    share = size / held.count()
+    assert abs(len(one & two) / held.count() - share * share) < 0.03
+    same = rows.withColumn("x", F.lit(1.0)).withColumn("y", F.lit(2.0))
+    assert drift.permutation_drift(same, ["x", "y"], permutations=5).collect()[0]["p_value"] == 1.0

@@ -6,6 +6,7 @@ size depends on the number of columns only.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -124,11 +125,64 @@ def monotone_cuts(df: DataFrame, features: list[str], label: str, prebins: int =
     One job counts the fine bins of all features. The merging then runs on at most `prebins` counts per feature:
     small bins first join a neighbour, then neighbours that break the trend are pooled.
     """
+    cuts, table = _fine_bins(df, features, label, prebins)
+    return {name: _merge_bins(rows, cuts[name], min_share) for name, rows in table.items()}
+
+
+def _fine_bins(df: DataFrame, features: list[str], label: str, prebins: int) -> tuple[dict, dict]:
     cuts = quantile_cuts(df, features, prebins)
     table: dict[str, list[tuple[int, int, int]]] = {name: [] for name in cuts}
     for r in binned_events(df, label, cuts).orderBy("feature", "bin").collect():
         table[r["feature"]].append((r["bin"], r["n"], r["events"]))
-    return {name: _merge_bins(rows, cuts[name], min_share) for name, rows in table.items()}
+    return cuts, table
+
+
+def optimal_cuts(df: DataFrame, features: list[str], label: str, prebins: int = 50,
+                 min_share: float = 0.05) -> dict[str, list[float]]:
+    """Cut points with the greatest information value among those whose event rate strictly rises or falls.
+
+    Every bin holds at least `min_share` of the values, events and non-events. Spark counts the fine quantile bins of all
+    features in one job; `best_bins` then runs on at most `prebins` counts a feature. A feature for which no two bins meet
+    the terms gets no cut.
+    """
+    cuts, table = _fine_bins(df, features, label, prebins)
+    return {name: [cuts[name][rows[last][0]] for last in best_bins([r[1:] for r in rows], min_share)[:-1]] for name, rows in table.items()}
+
+
+def best_bins(counts: list[tuple[int, int]], min_share: float) -> list[int]:
+    """Last fine bin of every bin of the best monotone grouping of (rows, events), by dynamic programming.
+
+    A state is the fine bins i..j of the last bin; it extends the best state that ends at i - 1 with a lower (or higher)
+    rate. Among equal values the grouping with fewer bins wins.
+    """
+    m = len(counts)
+    rows = [0, *np.cumsum([n for n, _ in counts]).tolist()]
+    events = [0, *np.cumsum([e for _, e in counts]).tolist()]
+    total, bad = rows[-1], events[-1]
+    if not 0 < bad < total:
+        return [m - 1] if m else []
+    value, rate = {}, {}
+    for i in range(m):
+        for j in range(i, m):
+            n, e = rows[j + 1] - rows[i], events[j + 1] - events[i]
+            if n >= min_share * total and 0 < e < n:
+                rest, event = (n - e) / (total - bad), e / bad
+                value[i, j], rate[i, j] = (rest - event) * math.log(rest / event), (e, n)
+    found = [(0.0, -1, [m - 1])]
+    for sign in (1, -1):
+        best: dict[tuple[int, int], tuple[float, int, list[int]]] = {}
+        for (i, j), own in sorted(value.items(), key=lambda s: s[0][1]):
+            if i == 0:
+                best[i, j] = (own, -1, [j])
+                continue
+            e, n = rate[i, j]
+            before = [best[k, i - 1] for k in range(i) if (k, i - 1) in best
+                      and sign * rate[k, i - 1][0] * n < sign * e * rate[k, i - 1][1]]
+            if before:
+                held = max(before, key=lambda b: b[:2])
+                best[i, j] = (held[0] + own, held[1] - 1, [*held[2], j])
+        found += [b for (_, j), b in best.items() if j == m - 1]
+    return max(found, key=lambda b: b[:2])[2]
 
 
 def _merge_bins(rows: list[tuple[int, int, int]], cuts: list[float], min_share: float) -> list[float]:
@@ -286,7 +340,7 @@ def select_features(df: DataFrame, features: list[str], label: str, threshold: f
     """
     spark = df.sparkSession
     df = pin(feature_matrix(df, features, [label]))
-    cuts = monotone_cuts(df, features, label)
+    cuts = optimal_cuts(df, features, label)
     values = information_values(binned_events(df, label, cuts))
     iv = {r["feature"]: r["iv"] for r in values.collect()}
     log = [(f, "iv_filter", f"IV={iv.get(f, 0.0):.6f} < threshold={threshold}")

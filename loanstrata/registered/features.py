@@ -84,12 +84,48 @@ def woe_monotone(spark, folder):
     return features.woe_rows(features.binned_events(loans, "default_flag", cuts))
 
 
-@register("woe_transform")
+def _optimal(source: str) -> str:
+    """The best monotone grouping of ten quantile bins, found by trying every way to join neighbours."""
+    probs = ", ".join(str(i / 10) for i in range(11))
+    return (", v AS (" + unpivot(WOE_FEATURES, "default_flag AS y", source) + "), e AS (SELECT feature, "
+            f"quantile_cont(value, [{probs}]) AS q FROM v GROUP BY 1), c AS (SELECT feature, list_sort(list_distinct("
+            "list_filter(q[2:10], lambda x: x > q[1] AND x < q[11]))) AS cuts FROM e), fine AS (SELECT feature, "
+            "CAST(len(list_filter(cuts, lambda x: value > x)) AS INTEGER) AS b, count(*) AS n, sum(y)::BIGINT AS e "
+            "FROM v JOIN c USING (feature) GROUP BY 1, 2), ix AS (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY b) - 1 AS i, "
+            "count(*) OVER (PARTITION BY feature) AS m, sum(n) OVER (PARTITION BY feature) AS tn, sum(e) OVER (PARTITION BY feature) AS te FROM fine), "
+            "ways AS (SELECT feature, mask, bit_count((mask & ((1 << i::INTEGER) - 1))::INTEGER) AS g, max(b) AS last, sum(n) AS n, sum(e) AS e, "
+            "any_value(tn) AS tn, any_value(te) AS te FROM ix, generate_series(0, 511) t(mask) WHERE mask < (1 << (m - 1)::INTEGER) GROUP BY ALL), "
+            "runs AS (SELECT *, ((n - e) / (tn - te) - e / te) * ln(((n - e) / (tn - te)) / (e / te)) AS iv, "
+            "e / n - lag(e / n) OVER (PARTITION BY feature, mask ORDER BY g) AS up FROM ways), "
+            "fit AS (SELECT feature, mask, sum(iv) AS iv, count(*) AS k, list(last ORDER BY g) AS lasts FROM runs GROUP BY feature, mask, tn "
+            "HAVING k = 1 OR (min(n) >= 0.05 * tn AND min(e) > 0 AND min(n - e) > 0 AND (count(*) FILTER (up > 0) = k - 1 OR count(*) FILTER (up < 0) = k - 1))), "
+            "pick AS (SELECT feature, list_transform(lasts[:-2], lambda b: cuts[b + 1]) AS best FROM fit JOIN c USING (feature) "
+            "QUALIFY row_number() OVER (PARTITION BY feature ORDER BY iv DESC, k) = 1), "
+            "all_v AS (" + unpivot(WOE_FEATURES, "id, default_flag AS y", "resolved") + "), placed AS (SELECT id, feature, y, "
+            "CAST(len(list_filter(best, lambda x: value > x)) AS INTEGER) AS bin FROM all_v JOIN pick USING (feature)), "
+            "counts AS (SELECT feature, bin, count(*) AS n, sum(y) AS events FROM placed GROUP BY 1, 2), s AS (SELECT *, "
+            "events / sum(events) OVER w AS ev, (n - events) / sum(n - events) OVER w AS ne, n / sum(n) OVER w AS count_pct FROM counts "
+            "WINDOW w AS (PARTITION BY feature)), f AS (SELECT *, CASE WHEN ev > 0 THEN ev ELSE 0.0001 END AS fe, "
+            "CASE WHEN ne > 0 THEN ne ELSE 0.0001 END AS fn FROM s), woe AS (SELECT feature, bin, n, count_pct, "
+            "events / n AS event_rate, ln(fn / fe) AS woe, (fn - fe) * ln(fn / fe) AS iv FROM f) ")
+
+
+@register("woe_optimal", with_tape(_optimal("resolved") +
+    "SELECT feature, bin, n, round(count_pct, 6) AS count_pct, round(event_rate, 6) AS event_rate, round(woe, 6) AS woe, round(iv, 7) AS iv FROM woe"))
+def woe_optimal(spark, folder):
+    loans = pin(resolved_loans(spark, folder, WOE_FEATURES))
+    cuts = features.optimal_cuts(loans, WOE_FEATURES, "default_flag", 10)
+    return rounded(features.woe_rows(features.binned_events(loans, "default_flag", cuts)), count_pct=6, event_rate=6, woe=6, iv=7)
+
+
+@register("woe_transform", with_tape(_optimal("(SELECT * FROM resolved WHERE split = 'train')") +
+    "SELECT id, " + ", ".join(f"round(max(woe) FILTER (feature = '{c}'), 6) AS {c}_woe" for c in WOE_FEATURES)
+    + " FROM resolved LEFT JOIN placed USING (id) LEFT JOIN woe USING (feature, bin) GROUP BY id"))
 def woe_transform(spark, folder):
     loans = pin(resolved_loans(spark, folder, WOE_FEATURES))
-    cuts = features.monotone_cuts(loans.where("split = 'train'"), WOE_FEATURES, "default_flag")
+    cuts = features.optimal_cuts(loans.where("split = 'train'"), WOE_FEATURES, "default_flag", 10)
     out = features.woe_transform(loans, "default_flag", cuts)
-    return out.select("id", *[f"{c}_woe" for c in WOE_FEATURES])
+    return rounded(out.select("id", *[f"{c}_woe" for c in WOE_FEATURES]), **{f"{c}_woe": 6 for c in WOE_FEATURES})
 
 
 PAIRS = [(a, b) for i, a in enumerate(NUMERIC_COLUMNS) for b in NUMERIC_COLUMNS[i + 1:]]

@@ -245,6 +245,52 @@ def test_monotone_bins_are_monotone(sample):
     assert len(cuts["int_rate"]) >= 2
 
 
+def best_grouping(counts, min_share):
+    """The greatest information value over all ways to join neighbours."""
+    total, bad = (sum(c[i] for c in counts) for i in (0, 1))
+    best = (0.0, [len(counts) - 1])
+    for mask in range(1, 1 << (len(counts) - 1)):
+        ends = [i for i in range(len(counts) - 1) if mask >> i & 1] + [len(counts) - 1]
+        groups = [[sum(c[i] for c in counts[a + 1:b + 1]) for i in (0, 1)] for a, b in zip([-1, *ends], ends)]
+        rates = [e / n for n, e in groups]
+        steps = {np.sign(b - a) for a, b in zip(rates, rates[1:])}
+        if steps in ({1}, {-1}) and all(n >= min_share * total and 0 < e < n for n, e in groups):
+            value = sum(((n - e) / (total - bad) - e / bad) * np.log((n - e) / (total - bad) / (e / bad)) for n, e in groups)
+            best = max(best, (value, ends), key=lambda b: b[0])
+    return best
+
+
+def test_best_bins_match_a_search_over_all_groupings():
+    rng = np.random.default_rng(11)
+    for trial in range(60):
+        n = rng.integers(0 if trial % 5 else 5, 40, 8)
+        counts = [(int(a), int(rng.binomial(a, min(0.9, max(0.03, 0.3 + 0.04 * k * (trial % 3 - 1)))))) for k, a in enumerate(n)]
+        for share in (0.05, 0.15):
+            want, got = best_grouping(counts, share), features.best_bins(counts, share)
+            total, bad = (sum(c[i] for c in counts) for i in (0, 1))
+            value = 0.0
+            for a, b in zip([-1, *got], got):
+                m, e = (sum(c[i] for c in counts[a + 1:b + 1]) for i in (0, 1))
+                if len(got) > 1:
+                    value += ((m - e) / (total - bad) - e / bad) * np.log((m - e) / (total - bad) / (e / bad))
+            assert got[-1] == 7 and value == pytest.approx(want[0], abs=1e-12), (counts, got, want)
+    assert features.best_bins([], 0.05) == [] and features.best_bins([(5, 0), (4, 0)], 0.05) == [1]
+
+
+def test_optimal_bins_are_monotone_and_never_below_the_greedy_ones(sample):
+    df, _ = sample
+    names = ["int_rate", "dti", "noise"]
+    value = lambda cuts: {r["feature"]: r["iv"] for r in features.information_values(features.binned_events(df, "default_flag", cuts)).collect()}
+    best, greedy = features.optimal_cuts(df, names, "default_flag", 20), features.monotone_cuts(df, names, "default_flag", 20)
+    high, low = value(best), value(greedy)
+    assert all(high[n] >= low[n] - 1e-12 for n in names) and any(high[n] > low[n] + 1e-6 for n in names)
+    rows = features.woe_rows(features.binned_events(df, "default_flag", best)).orderBy("feature", "bin").collect()
+    for name in names:
+        rates = [r["event_rate"] for r in rows if r["feature"] == name]
+        assert rates in (sorted(set(rates)), sorted(set(rates), reverse=True))
+        assert min(r["count_pct"] for r in rows if r["feature"] == name) >= 0.05
+
+
 def test_vif_matches_regressions(sample):
     df, pdf = sample
     cols = ["int_rate", "dti", "noise"]

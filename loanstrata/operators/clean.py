@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.ml.feature import OneHotEncoder
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -199,9 +200,10 @@ def encode_grade(df: DataFrame, column: str = "grade") -> DataFrame:
     return df.withColumn(f"{column}_ord", F.when(F.length(column) == 1, F.nullif(position, F.lit(0))).cast("double"))
 
 
-def encode_rank(df: DataFrame, column: str = "sub_grade") -> DataFrame:
+def encode_rank(df: DataFrame, column: str = "sub_grade", fit_on: DataFrame | None = None) -> DataFrame:
     """Value to its rank among the sorted distinct values, from 1."""
-    levels = df.where(F.col(column).isNotNull()).select(column).distinct()
+    source = df if fit_on is None else fit_on
+    levels = source.where(F.col(column).isNotNull()).select(column).distinct()
     ranked = rank_values(levels, column).select(column, F.col("rank").cast("double").alias(f"{column}_ord"))
     return join_lookup(df, ranked, [column])
 
@@ -230,14 +232,50 @@ def category_levels(df: DataFrame, column: str, limit: int | None = None) -> lis
     return sorted(r[0] for r in held.collect())
 
 
-def encode_one_hot(df: DataFrame, columns: list[str] | None = None, fit_on: DataFrame | None = None) -> DataFrame:
-    """0/1 columns `<column>_<level>` for all levels but the first, replacing the source columns."""
+# Levels beyond which a column becomes a sparse vector instead of a column per level.
+FLAG_LEVELS = 256
+
+
+def encode_one_hot(df: DataFrame, columns: list[str] | None = None, fit_on: DataFrame | None = None,
+                   flag_levels: int = FLAG_LEVELS) -> DataFrame:
+    """0/1 columns `<column>_<level>` for all levels but the first, replacing the source columns.
+
+    A column with more than `flag_levels` levels is replaced by the sparse vector `<column>_vec` of `encode_sparse`.
+    """
     columns = [c for c in (columns or ONE_HOT_COLUMNS) if c in df.columns]
-    flags = {}
+    source = df if fit_on is None else fit_on
+    flags, wide = {}, []
     for c in columns:
-        for level in category_levels(df if fit_on is None else fit_on, c)[1:]:
+        held = small_table(source.where(F.col(c).isNotNull()).select(F.col(c).cast("string").alias("level")).distinct(), flag_levels)
+        if held is None:
+            wide.append(c)
+            continue
+        for level in sorted(r["level"] for r in held.collect())[1:]:
             flags[f"{c}_{level}"] = F.coalesce((F.col(c) == level).cast("int"), F.lit(0))
-    return df.withColumns(flags).drop(*columns) if flags else df.drop(*columns)
+    out = df.withColumns(flags) if flags else df
+    for c in wide:
+        out = encode_sparse(out, c, fit_on)
+    return out.drop(*columns)
+
+
+def encode_sparse(df: DataFrame, column: str, fit_on: DataFrame | None = None) -> DataFrame:
+    """Adds `<column>_vec`: a sparse vector with a 1 at the level's place among the sorted levels.
+
+    Places are distributed ranks joined by value, so no level reaches the driver. Null, and a level that the fitted rows
+    do not hold, give the zero vector.
+    """
+    source = df if fit_on is None else fit_on
+    levels = source.where(F.col(column).isNotNull()).select(F.col(column).cast("string").alias("_level")).distinct()
+    ranked = pin(rank_values(levels, "_level").withColumnRenamed("rank", "_rank"))
+    size = ranked.agg(F.coalesce(F.max("_rank"), F.lit(0)).alias("n")).collect()[0]["n"]
+    if not size:
+        raise ValueError(f"{column} has no levels")
+    # One place more than there are levels; the encoder leaves the last place out, which is the zero vector.
+    marked = {"ml_attr": {"type": "nominal", "num_vals": size + 1}}
+    placed = df.join(ranked, F.col(column).cast("string") == F.col("_level"), "left").withColumn(
+        "_place", F.coalesce(F.col("_rank") - 1, F.lit(size)).cast("double")).withMetadata("_place", marked).drop("_level", "_rank")
+    coder = OneHotEncoder(inputCol="_place", outputCol=f"{column}_vec", dropLast=True)
+    return coder.fit(placed.limit(0)).transform(placed).drop("_place")
 
 
 def drop_texts(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
@@ -254,48 +292,83 @@ def numeric_only(df: DataFrame, keep: list[str], fit_on: DataFrame | None = None
     return fill_numeric(tidy(df), columns, None if fit_on is None else tidy(fit_on))
 
 
+LINEAGE_SCHEMA = ("step int, action string, rows_before long, rows long, columns_before int, columns int, nulls_before long, nulls_after long, "
+                  "values_clipped long, columns_dropped array<string>, columns_changed array<string>")
+LINEAGE_COLUMN_SCHEMA = "step int, action string, column string, nulls_before long, nulls_after long, lower double, upper double, clipped long"
+
+
 @dataclass
 class Cleaned:
+    """What cleaning leaves, what it set aside, a row per step, and a row per column that was imputed or capped."""
     features: DataFrame
     targets: DataFrame
     leakage: DataFrame
     lineage: DataFrame
+    lineage_columns: DataFrame
+
+
+def _nulls(columns: list[str]) -> list[Column]:
+    return [F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in columns]
 
 
 def clean_tape(tape: DataFrame, key: str = "id", fit_scope: str = "all", train_last_year: int = 2015) -> Cleaned:
-    """All six steps. `fit_scope='train'` learns medians, bounds and rates from the training vintages only."""
+    """All six steps. `fit_scope='train'` learns medians, bounds and rates from the training vintages only.
+
+    Rows, nulls and clipped values of the lineage are gathered by the three writes themselves: of the resolved loans, of
+    the imputed columns and of the result.
+    """
+    spark = tape.sparkSession
+    rows = F.count(F.lit(1)).alias("rows")
+    initial, resolved, before, after, clips = (Observation() for _ in range(5))
     # The joins behind the tape run once; every fit and every output below reads this table.
-    held = pin(with_default_flag(resolved_only(tape)))
+    held = pin(with_default_flag(resolved_only(tape.observe(initial, rows))).observe(resolved, rows))
     dated = with_targets(held).withColumn("issue_d", issue_date(F.col("issue_d"))).withColumn("issue_year", F.year("issue_d"))
     target_columns = [key, "default_flag", "issue_year", "issue_d", "lgd", "ead", "ccf"]
     base, leakage = split_leakage(held, key)
-    rows = held.count()
-    steps = [("initial", tape.count(), len(tape.columns)), ("resolved_only", rows, len(tape.columns)),
-             ("drop_leakage", rows, len(base.columns) - 1)]
     typed = coerce_types(base.drop("loan_status", *[c for c in UNUSED_COLUMNS if c != key]))
     held_back = [key, "default_flag", "issue_year"]
     typed = typed.withColumn("issue_year", F.year("issue_d")).drop(*[
         f.name for f in typed.schema.fields if isinstance(f.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType))])
-    steps.append(("coerce_types", rows, len(typed.columns)))
-    train = typed.where(F.col("issue_year") <= train_last_year) if fit_scope == "train" else None
+    train = typed.where(F.col("issue_year") <= train_last_year) if fit_scope == "train" else typed
     numeric = [c for c in numeric_columns(typed) if c not in held_back]
     texts = string_columns(typed)
-    filled = (fill_numeric_by_group(typed, numeric, "grade", train) if "grade" in texts
-              else fill_numeric(typed, numeric, train))
+    seen = typed.observe(before, rows, *_nulls([*numeric, *texts]))
+    filled = (fill_numeric_by_group(seen, numeric, "grade", train) if "grade" in texts else fill_numeric(seen, numeric, train))
     filled = fill_categories(filled, texts, train)
-    fit = filled if train is None else filled.where(F.col("issue_year") <= train_last_year)
-    rule = CapRule(fixed=CREDIT_BOUNDS)
-    capped = apply_caps(filled, fit_caps(fit, [c for c in CAPPED_COLUMNS if c in numeric], rule))
-    coded = encode_grade(capped) if "grade" in texts else capped
-    coded = encode_rank(coded) if "sub_grade" in texts else coded
+    imputed = pin(filled.observe(after, rows, *_nulls([*numeric, *texts])))
+    fit = imputed if fit_scope != "train" else imputed.where(F.col("issue_year") <= train_last_year)
+    bounds = fit_caps(fit, [c for c in CAPPED_COLUMNS if c in numeric], CapRule(fixed=CREDIT_BOUNDS))
+    outside = [F.count_if((F.col(c) < lo) | (F.col(c) > hi)).alias(f"clip_{c}") for c, (lo, hi) in bounds.items()]
+    coded = apply_caps(imputed.observe(clips, rows, *outside), bounds)
+    coded = encode_grade(coded) if "grade" in texts else coded
+    coded = encode_rank(coded, fit_on=imputed) if "sub_grade" in texts else coded
     if "purpose" in texts:
-        coded = encode_target_rate(coded, "purpose", "default_flag",
-                                   None if train is None else coded.where(F.col("issue_year") <= train_last_year))
-    coded = drop_texts(encode_one_hot(coded))
-    steps.append(("encode", rows, len(coded.columns)))
-    lineage = tape.sparkSession.createDataFrame(
-        [(i, *step) for i, step in enumerate(steps)], "step int, action string, rows long, columns int")
-    return Cleaned(coded, dated.select(*[c for c in target_columns if c in dated.columns]), leakage, lineage)
+        coded = encode_target_rate(coded, "purpose", "default_flag", fit)
+    coded = drop_texts(encode_one_hot(coded, fit_on=imputed))
+    features = pin(coded)
+
+    first, n, gaps, rest, cut = (o.get for o in (initial, resolved, before, after, clips))
+    columns = [*numeric, *texts]
+    total = lambda found: sum(found[f"null_{c}"] for c in columns)
+    filled_in = [c for c in columns if gaps[f"null_{c}"] > rest[f"null_{c}"]]
+    clipped = [c for c in bounds if cut[f"clip_{c}"]]
+    gone = lambda old, new: sorted(set(old) - set(new))
+    width = len(tape.columns)
+    steps = [
+        (0, "initial", first["rows"], first["rows"], width, width, None, None, None, [], []),
+        (1, "resolved_only", first["rows"], n["rows"], width, width, None, None, None, [], []),
+        (2, "drop_leakage", n["rows"], n["rows"], width, len(base.columns) - 1, None, None, None, gone(held.columns, base.columns), []),
+        (3, "coerce_types", n["rows"], gaps["rows"], len(base.columns) - 1, len(typed.columns), None, total(gaps), None,
+         gone(base.columns, typed.columns), sorted(f.name for f in typed.schema.fields if f.name in base.columns and f.dataType != base.schema[f.name].dataType)),
+        (4, "impute", gaps["rows"], rest["rows"], len(typed.columns), len(imputed.columns), total(gaps), total(rest), None, [], sorted(filled_in)),
+        (5, "cap", rest["rows"], cut["rows"], len(imputed.columns), len(imputed.columns), total(rest), total(rest),
+         sum(cut[f"clip_{c}"] for c in bounds), [], sorted(clipped)),
+        (6, "encode", cut["rows"], cut["rows"], len(imputed.columns), len(features.columns), None, None, None,
+         gone(imputed.columns, features.columns), sorted(set(features.columns) - set(imputed.columns)))]
+    details = [(4, "impute", c, gaps[f"null_{c}"], rest[f"null_{c}"], None, None, None) for c in columns if gaps[f"null_{c}"]]
+    details += [(5, "cap", c, None, None, float(lo), float(hi), cut[f"clip_{c}"]) for c, (lo, hi) in bounds.items()]
+    return Cleaned(features, dated.select(*[c for c in target_columns if c in dated.columns]), leakage,
+                   spark.createDataFrame(steps, LINEAGE_SCHEMA), spark.createDataFrame(details, LINEAGE_COLUMN_SCHEMA))
 
 
 def clean_summary(tape: DataFrame, cleaned: Cleaned) -> DataFrame:

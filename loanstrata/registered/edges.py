@@ -133,11 +133,52 @@ def registry_model(spark, folder):
     return registry.get_model(registry.registry_state(registrations(spark, folder)), "m5").select("model_id", "model_type", "champion")
 
 
-@register("cleaning_steps", with_tape(
-    "SELECT 0 AS step, 'initial' AS action, count(*) AS row_count FROM tape UNION ALL SELECT 1, 'resolved_only', count(*) FROM resolved "
-    "UNION ALL SELECT 2, 'drop_leakage', count(*) FROM resolved UNION ALL SELECT 3, 'coerce_types', count(*) FROM resolved "
-    "UNION ALL SELECT 4, 'encode', count(*) FROM resolved"))
+_KEPT = ["loan_amnt", "funded_amnt", "int_rate", "term", "emp_length", "grade", "sub_grade", "annual_inc", "dti", "purpose", "home_ownership",
+         "installment", "revol_bal", "tot_cur_bal", "total_rev_hi_lim", "open_acc", "total_acc"]
+_FIXED = {"funded_amnt": (1000, 40000), "annual_inc": (10000, 200000), "dti": (0, 50)}
+_CLIPPED = ["annual_inc", "revol_bal", "loan_amnt", "funded_amnt", "dti", "open_acc"]
+_LINEAGE = (
+    ", gaps AS (SELECT count(*) AS n, " + " + ".join(f"count(*) FILTER ({c} IS NULL)" for c in _KEPT) + " AS nulls FROM resolved), "
+    "med AS (SELECT grade, " + ", ".join(f"quantile_cont({c}, 0.5) AS m_{c}" for c in _CLIPPED) + " FROM resolved GROUP BY grade), "
+    "imp AS (SELECT " + ", ".join(f"coalesce({c}, m_{c}) AS {c}" for c in _CLIPPED) + " FROM resolved JOIN med USING (grade)), "
+    "lim AS (SELECT " + ", ".join(
+        f"{_FIXED[c][0]}::DOUBLE AS lo_{c}, {_FIXED[c][1]}::DOUBLE AS hi_{c}" if c in _FIXED else
+        f"quantile_cont({c}, 0.01) AS lo_{c}, quantile_cont({c}, 0.99) AS hi_{c}" for c in _CLIPPED) + " FROM imp), "
+    "cut AS (SELECT " + ", ".join(f"count(*) FILTER ({c} < lo_{c} OR {c} > hi_{c}) AS c_{c}, any_value(lo_{c}) AS lo_{c}, any_value(hi_{c}) AS hi_{c}"
+                                  for c in _CLIPPED) + " FROM imp, lim) ")
+
+
+@register("cleaning_steps", with_tape(_LINEAGE +
+    "SELECT 0 AS step, 'initial' AS action, count(*) AS rows_before, count(*) AS row_count, NULL::BIGINT AS nulls_before, NULL::BIGINT AS nulls_after, "
+    "NULL::BIGINT AS values_clipped, 0 AS dropped FROM tape UNION ALL SELECT 1, 'resolved_only', (SELECT count(*) FROM tape), n, NULL, NULL, NULL, 0 FROM gaps "
+    "UNION ALL SELECT 2, 'drop_leakage', n, n, NULL, NULL, NULL, 3 FROM gaps "
+    "UNION ALL SELECT 3, 'coerce_types', n, n, NULL, nulls, NULL, 3 FROM gaps UNION ALL SELECT 4, 'impute', n, n, nulls, 0, NULL, 0 FROM gaps "
+    "UNION ALL SELECT 5, 'cap', n, n, 0, 0, " + " + ".join(f"c_{c}" for c in _CLIPPED) + ", 0 FROM gaps, cut "
+    "UNION ALL SELECT 6, 'encode', n, n, NULL, NULL, NULL, 4 FROM gaps"))
 def cleaning_steps(spark, folder):
-    """Rows that each step of the cleaning run reports."""
+    """What each step of the cleaning run reports of itself."""
     cleaned = clean.clean_tape(loan_tape(spark, folder), train_last_year=1998)
-    return cleaned.lineage.select("step", "action", F.col("rows").alias("row_count"))
+    return cleaned.lineage.select("step", "action", "rows_before", F.col("rows").alias("row_count"), "nulls_before", "nulls_after", "values_clipped",
+                                  F.size("columns_dropped").alias("dropped"))
+
+
+@register("cleaning_columns", with_tape(_LINEAGE + " UNION ALL ".join(
+    [f"SELECT 'impute' AS action, '{c}' AS \"column\", count(*) FILTER ({c} IS NULL) AS nulls_before, 0 AS nulls_after, NULL::DOUBLE AS lower, "
+     f"NULL::DOUBLE AS upper, NULL::BIGINT AS clipped FROM resolved HAVING nulls_before > 0" for c in _KEPT]
+    + [f"SELECT 'cap', '{c}', NULL, NULL, round(lo_{c}, 4), round(hi_{c}, 4), c_{c} FROM cut" for c in _CLIPPED])))
+def cleaning_columns(spark, folder):
+    """Nulls before and after imputation, and bounds and clipped values of capping, per column."""
+    cleaned = clean.clean_tape(loan_tape(spark, folder), train_last_year=1998)
+    return rounded(cleaned.lineage_columns.drop("step"), lower=4, upper=4)
+
+
+@register("encode_sparse", with_tape(
+    ", w AS (SELECT id, CASE WHEN id % 17 <> 0 THEN concat('L', id % 11000) END AS level FROM tape), "
+    "r AS (SELECT level, row_number() OVER (ORDER BY level) - 1 AS place, count(*) OVER () AS n FROM (SELECT DISTINCT level FROM w WHERE level IS NOT NULL)) "
+    "SELECT id, CASE WHEN place IS NULL THEN concat('(', (SELECT any_value(n) FROM r), ',[],[])') ELSE concat('(', n, ',[', place, '],[1.0])') END AS vector "
+    "FROM w LEFT JOIN r USING (level)"))
+def encode_sparse(spark, folder):
+    """A column of thousands of levels as sparse vectors; every seventeenth value is null."""
+    wide = loan_tape(spark, folder, ["id"]).withColumn(
+        "level", F.when(F.col("id") % 17 != 0, F.concat(F.lit("L"), (F.col("id") % 11000).cast("string"))))
+    return clean.encode_sparse(wide, "level").select("id", F.col("level_vec").cast("string").alias("vector"))

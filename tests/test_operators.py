@@ -261,6 +261,37 @@ def test_lineage_counts_rows_and_columns(spark):
     held = [c for c in made.features.columns if c not in ("id", "default_flag", "issue_year")]
     gaps = made.features.agg(*[F.count(F.when(F.col(c).isNull(), 1)).alias(c) for c in held]).collect()[0]
     assert sum(gaps) == 0
+    parts = {(r["action"], r["column"]): r for r in made.lineage_columns.collect()}
+    assert rows["impute"]["nulls_before"] == sum(r["nulls_before"] for (a, _), r in parts.items() if a == "impute") > 0
+    assert rows["impute"]["nulls_after"] == 0 and "annual_inc" in rows["impute"]["columns_changed"]
+    assert rows["cap"]["values_clipped"] == sum(r["clipped"] for (a, _), r in parts.items() if a == "cap") > 0
+    assert parts["cap", "dti"]["lower"] == 0.0 and parts["cap", "dti"]["upper"] == 50.0
+
+
+def test_lineage_runs_no_job_of_its_own(spark, monkeypatch):
+    from conftest import SMALL
+    from loanstrata.plans.tape import loan_tape
+    counted = []
+    monkeypatch.setattr(type(spark.range(0)), "count", lambda self: counted.append(1) or 0)
+    clean.clean_tape(loan_tape(spark, SMALL, ["id", "loan_status", "issue_d", "grade", "loan_amnt", "dti", "annual_inc", "funded_amnt",
+                                              "out_prncp", "recoveries", "collection_recovery_fee"]))
+    # Exact quantiles count their rows once each; the lineage itself asks for none.
+    assert len(counted) <= 3
+
+
+def test_wide_categories_become_sparse_vectors(spark):
+    rows = [(i, f"v{i % 300:03d}" if i % 10 else None) for i in range(1000)]
+    df = spark.createDataFrame(rows, "id long, level string").withColumn("rank", F.lit(1.0))
+    levels = sorted({v for _, v in rows if v})
+    wide = clean.encode_one_hot(df, ["level"])
+    assert wide.columns == ["id", "rank", "level_vec"]
+    for r in wide.collect():
+        level = rows[r["id"]][1]
+        assert r["level_vec"].size == len(levels)
+        assert r["level_vec"].indices.tolist() == ([levels.index(level)] if level else [])
+    unseen = clean.encode_sparse(df, "level", fit_on=df.where("level < 'v010'")).where("level >= 'v010'").first()
+    assert unseen["level_vec"].size == len([v for v in levels if v < "v010"]) and not len(unseen["level_vec"].indices)
+    assert len(clean.encode_one_hot(df, ["level"], flag_levels=300).columns) == 2 + len(levels) - 1
 
 
 def test_permutations_keep_sizes_and_pick_the_smallest_tickets(spark, monkeypatch):

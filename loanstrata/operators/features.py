@@ -262,15 +262,6 @@ def correlation_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
     return sums.select(name("i").alias("feature_1"), name("j").alias("feature_2"), F.when(usable, r).alias("r"))
 
 
-def _pearson(df: DataFrame, columns: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Correlation matrix, means and population deviations of the complete rows."""
-    complete = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).na.drop()
-    vectors = VectorAssembler(inputCols=columns, outputCol="v", handleInvalid="skip").transform(complete).select("v")
-    matrix = Correlation.corr(vectors, "v").head()[0].toArray()
-    stats = moments(complete, columns)
-    return matrix, np.array([stats[c]["mean"] for c in columns]), np.array([stats[c]["std_pop"] for c in columns])
-
-
 def flagged_pairs(pairs: DataFrame, threshold: float = 0.85) -> DataFrame:
     return pairs.where((F.abs("r") > threshold) & ~F.isnan("r")).orderBy(F.desc(F.abs("r")), "feature_1", "feature_2")
 
@@ -307,20 +298,44 @@ class Gram:
                 for c, v in zip(columns, values)}
 
 
-def gram(df: DataFrame, columns: list[str]) -> Gram:
-    """One distributed covariance pass; constant columns are left out, and fewer than two columns give none."""
-    stats = moments(df, columns)
-    varied = [c for c in columns if stats[c]["std_pop"] and stats[c]["min"] != stats[c]["max"]]
-    if len(varied) < 2:
-        return Gram([], np.zeros((0, 0)), np.zeros(0))
-    matrix, means, spread = _pearson(df, varied)
-    return Gram(varied, matrix * np.outer(spread, spread) + np.outer(means, means), means)
+def gram(df: DataFrame, columns: list[str], missing: str = "complete") -> Gram:
+    """One distributed covariance pass over the complete rows; with `missing="median"` gaps get their column's median first.
 
+    Constant columns are left out. Fewer than two columns, or fewer than two complete rows, give none.
+    """
+    values = df.select(*[finite(F.col(c)).alias(c) for c in columns])
+    if missing == "median":
+        middle = quantile_values(values, columns, [0.5])
+        values = values.select(*[F.coalesce(F.col(c), F.lit(middle[c][0]) if c in middle else F.lit(None)).alias(c) for c in columns])
+    varies = lambda stats, c: bool(stats[c]["std_pop"]) and stats[c]["min"] != stats[c]["max"]
+    none = Gram([], np.zeros((0, 0)), np.zeros(0))
+    stats = moments(values, columns)
+    held = [c for c in columns if varies(stats, c)]
+    if len(held) < 2:
+        return none
+    complete = values.select(*held).na.drop()
+    stats = moments(complete, held)
+    held = [c for c in held if varies(stats, c)]
+    if stats.rows < 2 or len(held) < 2:
+        return none
+    vectors = VectorAssembler(inputCols=held, outputCol="v").transform(complete).select("v")
+    matrix = Correlation.corr(vectors, "v").head()[0].toArray()
+    means, spread = (np.array([stats[c][m] for c in held]) for m in ("mean", "std_pop"))
+    return Gram(held, matrix * np.outer(spread, spread) + np.outer(means, means), means)
+
+
+def variance_inflation(df: DataFrame, columns: list[str], limit: float = 10.0, centered: bool = False,
+                       missing: str = "complete") -> DataFrame:
+    """VIF per column, without intercept unless `centered`; flagged above the limit.
 
-def variance_inflation(df: DataFrame, columns: list[str], limit: float = 10.0, centered: bool = False) -> DataFrame:
-    """VIF per column, without intercept unless `centered`; flagged above the limit."""
-    g = gram(df, columns)
-    rows = [(c, v, v > limit) for c, v in g.vif(g.columns, centered).items()]
+    Columns that do not vary have no row; where no two rows are complete, every column that varies has a null VIF.
+    """
+    g = gram(df, columns, missing)
+    rows = [(c, v, v > limit) for c, v in g.vif(g.columns, centered).items()] if g.columns else []
+    if not rows:
+        stats = moments(df.select(*[finite(F.col(c)).alias(c) for c in columns]), columns)
+        varied = [c for c in columns if stats[c]["std_pop"]]
+        rows = [(c, None, None) for c in varied] if len(varied) > 1 else []
     return df.sparkSession.createDataFrame(rows, "feature string, vif double, flagged boolean")
 
 

@@ -25,7 +25,8 @@ def dq_scorecard(df: DataFrame, target: str = "default_flag", skip: tuple[str, .
                  use_vif: bool = True) -> DataFrame:
     """Runs all tests on loans with `split`; the frame is written once because every test reads it.
 
-    DQ-05 fails on a correlation or, with `use_vif`, on a variance inflation above its limit.
+    DQ-05 fails on a correlation or, with `use_vif`, on a variance inflation above its limit; where too few rows are complete
+    for it, the evidence says so and the correlation alone decides.
     """
     data = pin(df)
     numbers = [c for c in numeric_columns(data) if c not in (*skip, target)]
@@ -56,7 +57,7 @@ def dq_scorecard(df: DataFrame, target: str = "default_flag", skip: tuple[str, .
     if use_vif:
         factors = features.gram(data, numbers)
         vif = max(factors.vif(factors.columns).values(), default=0.0) if factors.columns else 0.0
-        where = f"{where}; max VIF {vif:.2f}"
+        where = f"{where}; max VIF {vif:.2f}" if factors.columns else f"{where}; no VIF"
     add("DQ-05", "Multicollinearity", verdict(r > CORRELATION or vif > VIF), r, CORRELATION, where)
     strength = metrics.feature_auc(data, numbers, target).collect()
     strong = max(strength, key=lambda s: (s["auc"], s["feature"]))

@@ -182,3 +182,67 @@ def encode_sparse(spark, folder):
     wide = loan_tape(spark, folder, ["id"]).withColumn(
         "level", F.when(F.col("id") % 17 != 0, F.concat(F.lit("L"), (F.col("id") % 11000).cast("string"))))
     return clean.encode_sparse(wide, "level").select("id", F.col("level_vec").cast("string").alias("vector"))
+
+
+_GAPPED = ("(SELECT " + ", ".join(f"coalesce(CASE WHEN id % 2 = {i % 2} THEN {c} END, m_{c}) AS {c}" for i, c in enumerate(VIF_COLUMNS))
+           + " FROM resolved, (SELECT " + ", ".join(f"median(CASE WHEN id % 2 = {i % 2} THEN {c} END) AS m_{c}" for i, c in enumerate(VIF_COLUMNS))
+           + " FROM resolved))")
+
+
+@register("vif_gaps", with_tape(", " + inflation(VIF_COLUMNS, _GAPPED) + " SELECT 'median' AS missing, feature, round(vif, 6) AS vif FROM vifs "
+                                "UNION ALL SELECT 'complete', feature, NULL FROM vifs"))
+def vif_gaps(spark, folder):
+    """Columns filled on alternate rows, so that no row is complete: null without a fill, medians with it."""
+    loans = resolved_loans(spark, folder, VIF_COLUMNS)
+    gapped = pin(loans.select("id", *[F.when(F.col("id") % 2 == i % 2, F.col(c)).alias(c) for i, c in enumerate(VIF_COLUMNS)]))
+    found = [features.variance_inflation(gapped, VIF_COLUMNS, missing=how).select(F.lit(how).alias("missing"), "feature", "vif")
+             for how in ("median", "complete")]
+    return rounded(found[0].unionByName(found[1]), vif=6)
+
+
+@register("list_tables", "SELECT 'tape_customers' AS name, true AS temporary, count(*) AS row_count FROM customer UNION ALL SELECT 'tape_orders', true, count(*) FROM orders")
+def list_tables(spark, folder):
+    """The views that a session holds under a prefix, with their rows."""
+    _views(spark, folder)
+    found = tables.table_rows(spark).where("name IN ('tape_orders', 'tape_customers')").select("name", "temporary")
+    sizes = [spark.table(r["name"]).agg(F.lit(r["name"]).alias("name"), F.count(F.lit(1)).alias("row_count")) for r in found.collect()]
+    return found.join(sizes[0].unionByName(sizes[1]), "name")
+
+
+def _views(spark, folder):
+    table(spark, folder, "orders").createOrReplaceTempView("tape_orders")
+    table(spark, folder, "customer").createOrReplaceTempView("tape_customers")
+
+
+def _dictionary(spark, folder):
+    """A dictionary made of the table's own status values: the text of a column is the number of orders behind it."""
+    orders = table(spark, folder, "orders")
+    counted = orders.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("o_custkey").alias("k"))
+    return counted.select(F.explode(F.array(
+        F.struct(F.lit(" O_OrderKey ").alias("field"), F.concat(F.lit("key of "), F.col("n").cast("string"), F.lit(" orders")).alias("description")),
+        F.struct(F.lit("o_custkey").alias("field"), F.concat(F.lit("one of "), F.col("k").cast("string"), F.lit(" customers")).alias("description")),
+        F.struct(F.lit("no_such").alias("field"), F.lit("left over").alias("description")))).alias("d")).select("d.*")
+
+
+_SCHEMA_SQL = ("WITH c AS (SELECT column_name AS name, column_index AS position FROM duckdb_columns() WHERE table_name = 'orders'), "
+               "n AS (SELECT count(*) AS n, count(DISTINCT o_custkey) AS k FROM orders), d AS (SELECT name, position, CASE name WHEN 'o_orderkey' "
+               "THEN concat('key of ', n, ' orders') WHEN 'o_custkey' THEN concat('one of ', k, ' customers') END AS description FROM c, n) ")
+
+
+@register("describe_table", _SCHEMA_SQL + "SELECT row_number() OVER (ORDER BY position) - 1 AS position, name, name = 'o_orderkey' AS is_key, description FROM d")
+def describe_table(spark, folder):
+    """Columns of a view with the dictionary's text, whatever the case and blanks of its names."""
+    _views(spark, folder)
+    found = tables.describe_table(spark.table("tape_orders"), _dictionary(spark, folder), "o_orderkey")
+    return found.select(F.col("position").cast("long").alias("position"), "name", "is_key", "description")
+
+
+@register("dictionary_summary", _SCHEMA_SQL + "SELECT count(description) AS matched, count(*) - count(description) AS unmatched, "
+          "list(name ORDER BY name) FILTER (description IS NULL) AS first_unmatched FROM d")
+def dictionary_summary(spark, folder):
+    return tables.dictionary_summary(table(spark, folder, "orders"), _dictionary(spark, folder))
+
+
+@register("dictionary_gaps", _SCHEMA_SQL + "SELECT 'undocumented' AS kind, name FROM d WHERE description IS NULL UNION ALL SELECT 'unused', 'no_such'")
+def dictionary_gaps(spark, folder):
+    return tables.dictionary_gaps(table(spark, folder, "orders"), _dictionary(spark, folder))

@@ -46,6 +46,12 @@ def list_tables(spark: SparkSession, database: str | None = None) -> list[str]:
     return sorted(t.name for t in spark.catalog.listTables(database))
 
 
+def table_rows(spark: SparkSession, database: str | None = None) -> DataFrame:
+    """Tables and views of the session as rows; columns follow from `schema_rows` of each."""
+    rows = [(t.name, t.database or (t.namespace[-1] if t.namespace else None), t.tableType, t.isTemporary) for t in spark.catalog.listTables(database)]
+    return spark.createDataFrame(rows, "name string, database string, kind string, temporary boolean")
+
+
 def schema_rows(df: DataFrame, key: str | None = None) -> DataFrame:
     """One row per column: position, name, type, nullable, key flag."""
     rows = [(i, f.name, f.dataType.simpleString(), f.nullable, f.name == key) for i, f in enumerate(df.schema.fields)]
@@ -73,6 +79,14 @@ def dictionary_summary(df: DataFrame, dictionary: DataFrame, first: int = 30) ->
         F.slice(missing, 1, first).alias("first_unmatched"))
 
 
+def dictionary_gaps(df: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """Columns without a text, and dictionary entries without a column; names match without case and outer blanks."""
+    tidy = lambda c: F.lower(F.trim(c))
+    columns, fields = schema_rows(df).select("name", tidy("name").alias("_n")), dictionary.select(F.trim("field").alias("name"), tidy("field").alias("_n"))
+    bare = columns.join(fields.select("_n"), "_n", "left_anti").select(F.lit("undocumented").alias("kind"), "name")
+    return bare.unionByName(fields.join(columns.select("_n"), "_n", "left_anti").select(F.lit("unused").alias("kind"), "name").distinct())
+
+
 def random_sample(df: DataFrame, key: str, n: int = 100_000, seed: int = 42) -> DataFrame:
     """n rows in a repeatable random order of their key; 0 keeps all rows. A top-n: no full sort."""
     if n == 0:

@@ -18,6 +18,8 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loanstrata.llm import memory
+
 CACHE_TOKENS = 200_000
 PIECE_ROWS = 64
 PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -128,15 +130,8 @@ class Codec:
             return b"".join([token(i) for i in ids])
 
 
-_CODECS: dict[bytes, Codec] = {}
-
-
 def codec(model: bytes, pattern: str, ids: list[int]) -> Codec:
-    key = hashlib.sha256(model + pattern.encode()).digest()
-    if key not in _CODECS:
-        _CODECS.clear()
-        _CODECS[key] = Codec(model, pattern, ids)
-    return _CODECS[key]
+    return memory.held(hashlib.sha256(model + pattern.encode()).digest(), lambda: Codec(model, pattern, ids))
 
 
 def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, keep_ids: bool = True) -> DataFrame:
@@ -171,5 +166,6 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, kee
                     rows.append((*row, ids) if keep_ids else row)
                 columns = [pa.array(c, f.type) for c, f in zip(zip(*rows), fields[1:])]
                 yield pa.RecordBatch.from_arrays([piece.column(0).cast(pa.int64()), *columns], schema=target)
+        memory.release()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)

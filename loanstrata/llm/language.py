@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loanstrata.llm import memory
 from loanstrata.llm.words import LOWER, slices, text_bytes
 
 SEGMENT = 256
@@ -125,15 +126,8 @@ class Model:
         return out, size
 
 
-_MODELS: dict[bytes, Model] = {}
-
-
 def model(samples: dict[str, bytes]) -> Model:
-    key = hashlib.sha256(repr(sorted(samples.items())).encode()).digest()
-    if key not in _MODELS:
-        _MODELS.clear()
-        _MODELS[key] = Model(samples)
-    return _MODELS[key]
+    return memory.held(hashlib.sha256(repr(sorted(samples.items())).encode()).digest(), lambda: Model(samples))
 
 
 def in_fold(key: str = "doc_id", folds: int = 3, fold: int = 1) -> Column:
@@ -204,6 +198,7 @@ def predict(docs: DataFrame, samples: dict[str, bytes]) -> DataFrame:
             best = np.where(usable, best, len(fitted.languages))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names[best], pa.string()),
                                               pa.array(np.where(usable, score, 0.0))], schema=target)
+        memory.release()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     lettered = rows.withColumn("_letters", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
@@ -227,6 +222,7 @@ def keep_known(docs: DataFrame, samples: dict[str, bytes]) -> DataFrame:
             # A text that needs a phrase for nearly every letter fits no learned language.
             ok = counts.min(1) < np.maximum(size, 1) * MAX_PHRASES_PER_BYTE + 1
             yield batch.filter(pa.array(ok))
+        memory.release()
 
     return docs.where(known).mapInArrow(run, schema)
 

@@ -166,6 +166,5 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, kee
                     rows.append((*row, ids) if keep_ids else row)
                 columns = [pa.array(c, f.type) for c, f in zip(zip(*rows), fields[1:])]
                 yield pa.RecordBatch.from_arrays([piece.column(0).cast(pa.int64()), *columns], schema=target)
-        memory.release()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(memory.trimmed(run), schema)

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loanstrata.llm import memory
 from loanstrata.llm.components import components, stars
 from loanstrata.llm.substring import bucket_count
 from loanstrata.llm.words import mix, pack, shingle_sets, slices, unpack
@@ -61,7 +62,7 @@ def rarity(docs: DataFrame, size: int) -> np.ndarray:
         return pa.table({"block": tables.column(0).slice(0, 1), "counts": pa.array([pack(np.minimum(total, 2 ** 32 - 1), 4)], pa.binary())})
 
     texts = docs.select(F.col("text").cast("string").alias("text"))
-    sums = texts.mapInArrow(count, "block int, counts binary").groupBy("block").applyInArrow(add, "block int, counts binary")
+    sums = texts.mapInArrow(memory.trimmed(count), "block int, counts binary").groupBy("block").applyInArrow(add, "block int, counts binary")
     out = np.zeros((width // SKETCH_BLOCK, SKETCH_BLOCK), np.uint32)
     for row in sums.toLocalIterator():
         out[row["block"]] = unpack(row["counts"], 4)
@@ -98,7 +99,7 @@ def _signatures(docs: DataFrame, size: int) -> DataFrame:
                                               pa.array(s2.view(np.int64))], schema=fields)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n long, s1 long, s2 long")
+    return rows.mapInArrow(memory.trimmed(run), "doc_id long, n long, s1 long, s2 long")
 
 
 HELD = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("docs", pa.binary()), ("per", pa.binary()), ("hashes", pa.binary())])
@@ -201,8 +202,8 @@ def shared_shingles(docs: DataFrame, size: int, num: int, den: int) -> DataFrame
         return _table(rows, target)
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL")
-    found = texts.mapInArrow(deal, HELD_TYPE).groupBy("bucket").applyInArrow(find, HELD_TYPE)
-    return found.groupBy("bucket").applyInArrow(gather, "doc_id long, n long, shingles binary")
+    found = texts.mapInArrow(memory.trimmed(deal), HELD_TYPE).groupBy("bucket").applyInArrow(memory.trimmed(find), HELD_TYPE)
+    return found.groupBy("bucket").applyInArrow(memory.trimmed(gather), "doc_id long, n long, shingles binary")
 
 
 def size_class(n: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -268,8 +269,8 @@ def _prefix_links(reps: DataFrame, num: int, den: int, counts: np.ndarray) -> Da
         x, y = stars(np.concatenate(xs), np.concatenate(ys))
         return pa.table({"a": pa.array(x, pa.int64()), "b": pa.array(y, pa.int64())})
 
-    blobs = reps.select("doc_id", "n", "shingles").mapInArrow(spread, "bucket int, a binary, b binary, h binary, c binary")
-    return blobs.groupBy("bucket").applyInArrow(join, "a long, b long")
+    blobs = reps.select("doc_id", "n", "shingles").mapInArrow(memory.trimmed(spread), "bucket int, a binary, b binary, h binary, c binary")
+    return blobs.groupBy("bucket").applyInArrow(memory.trimmed(join), "a long, b long")
 
 
 def occurrence_links(ids: np.ndarray, side: np.ndarray, n: np.ndarray, parts: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
@@ -411,7 +412,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 8, den: int =
         a, b = occurrence_links(*[tables.column(i).to_numpy() for i in (1, 2, 3)], parts, num, den)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    links = held.groupBy("tile").applyInArrow(link, "a long, b long")
+    links = held.groupBy("tile").applyInArrow(memory.trimmed(link), "a long, b long")
     joined = components(links, "a", "b")
     found = joined.select(F.col("id").alias("_id"), "component")
     lead = classes.join(found, F.col("rep") == F.col("_id"), "left").select(

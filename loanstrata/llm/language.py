@@ -198,11 +198,10 @@ def predict(docs: DataFrame, samples: dict[str, bytes]) -> DataFrame:
             best = np.where(usable, best, len(fitted.languages))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names[best], pa.string()),
                                               pa.array(np.where(usable, score, 0.0))], schema=target)
-        memory.release()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     lettered = rows.withColumn("_letters", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    return lettered.mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return lettered.mapInArrow(memory.trimmed(run), "doc_id long, lang_pred string, score double")
 
 
 def keep_known(docs: DataFrame, samples: dict[str, bytes]) -> DataFrame:
@@ -222,7 +221,6 @@ def keep_known(docs: DataFrame, samples: dict[str, bytes]) -> DataFrame:
             # A text that needs a phrase for nearly every letter fits no learned language.
             ok = counts.min(1) < np.maximum(size, 1) * MAX_PHRASES_PER_BYTE + 1
             yield batch.filter(pa.array(ok))
-        memory.release()
 
-    return docs.where(known).mapInArrow(run, schema)
+    return docs.where(known).mapInArrow(memory.trimmed(run), schema)
 

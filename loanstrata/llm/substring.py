@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loanstrata.llm import memory
 from loanstrata.llm.words import mix, pack, slices, text_bytes, unpack, windows, words_of
 
 WINDOW = 20
@@ -164,8 +165,8 @@ def spans_by_doc(reports: pa.Table, size: int) -> dict[int, list[tuple[int, int]
 def repeats(docs: DataFrame, size: int, buckets: int) -> DataFrame:
     """Packed (doc, start) of every window whose words also start earlier: smaller doc_id, or an earlier start in it."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    blobs = rows.mapInArrow(hash_slices(size, buckets), BLOB_TYPE)
-    return blobs.groupBy("bucket").applyInArrow(later_starts(buckets), "bucket int, docs binary, counts binary, starts binary")
+    blobs = rows.mapInArrow(memory.trimmed(hash_slices(size, buckets)), BLOB_TYPE)
+    return blobs.groupBy("bucket").applyInArrow(memory.trimmed(later_starts(buckets)), "bucket int, docs binary, counts binary, starts binary")
 
 
 def _with_texts(docs: DataFrame, size: int, finish: Callable, schema) -> DataFrame:

@@ -150,6 +150,19 @@ def test_fits_run_in_pools_of_their_own(spark):
     assert all(p.startswith("fits-") for p in seen) and spark.sparkContext.getLocalProperty("spark.scheduler.pool") is None
 
 
+def test_models_score_after_an_observed_query(spark, frame):
+    from pyspark.sql import Observation
+    seen = Observation()
+    assert spark.range(5).observe(seen, F.count(F.lit(1)).alias("n")).count() == 5 and seen.get == {"n": 5}
+    small = lambda c: c.with_params(**{k: v for k, v in (("n_estimators", 3), ("max_iter", 5)) if k in c.params})
+    fitted = models.fit_all(frame, [small(c) for c in candidates.PD_CANDIDATES], 8)
+    assert {f.status for f in fitted} == {"trained"}
+    assert models.score(frame, fitted).groupBy("model").count().count() == len(candidates.PD_CANDIDATES)
+    fitted = models.fit_all(frame, [small(c) for c in candidates.EAD_CANDIDATES], 8)
+    assert {f.status for f in fitted} == {"trained"}
+    assert models.score(frame, fitted).groupBy("model").count().count() == len(candidates.EAD_CANDIDATES)
+
+
 def test_time_folds_expand_in_order(frame):
     rows = models.time_folds(frame, "issued", 5).groupBy("fold").agg(
         F.min("issued").alias("lo"), F.max("issued").alias("hi"), F.count("*").alias("n")).orderBy("fold").collect()

@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from loanstrata.session import pin
 
 DAMPING = 0.85
-ITERATIONS = 10
-PIN_EVERY = 5
+# Propagation ends once the ranks still to come are less than this share of the seeds.
+TOLERANCE = 1e-7
+PIN_EVERY = 8
 # A host is blocked when its distrust exceeds this share of its trust.
 THRESHOLD = 1.0
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -59,35 +60,47 @@ def rule_of(host: Column, path: Column, rules: list[Rule]) -> tuple[Column, Colu
     return text, verdict
 
 
+# Links in quotes, up to what ends a host or the quote; links in running text, which also end at white space; plain names.
+# Each pattern's last group is the host.
+LINKS = [r"""["']\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'<>]+)""", r"""(?:^|[\s=(:>])//([^/?#\s"'<>]+)""", r"([a-z0-9-]+(?:\.[a-z0-9-]+)+)"]
+
+
 def host_edges(pages: DataFrame, hosts: DataFrame, html: str = "html") -> DataFrame:
     """(src, dst, w): pages of host src that name another judged host dst, in a link or in their text.
 
-    Each page counts once per host it names. Names that are no host of the table cannot carry weight to one that is, so
-    they are left out.
+    A link's host is what the host of a url is: all up to `/`, `?`, `#` or its end, so ports, user parts, underscores,
+    single labels and letters beyond ASCII count. Each page counts once per host it names. Names that are no host of
+    the table cannot carry weight to one that is, so they are left out.
     """
-    named = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col(html).cast("string"), F.lit(""))),
-                                                  F.lit(r"[a-z0-9-]+(?:\.[a-z0-9-]+)+"), F.lit(0)))
+    text = F.translate(F.coalesce(F.col(html).cast("string"), F.lit("")), UPPER, LOWER)
+    named = F.array_distinct(F.concat(*[F.regexp_extract_all(text, F.lit(pattern), F.lit(1)) for pattern in LINKS]))
     pairs = pages.where("host <> ''").select(F.col("host").alias("src"), F.explode(named).alias("dst")).where("src <> dst")
     counted = pairs.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("w"))
     return counted.join(hosts.select(F.col("host").alias("_host")), F.col("dst") == F.col("_host"), "left_semi")
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, iterations: int = ITERATIONS, damping: float = DAMPING) -> DataFrame:
-    """(kind, host, rank) after a fixed number of steps from `seeds` (kind, host, seed); edges are (kind, src, dst, p).
+def propagate(edges: DataFrame, seeds: DataFrame, tolerance: float = TOLERANCE, damping: float = DAMPING) -> DataFrame:
+    """(kind, host, rank): personalised PageRank from `seeds` (kind, host, seed); edges are (kind, src, dst, p).
 
     Weight that reaches a host without outgoing edges is dropped, so ranks only compare within one run. Each step is a
-    join on the source and a sum by target, folded per task first; the ranks are written every few steps.
+    join on the source and a sum by target, folded per task first; the ranks are written every few steps. They only
+    grow, so what their total gained since the last writing tells how much is still to come: the run ends when that is
+    less than `tolerance` of the seeds.
     """
-    rank = seeds.withColumnRenamed("seed", "rank")
-    for step in range(1, iterations + 1):
-        sent = edges.join(rank.select(F.col("kind").alias("_k"), F.col("host").alias("_h"), "rank"),
-                          (F.col("kind") == F.col("_k")) & (F.col("src") == F.col("_h")))
-        moved = sent.select("kind", F.col("dst").alias("host"), (F.col("rank") * F.col("p") * damping).alias("rank"))
-        base = seeds.select("kind", "host", (F.col("seed") * (1 - damping)).alias("rank"))
-        rank = moved.unionByName(base).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
-        if step % PIN_EVERY == 0 or step == iterations:
-            rank = pin(rank)
-    return rank
+    base = seeds.select("kind", "host", (F.col("seed") * (1 - damping)).alias("rank"))
+    rank, before = base, 0.0
+    while True:
+        for _ in range(PIN_EVERY):
+            sent = edges.join(rank.select(F.col("kind").alias("_k"), F.col("host").alias("_h"), "rank"),
+                              (F.col("kind") == F.col("_k")) & (F.col("src") == F.col("_h")))
+            moved = sent.select("kind", F.col("dst").alias("host"), (F.col("rank") * F.col("p") * damping).alias("rank"))
+            rank = moved.unionByName(base).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
+        rank = pin(rank)
+        total = rank.agg(F.sum("rank")).first()[0] or 0.0
+        # Every step brings at most `damping` of the one before.
+        if (total - before) * damping ** PIN_EVERY / (1 - damping ** PIN_EVERY) <= tolerance:
+            return rank
+        before = total
 
 
 def judge(pages: DataFrame, rules: list[Rule] = RULES, threshold: float = THRESHOLD) -> DataFrame:

@@ -115,6 +115,51 @@ def contaminated(rows, items, size=5, share=0.8):
     return out
 
 
+def host_path(url):
+    rest = (url or "").split("://", 1)[1] if "://" in (url or "") else ""
+    rest = rest.split("#", 1)[0].split("?", 1)[0]
+    host, slash, path = rest.partition("/")
+    return host.translate(LOW), slash + path
+
+
+def judged(pages):
+    """page_id -> (host, path, rule, verdict) by the five rules and dictionary walks over the links."""
+    rules = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+    parsed, out, lead, names = [], {}, collections.Counter(), {}
+    for page, url, html in pages:
+        host, path = host_path(url)
+        fit = [r for r in rules if ("." + host).endswith("." + r[1]) and path.startswith(r[2])]
+        best = max(fit, key=lambda r: len(r[1] + r[2]), default=None)
+        parsed.append((page, host, path, best))
+        if host:
+            lead[host] += 0 if best is None else 1 if best[0] == "allow" else -1
+        text = (html or "").translate(LOW)
+        quoted = re.findall("""["'] *(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'<>]+)""", text)
+        bare = re.findall("""[ \n=(:>]//([^/?#\\s"'<>]+)""", " " + text)
+        names[page] = {*quoted, *bare, *re.findall(r"[a-z0-9-]+(?:\.[a-z0-9-]+)+", text)}
+    edges = collections.Counter((host, n) for page, host, _, _ in parsed for n in names[page] if host and n in lead and n != host)
+    total = sum(map(abs, lead.values())) or 1
+    rank = {}
+    for kind, sign in (("trust", 1), ("distrust", -1)):
+        ahead = collections.defaultdict(list)
+        for (a, b), n in edges.items():
+            a, b = (a, b) if sign > 0 else (b, a)
+            ahead[a].append((b, n))
+        going = {h: abs(v) / total for h, v in lead.items() if v * sign > 0}
+        rank[kind] = collections.Counter()
+        for _ in range(200):
+            after = collections.Counter()
+            for h, x in going.items():
+                rank[kind][h] += 0.15 * x
+                for b, n in ahead[h]:
+                    after[b] += 0.85 * x * n / sum(k for _, k in ahead[h])
+            going = after
+    for page, host, path, best in parsed:
+        method = "block" if rank["distrust"][host] > rank["trust"][host] + 1e-9 else "allow"
+        out[page] = (host, path, best[1] + best[2] if best else None, best[0] if best else method)
+    return out
+
+
 def katz(rows, held_out):
     """doc_id -> (tokens, known, base, score), and the conditional distribution of each history summed."""
     from loanstrata.llm.katz import MIN_COUNT, discounts

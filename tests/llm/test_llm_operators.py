@@ -165,18 +165,42 @@ def test_distrust_goes_to_hosts_that_link_to_blocked_ones(spark):
     assert got[2].distrust > 0 and got[2].trust > 0
 
 
-def test_propagation_matches_matrix_iteration(spark):
+def test_propagation_reaches_its_limit(spark):
     rng = np.random.default_rng(1)
     w = rng.random((6, 6)) * (rng.random((6, 6)) < 0.5)
     p = w / np.maximum(w.sum(1, keepdims=True), 1e-12)
     edges = spark.createDataFrame([("trust", f"h{i}", f"h{j}", float(p[i, j])) for i, j in np.argwhere(p > 0)], "kind string, src string, dst string, p double")
     seeds = spark.createDataFrame([("trust", "h0", 0.7), ("trust", "h3", 0.3)], "kind string, host string, seed double")
-    got = {r.host: r["rank"] for r in hosts.propagate(edges, seeds, 10).collect()}
-    seed = np.array([0.7, 0, 0, 0.3, 0, 0])
-    rank = seed
-    for _ in range(10):
-        rank = 0.15 * seed + 0.85 * rank @ p
-    assert all(got.get(f"h{i}", 0.0) == pytest.approx(rank[i]) for i in range(6))
+    got = {r.host: r["rank"] for r in hosts.propagate(edges, seeds).collect()}
+    rank = 0.15 * np.linalg.solve(np.eye(6) - 0.85 * p.T, np.array([0.7, 0, 0, 0.3, 0, 0]))
+    assert all(got.get(f"h{i}", 0.0) == pytest.approx(rank[i], abs=1e-6) for i in range(6))
+
+
+PAGES = "page_id long, url string, html string"
+
+
+def test_distrust_follows_a_chain_of_thirty_hosts(spark):
+    rows = [(0, "http://h0.com/de/", "")] + [(i, f"http://h{i}.net/a", f"<a href='http://h{i - 1}.{'com' if i == 1 else 'net'}/'>") for i in range(1, 31)]
+    got = {r.page_id: r for r in hosts.judge(spark.createDataFrame(rows, PAGES)).collect()}
+    assert all(r.verdict == "block" for r in got.values())
+    assert got[30].distrust == pytest.approx(0.15 * 0.85 ** 30, abs=1e-7)
+
+
+def test_links_hold_any_host(spark):
+    links = {"h.com:8080": '<a href="http://H.com:8080/x">', "me@h.com": "see http://me@h.com?q", "under_score.com": "<a href='//under_score.com'>",
+             "localhost.com": "(http://LOCALHOST.com)", "bücher.com": "<img src=https://bücher.com/a.png>", "a b.com": '<a href="http://a b.com/">',
+             "intranet": "http://intranet"}
+    rules = [hosts.Rule("block", host, "/de/") for host in links]
+    rows = [(i, f"http://{host}/de/", "") for i, host in enumerate(links)] + [(10 + i, f"http://x{i}.net/", link) for i, link in enumerate(links.values())]
+    got = {r.page_id: r.verdict for r in hosts.judge(spark.createDataFrame([*rows, (99, "http://y.net/", "an intranet")], PAGES), rules).collect()}
+    assert {page for page, verdict in got.items() if verdict == "allow"} == {99}
+
+
+def test_verdicts_of_the_whole_table(spark):
+    pages = spark.read.parquet(f"{SMALL}/pages.parquet")
+    want = plain.judged([tuple(r) for r in pages.select("page_id", "url", "html").collect()])
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in hosts.judge(pages).collect()}
+    assert got == want
 
 
 # --- byte-level BPE

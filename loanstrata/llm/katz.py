@@ -1,20 +1,23 @@
 """Language-model scoring: a Katz bigram model with Good-Turing discounts and exactly normalised backoff weights.
 
-Texts are cut into (document, history, word) counts, dealt into buckets by history, and packed as byte planes. All that
-a history needs is then in one bucket: its own count, its followers and their counts. As every word but the closing one
-is the history of the next token, the bucket also knows the count of each word of a document, which the lower order and
-the base score need. Only the followers that a bigram keeps must be looked up elsewhere: each bucket asks the buckets of
-those words for their counts. Per-document sums come back in buckets of documents.
+Texts are cut into (history, word, document) counts, dealt into buckets by history, and packed as byte planes. They are
+written once, as a table bucketed by that number, and every later step reads it without a shuffle: training counts only
+the columns of pairs, scores those of documents too. All that a history needs is in one bucket: its own count, its
+followers and their counts. As every word but the closing one is the history of the next token, the bucket also knows
+the count of each word of a document, which the lower order and the base score need. Only followers must be looked up
+elsewhere: each bucket asks the buckets of those words for their counts. Per-document sums come back in buckets of
+documents.
 
 A history that would fill a bucket alone (the opening token, or a word like "the") is spread over all buckets by its
 followers. There are at most HOT_PER_BUCKET of them per bucket; their counts and backoff sums are added up per history.
 
-P(w | h) = d(c(hw)) c(hw) / c(h) where c(hw) >= MIN_COUNT, else a(h) P(w); a(h) makes the sum over all words exactly 1.
+P(w | h) = d(c(hw)) c(hw) / c(h) where c(hw) > 0, else a(h) P(w); a(h) makes the sum over all words exactly 1.
 P(w) = d(c(w)) c(w) / N for known words; the discounted mass is the probability of the one class of unknown words.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 from typing import NamedTuple
@@ -26,19 +29,33 @@ from pyspark.sql import functions as F
 
 from loanstrata.llm.substring import LAST, bucket_count, ids_of
 from loanstrata.llm.words import mix, pack, slices, unpack, words_of
+from loanstrata.session import shared_folder
 
 # Counts above this are trusted as they are.
 GOOD_TURING_LIMIT = 5
-# Bigrams seen less often are left to the backoff.
-MIN_COUNT = 2
 BUCKET_BYTES = 9 << 20
+# Texts packed together: the larger, the more often a pair is stored once for several documents.
+PACK_BYTES = 4 << 20
+# Files of the written table; beyond it a file holds several buckets.
+MAX_FILES = 50_000
 FIXED_POINT = 1e10
 # A history is spread when it holds more than this part of an average bucket, so there are at most 4 per bucket.
 HOT_PER_BUCKET = 4
 BEGIN, END = np.uint64(1), np.uint64(2)
 
-ENTRY = pa.schema([("bucket", pa.int32()), *[(c, pa.binary()) for c in ("docs", "train", "histories", "h", "followers", "w", "times")]])
-ENTRY_TYPE = "bucket int, docs binary, train binary, histories binary, h binary, followers binary, w binary, times binary"
+PAIR_COLUMNS, DOC_COLUMNS = ["h", "followers", "w", "trained", "holders"], ["docs", "doc", "times"]
+ENTRY = pa.schema([("bucket", pa.int32()), *[(c, pa.binary()) for c in PAIR_COLUMNS + DOC_COLUMNS]])
+ENTRY_TYPE = "bucket int, " + ", ".join(f"{c} binary" for c in PAIR_COLUMNS + DOC_COLUMNS)
+
+
+def squeeze(values: np.ndarray) -> bytes:
+    """Integers packed with as many bytes as the largest needs; the first byte says how many."""
+    width = max(1, (int(values.max()).bit_length() + 7) // 8) if len(values) else 1
+    return bytes([width]) + pack(values, width)
+
+
+def unsqueeze(blob: bytes) -> np.ndarray:
+    return unpack(blob[1:], blob[0])
 
 
 def lengths(head: np.ndarray, total: int) -> np.ndarray:
@@ -110,57 +127,78 @@ def held_in(values: np.ndarray, table: np.ndarray) -> np.ndarray:
 
 
 def count_slices(buckets: int, hot: np.ndarray):
-    """Distinct (document, history, word) with their number, one row per slice of texts and bucket of histories."""
+    """Distinct (history, word, document) with their number, one row per slice of texts and bucket of histories.
+
+    A row lists each history once, each of its followers once with its training count, and the documents of each pair
+    as places in the row's list of ids.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, size=PACK_BYTES):
             ids, train, row, history, word = pairs(batch)
-            # Codes have 48 bits and a slice few rows, so that row and history make one sort key.
-            key = (row.astype(np.uint64) << np.uint64(48)) | history
-            order = np.lexsort((word, key))
-            history, word, row = history[order], word[order], row[order]
-            first = heads(key[order], word)
-            times = lengths(first, len(row))
-            history, word, row = history[first], word[first], row[first]
-            bucket = place(history, word, hot, buckets)
+            # Codes have 48 bits and a slice few rows, so that word and row make one sort key.
+            key = (word << np.uint64(16)) | row.astype(np.uint64)
+            order = np.lexsort((key, history))
+            key, history = key[order], history[order]
+            first = heads(history, key)
+            times = lengths(first, len(order))
+            history, key = history[first], key[first]
+            bucket = place(history, key >> np.uint64(16), hot, buckets)
             order = np.argsort(bucket, kind="stable")
             edges = np.flatnonzero(np.diff(bucket[order])) + 1
             rows = []
             for part in np.split(order, edges):
-                r, h = row[part], history[part]
-                of_doc = heads(r)
-                of_h = heads(r, h)
-                docs = ids[r[of_doc]]
-                rows.append((int(bucket[part[0]]), pack(np.diff(docs, prepend=0).view(np.uint64), 8), np.packbits(train[r[of_doc]]).tobytes(),
-                             pack(lengths(np.searchsorted(of_h, of_doc), len(of_h)), 4), pack(h[of_h], 6),
-                             pack(lengths(of_h, len(part)), 4), pack(word[part], 6), pack(times[part], 4)))
+                h, w, n = history[part], key[part] >> np.uint64(16), times[part]
+                r = (key[part] & np.uint64(0xFFFF)).astype(np.int64)
+                of_pair = heads(h, w)
+                of_h = heads(h[of_pair])
+                present, local = np.unique(r, return_inverse=True)
+                trained = np.add.reduceat(np.where(train[r], n, 0), of_pair)
+                rows.append((int(bucket[part[0]]), pack(h[of_pair][of_h], 6), squeeze(lengths(of_h, len(of_pair))), pack(w[of_pair], 6),
+                             squeeze(trained), squeeze(lengths(of_pair, len(part))), squeeze(np.diff(ids[present], prepend=0).view(np.uint64)),
+                             squeeze(local), squeeze(n)))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), ENTRY)], schema=ENTRY)
     return run
 
 
-class Entries(NamedTuple):
-    """One bucket: a row per (document, history, word), and the row of (document, history) each belongs to."""
+def counted(rows: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
+    """The packed counts, written once to the shared folder as a table bucketed by `bucket`.
+
+    Groups and cogroups by bucket read it in place. The catalogue entry goes again at once, the files serve the frame.
+    """
+    spark, files = rows.sparkSession, min(buckets, MAX_FILES)
+    name = f"katz_counts_{uuid.uuid4().hex}"
+    blobs = rows.mapInArrow(count_slices(buckets, hot), ENTRY_TYPE).repartition(files, "bucket")
+    with shuffles_released(spark):
+        blobs.write.bucketBy(files, "bucket").option("path", f"{shared_folder(spark)}/{name}").option("compression", "zstd").saveAsTable(name)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return table
+
+
+class Pairs(NamedTuple):
+    """One bucket: a row per slice, history and word, with the number of training documents' tokens."""
 
-    doc: np.ndarray
-    train: np.ndarray
     h: np.ndarray
     w: np.ndarray
-    times: np.ndarray
+    trained: np.ndarray
 
 
-def entries(table: pa.Table) -> Entries:
-    parts: list[list[np.ndarray]] = [[], [], [], [], []]
-    for _, docs, train, histories, h, followers, w, times in zip(*[c.to_pylist() for c in table.columns]):
-        ids = np.cumsum(unpack(docs, 8).view(np.int64))
-        flags = np.unpackbits(np.frombuffer(train, np.uint8))[:len(ids)].astype(bool)
-        per_doc, per_h = unpack(histories, 4).astype(np.int64), unpack(followers, 4).astype(np.int64)
-        for out, value in zip(parts, (np.repeat(np.repeat(ids, per_doc), per_h), np.repeat(np.repeat(flags, per_doc), per_h),
-                                      np.repeat(unpack(h, 6), per_h), unpack(w, 6), unpack(times, 4).astype(np.int32))):
-            out.append(value)
-    whole = []
-    while parts:
-        # Each column's pieces are let go before the next is joined.
-        whole.append(np.concatenate(parts.pop(0)))
-    return Entries(*whole)
+def columns(table: pa.Table, names: list[str]) -> list[list[bytes]]:
+    return [table.column(c).to_pylist() for c in names]
+
+
+def pairs_in(table: pa.Table) -> Pairs:
+    h, followers, w, trained = columns(table, PAIR_COLUMNS[:4])
+    return Pairs(np.concatenate([np.repeat(unpack(a, 6), unsqueeze(n).astype(np.int64)) for a, n in zip(h, followers)]),
+                 np.concatenate([unpack(a, 6) for a in w]), np.concatenate([unsqueeze(a) for a in trained]).astype(np.int64))
+
+
+def documents_in(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each pair of `pairs_in` the number of its documents, then their ids and counts, pair after pair."""
+    docs, doc, times, holders = columns(table, [*DOC_COLUMNS, "holders"])
+    ids = [np.cumsum(unsqueeze(d).view(np.int64))[unsqueeze(at).astype(np.int64)] for d, at in zip(docs, doc)]
+    return (np.concatenate([unsqueeze(n) for n in holders]).astype(np.int64), np.concatenate(ids),
+            np.concatenate([unsqueeze(n) for n in times]).astype(np.int64))
 
 
 class Bigrams(NamedTuple):
@@ -171,22 +209,21 @@ class Bigrams(NamedTuple):
     pair_h: np.ndarray
     pair_w: np.ndarray
     count: np.ndarray
-    row_h: np.ndarray
     row_pair: np.ndarray
 
 
-def bigrams(e: Entries) -> Bigrams:
+def bigrams(e: Pairs) -> Bigrams:
     """Counts over training documents; histories and pairs that only others hold are listed with count 0."""
     order = np.lexsort((e.w, e.h))
-    h, w, times = e.h[order], e.w[order], np.where(e.train, e.times, 0)[order]
+    h, w = e.h[order], e.w[order]
     first = heads(h, w)
-    count = np.add.reduceat(times, first, dtype=np.int64)
+    count = np.add.reduceat(e.trained[order], first)
     pair_h, pair_w = h[first], w[first]
     top = heads(pair_h)
     row_pair = np.empty(len(order), np.int32)
     row_pair[order] = np.repeat(np.arange(len(first), dtype=np.int32), lengths(first, len(order)))
     of_pair = np.repeat(np.arange(len(top), dtype=np.int32), lengths(top, len(first)))
-    return Bigrams(pair_h[top], np.add.reduceat(count, top), of_pair, pair_w, count, of_pair[row_pair], row_pair)
+    return Bigrams(pair_h[top], np.add.reduceat(count, top), of_pair, pair_w, count, row_pair)
 
 
 def frequencies(counts: np.ndarray) -> list[int]:
@@ -244,7 +281,7 @@ def model_of(n1: list[int], n2: list[int], tokens: int, distinct: int, documents
 def bucket_stats(hot: np.ndarray):
     """Rows (at, n): sums at fixed places, then the counts of the hot histories in their order."""
     def run(table: pa.Table) -> pa.Table:
-        b = bigrams(entries(table))
+        b = bigrams(pairs_in(table))
         apart = held_in(b.h, hot)
         words = b.total[~apart & (b.h != BEGIN)]
         row = [int(words.sum()), int((words > 0).sum()), int(b.total[~apart & (b.h == BEGIN)].sum()), *frequencies(words), *frequencies(b.count)]
@@ -270,7 +307,7 @@ def learn(blobs: DataFrame, hot: np.ndarray) -> Model:
     width = 3 + 2 * (GOOD_TURING_LIMIT + 1)
     sums = np.zeros(width + len(hot), np.int64)
     with shuffles_released(blobs.sparkSession):
-        stats = blobs.groupBy("bucket").applyInArrow(bucket_stats(hot), "at long, n long").groupBy("at").agg(F.sum("n").alias("n"))
+        stats = blobs.select("bucket", *PAIR_COLUMNS[:4]).groupBy("bucket").applyInArrow(bucket_stats(hot), "at long, n long").groupBy("at").agg(F.sum("n").alias("n"))
         for r in stats.collect():
             sums[r["at"]] = r["n"]
     tokens, distinct, documents, *n = sums[:width].tolist()
@@ -288,24 +325,35 @@ def learn(blobs: DataFrame, hot: np.ndarray) -> Model:
     return model_of(n1, n2, tokens, distinct, documents, hot, hot_count)
 
 
-def kept_pairs(b: Bigrams, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the pairs that the model keeps, ordered by the bucket of their word, and those buckets."""
-    kept = np.flatnonzero(b.count >= MIN_COUNT)
-    target = home(b.pair_w[kept], buckets)
+class Followers(NamedTuple):
+    """The pairs that training saw, their words once each, and the order in which other buckets are asked for them."""
+
+    kept: np.ndarray
+    word_of: np.ndarray
+    words: np.ndarray
+    order: np.ndarray
+    target: np.ndarray
+
+
+def followers_of(b: Bigrams, buckets: int) -> Followers:
+    kept = np.flatnonzero(b.count > 0)
+    words, word_of = np.unique(b.pair_w[kept], return_inverse=True)
+    target = home(words, buckets)
     order = np.argsort(target, kind="stable")
-    return kept[order], target[order]
+    return Followers(kept, word_of, words, order, target[order])
 
 
 def ask(buckets: int):
     """Rows (bucket, source, words, counts): the counts of the bucket's own words, and questions to other buckets."""
     def run(table: pa.Table) -> pa.Table:
         here = int(table.column("bucket")[0].as_py())
-        b = bigrams(entries(table))
-        rows = [(here, -1, pack(b.h, 6), pack(b.total, 8))]
-        kept, target = kept_pairs(b, buckets)
-        for part in np.split(np.arange(len(kept)), np.flatnonzero(np.diff(target)) + 1):
+        b = bigrams(pairs_in(table))
+        rows = [(here, -1, pack(b.h, 6), squeeze(b.total))]
+        f = followers_of(b, buckets)
+        asked = f.words[f.order]
+        for part in np.split(np.arange(len(asked)), np.flatnonzero(np.diff(f.target)) + 1):
             if len(part):
-                rows.append((int(target[part[0]]), here, pack(b.pair_w[kept[part]], 6), None))
+                rows.append((int(f.target[part[0]]), here, pack(asked[part], 6), None))
         kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary())
         return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["bucket", "source", "words", "counts"])
     return run
@@ -320,7 +368,7 @@ def _answer(table: pa.Table, m: Model) -> pa.Table:
     rows = list(zip(*[c.to_pylist() for c in table.columns]))
     own = [r for r in rows if r[1] < 0]
     words = unpack(own[0][2], 6) if own else np.zeros(0, np.uint64)
-    counts = unpack(own[0][3], 8).astype(np.int64) if own else np.zeros(0, np.int64)
+    counts = unsqueeze(own[0][3]).astype(np.int64) if own else np.zeros(0, np.int64)
     out = []
     for bucket, source, asked, _ in rows:
         if source >= 0:
@@ -330,7 +378,7 @@ def _answer(table: pa.Table, m: Model) -> pa.Table:
             if len(m.hot):
                 apart = held_in(w, m.hot)
                 found[apart] = m.hot_count[np.searchsorted(m.hot, w[apart])]
-            out.append((source, bucket, pack(found, 8)))
+            out.append((source, bucket, squeeze(found)))
     kinds = (pa.int32(), pa.int32(), pa.binary())
     return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 3, kinds)], ["bucket", "source", "counts"])
 
@@ -380,10 +428,13 @@ def backoff(b: Bigrams, kept: np.ndarray, word_counts: np.ndarray, m: Model) ->
     return np.log10(left / np.maximum(1 - below, 1e-300)), np.log10(weight / total[at]), np.log10(low)
 
 
-def replied(answers: pa.Table) -> np.ndarray:
+def replied(answers: pa.Table, f: Followers) -> np.ndarray:
     """Counts of the words of the kept pairs, in the order of the pairs."""
     replies = sorted(zip(answers.column("source").to_pylist(), answers.column("counts").to_pylist()))
-    return np.concatenate([unpack(c, 8) for _, c in replies]).astype(np.int64) if replies else np.zeros(0, np.int64)
+    counts = np.zeros(len(f.words), np.int64)
+    if replies:
+        counts[f.order] = np.concatenate([unsqueeze(c) for _, c in replies]).astype(np.int64)
+    return counts[f.word_of]
 
 
 def hot_sums(m: Model, buckets: int):
@@ -391,8 +442,9 @@ def hot_sums(m: Model, buckets: int):
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
             return pa.table({"at": pa.array([], pa.int64()), "mass": pa.array([], pa.float64()), "below": pa.array([], pa.float64())})
-        b = bigrams(entries(table))
-        _, _, mass, below = kept_sums(b, kept_pairs(b, buckets)[0], replied(answers), m)
+        b = bigrams(pairs_in(table))
+        f = followers_of(b, buckets)
+        _, _, mass, below = kept_sums(b, f.kept, replied(answers, f), m)
         apart = held_in(b.h, m.hot)
         return pa.table({"at": pa.array(np.searchsorted(m.hot, b.h[apart]), pa.int64()), "mass": mass[apart], "below": below[apart]})
     return run
@@ -404,12 +456,12 @@ def score_bucket(m: Model, buckets: int):
         names = ["bucket", "docs", "n_tokens", "n_known", "base", "score"]
         if not table.num_rows:
             return pa.Table.from_arrays([pa.array([], k) for k in kinds], names)
-        e = entries(table)
-        b = bigrams(e)
-        row_doc, row_times = e.doc, e.times
-        del e, table
-        kept, _ = kept_pairs(b, buckets)
-        alpha, high, low = backoff(b, kept, replied(answers), m)
+        b = bigrams(pairs_in(table))
+        holders, row_doc, row_times = documents_in(table)
+        del table
+        f = followers_of(b, buckets)
+        kept = f.kept
+        alpha, high, low = backoff(b, kept, replied(answers, f), m)
         gain = np.zeros(len(b.count))
         gain[kept] = high - low - alpha[b.pair_h[kept]]
         begin = b.h == BEGIN
@@ -418,7 +470,8 @@ def score_bucket(m: Model, buckets: int):
         with np.errstate(divide="ignore"):
             token, base = np.log10(m.unigram(own)), np.log10((own + 1) / (m.tokens + m.distinct + 1))
         order = np.argsort(row_doc, kind="stable")
-        doc, times, h, pair = row_doc[order], row_times[order].astype(np.int64), b.row_h[order], b.row_pair[order]
+        pair = np.repeat(b.row_pair, holders)[order]
+        doc, times, h = row_doc[order], row_times[order], b.pair_h[pair]
         del row_doc, row_times, order
         first = heads(doc)
         doc = doc[first]
@@ -467,13 +520,13 @@ def score_documents(docs: DataFrame, held_out: Column | None = None) -> DataFram
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
                        (~held_out).alias("train"))
     hot = hot_histories(rows, buckets)
-    blobs = rows.mapInArrow(count_slices(buckets, hot), ENTRY_TYPE)
+    blobs = counted(rows, buckets, hot)
     model = learn(blobs, hot)
-    # The same grouping of the same rows twice in one plan: Spark shuffles it once.
-    asked = blobs.groupBy("bucket").applyInArrow(ask(buckets), "bucket int, source int, words binary, counts binary")
+    of_pairs = blobs.select("bucket", *PAIR_COLUMNS[:4])
+    asked = of_pairs.groupBy("bucket").applyInArrow(ask(buckets), "bucket int, source int, words binary, counts binary")
     answers = asked.groupBy("bucket").applyInArrow(answer(model), "bucket int, source int, counts binary")
     if len(hot):
-        parts = blobs.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(hot_sums(model, buckets), "at long, mass double, below double")
+        parts = of_pairs.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(hot_sums(model, buckets), "at long, mass double, below double")
         mass, below = np.zeros(len(hot)), np.zeros(len(hot))
         with shuffles_released(docs.sparkSession):
             for r in parts.groupBy("at").agg(F.sum("mass").alias("mass"), F.sum("below").alias("below")).collect():

@@ -162,7 +162,6 @@ def judged(pages):
 
 def katz(rows, held_out):
     """doc_id -> (tokens, known, base, score), and the conditional distribution of each history summed."""
-    from loanstrata.llm.katz import MIN_COUNT, discounts
     docs = {d: [*words(t, True), "</s>"] for d, t in rows}
     c, pairs, before = collections.Counter(), collections.Counter(), collections.Counter()
     for d, w in docs.items():
@@ -170,14 +169,25 @@ def katz(rows, held_out):
             h = ["<s>", *w[:-1]]
             c.update(w), pairs.update(zip(h, w)), before.update(h)
     n, v = sum(c.values()), len(c)
-    rank = lambda x: [sum(1 for k in x.values() if k == r) for r in range(1, 7)]
-    d1, d2 = discounts(rank(c)), discounts(rank(pairs))
-    freed = sum((1 - d1[r]) * r * rank(c)[r - 1] for r in range(1, 6))
+
+    def good_turing(x):
+        seen = collections.Counter(x.values())
+        tail = 6 * seen[6] / seen[1] if seen[1] else 1.0
+        d = {6: 1.0}
+        for r in range(1, 6):
+            ratio = (r + 1) * seen[r + 1] / (r * seen[r]) if seen[r] else 0.0
+            d[r] = (ratio - tail) / (1 - tail) if tail < 1 else 0.0
+            if not seen[r] or not 0 < d[r] < 1:
+                d[r] = r / (r + 1)
+        return d
+
+    d1, d2 = good_turing(c), good_turing(pairs)
+    freed = sum((1 - d1[k]) * k for k in c.values() if k <= 5)
     unknown = freed / n if freed > 0 else 1 / (n + 1)
     p1 = lambda w: d1[min(c[w], 6)] * c[w] / (n if freed > 0 else n + 1) if c[w] else unknown
     kept = collections.defaultdict(list)
     for (h, w), k in pairs.items():
-        if k >= MIN_COUNT:
+        if k:
             kept[h].append((w, d2[min(k, 6)] * k))
     state = {}
     for h, total in before.items():
@@ -190,7 +200,7 @@ def katz(rows, held_out):
         score = 0.0
         for h, w in zip(["<s>", *ws[:-1]], ws):
             k = pairs[h, w]
-            score += math.log10(d2[min(k, 6)] * k / state[h][0] if k >= MIN_COUNT else state.get(h, (0, 1.0))[1] * p1(w))
+            score += math.log10(d2[min(k, 6)] * k / state[h][0] if k else state.get(h, (0, 1.0))[1] * p1(w))
         base = sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws)
         out[d] = (len(ws), sum(c[w] > 0 for w in ws), base, score)
     return out, sums, n

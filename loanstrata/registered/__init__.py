@@ -23,5 +23,5 @@ def register(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 def load_all() -> None:
     from loanstrata.registered import (  # noqa: F401
-        cleaning, drift, edges, features, loss, metrics, models, profiling, registry, tournament,
+        cleaning, drift, edges, features, loss, metrics, models, profiling, registry, streams, tournament,
     )

@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loanstrata.llm.memory import trimmed, trimmed_pair
 from loanstrata.llm.substring import LAST, bucket_count, ids_of
 from loanstrata.llm.words import mix, pack, slices, unpack, words_of
 from loanstrata.session import shared_folder
@@ -48,14 +49,24 @@ ENTRY = pa.schema([("bucket", pa.int32()), *[(c, pa.binary()) for c in PAIR_COLU
 ENTRY_TYPE = "bucket int, " + ", ".join(f"{c} binary" for c in PAIR_COLUMNS + DOC_COLUMNS)
 
 
+PLAIN = 16
+
+
 def squeeze(values: np.ndarray) -> bytes:
-    """Integers packed with as many bytes as the largest needs; the first byte says how many."""
+    """Integers packed with as many bytes as the largest needs, which the first byte says.
+
+    Compressed where that helps: the first byte is then greater by PLAIN, and four bytes with the plain size follow.
+    """
     width = max(1, (int(values.max()).bit_length() + 7) // 8) if len(values) else 1
-    return bytes([width]) + pack(values, width)
+    raw = pack(values, width)
+    small = pa.compress(raw, "zstd", asbytes=True)
+    return bytes([width]) + raw if len(small) + 4 >= len(raw) else bytes([width + PLAIN]) + len(raw).to_bytes(4, "little") + small
 
 
 def unsqueeze(blob: bytes) -> np.ndarray:
-    return unpack(blob[1:], blob[0])
+    if blob[0] <= PLAIN:
+        return unpack(blob[1:], blob[0])
+    return unpack(pa.decompress(blob[5:], int.from_bytes(blob[1:5], "little"), "zstd", asbytes=True), blob[0] - PLAIN)
 
 
 def lengths(head: np.ndarray, total: int) -> np.ndarray:
@@ -101,7 +112,7 @@ def hot_histories(rows: DataFrame, buckets: int) -> np.ndarray:
             # Row 0 carries the tokens of the slice; no word has that code.
             yield pa.RecordBatch.from_arrays([pa.array(np.append(h[often], 0).astype(np.int64)), pa.array(np.append(n[often], len(history)))], ["h", "n"])
 
-    counts = rows.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    counts = rows.mapInArrow(trimmed(run), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     with shuffles_released(rows.sparkSession):
         total = counts.where("h = 0").first()
         least = share * (total["n"] if total else 0)
@@ -167,7 +178,7 @@ def counted(rows: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
     """
     spark, files = rows.sparkSession, min(buckets, MAX_FILES)
     name = f"katz_counts_{uuid.uuid4().hex}"
-    blobs = rows.mapInArrow(count_slices(buckets, hot), ENTRY_TYPE).repartition(files, "bucket")
+    blobs = rows.mapInArrow(trimmed(count_slices(buckets, hot)), ENTRY_TYPE).repartition(files, "bucket")
     with shuffles_released(spark):
         blobs.write.bucketBy(files, "bucket").option("path", f"{shared_folder(spark)}/{name}").option("compression", "zstd").saveAsTable(name)
     table = spark.table(name)
@@ -307,7 +318,7 @@ def learn(blobs: DataFrame, hot: np.ndarray) -> Model:
     width = 3 + 2 * (GOOD_TURING_LIMIT + 1)
     sums = np.zeros(width + len(hot), np.int64)
     with shuffles_released(blobs.sparkSession):
-        stats = blobs.select("bucket", *PAIR_COLUMNS[:4]).groupBy("bucket").applyInArrow(bucket_stats(hot), "at long, n long").groupBy("at").agg(F.sum("n").alias("n"))
+        stats = blobs.select("bucket", *PAIR_COLUMNS[:4]).groupBy("bucket").applyInArrow(trimmed(bucket_stats(hot)), "at long, n long").groupBy("at").agg(F.sum("n").alias("n"))
         for r in stats.collect():
             sums[r["at"]] = r["n"]
     tokens, distinct, documents, *n = sums[:width].tolist()
@@ -523,17 +534,17 @@ def score_documents(docs: DataFrame, held_out: Column | None = None) -> DataFram
     blobs = counted(rows, buckets, hot)
     model = learn(blobs, hot)
     of_pairs = blobs.select("bucket", *PAIR_COLUMNS[:4])
-    asked = of_pairs.groupBy("bucket").applyInArrow(ask(buckets), "bucket int, source int, words binary, counts binary")
-    answers = asked.groupBy("bucket").applyInArrow(answer(model), "bucket int, source int, counts binary")
+    asked = of_pairs.groupBy("bucket").applyInArrow(trimmed(ask(buckets)), "bucket int, source int, words binary, counts binary")
+    answers = asked.groupBy("bucket").applyInArrow(trimmed(answer(model)), "bucket int, source int, counts binary")
     if len(hot):
-        parts = of_pairs.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(hot_sums(model, buckets), "at long, mass double, below double")
+        parts = of_pairs.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(trimmed_pair(hot_sums(model, buckets)), "at long, mass double, below double")
         mass, below = np.zeros(len(hot)), np.zeros(len(hot))
         with shuffles_released(docs.sparkSession):
             for r in parts.groupBy("at").agg(F.sum("mass").alias("mass"), F.sum("below").alias("below")).collect():
                 mass[r["at"]], below[r["at"]] = r["mass"], r["below"]
         model = model._replace(hot_mass=mass, hot_below=below)
     sums = blobs.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(
-        score_bucket(model, buckets), "bucket int, docs binary, n_tokens binary, n_known binary, base binary, score binary")
-    totals = sums.groupBy("bucket").applyInArrow(add_up, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+        trimmed_pair(score_bucket(model, buckets)), "bucket int, docs binary, n_tokens binary, n_known binary, base binary, score binary")
+    totals = sums.groupBy("bucket").applyInArrow(trimmed(add_up), "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return totals.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known",
                          F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -41,6 +41,15 @@ def trimmed(run: Callable) -> Callable:
     return wrapped
 
 
+def trimmed_pair(run: Callable) -> Callable:
+    """The same for a cogroup."""
+    def wrapped(left, right):
+        out = run(left, right)
+        release()
+        return out
+    return wrapped
+
+
 def _drained(out):
     yield from out
     release()

@@ -115,6 +115,13 @@ def test_discounts_stay_inside():
         assert all(0 < x < 1 for x in d[1:-1]) and d[-1] == 1
 
 
+def test_squeezed_numbers_come_back():
+    for values in ([], [0], [255], [256, 0], [1] * 500, range(1000), [2**64 - 1, 3]):
+        whole = np.array(list(values), np.uint64)
+        assert katz.unsqueeze(katz.squeeze(whole)).tolist() == whole.tolist()
+    assert len(katz.squeeze(np.ones(500, np.int64))) < 60
+
+
 # --- decontamination
 
 

@@ -32,7 +32,7 @@ def hex_digest(labelled: str) -> str:
     return base64.b32decode(labelled.removeprefix("sha1:")).hex()
 
 
-def record_id(page_id: int) -> str:
+def record_id(page_id: int | None) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'page-{page_id}')}>"
 
 
@@ -49,9 +49,12 @@ def clean_url(url: str | None) -> str:
     return "".join(c if c.isprintable() and c != " " else "".join(f"%{b:02X}" for b in c.encode()) for c in url or "")
 
 
-def members(page_id: int, url: str | None, payload: bytes, refers_to: int | None) -> list[bytes]:
-    """The members of one page: a response (in segments if large), or a revisit that carries no payload."""
-    common = [("WARC-Target-URI", clean_url(url)), ("WARC-Date", "2024-01-01T00:00:00Z"), ("X-Page-Id", str(page_id)),
+def members(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> list[bytes]:
+    """The members of one page: a response (in segments if large), or a revisit that carries no payload.
+
+    A null page_id is an empty header.
+    """
+    common = [("WARC-Target-URI", clean_url(url)), ("WARC-Date", "2024-01-01T00:00:00Z"), ("X-Page-Id", "" if page_id is None else str(page_id)),
               ("WARC-Payload-Digest", label(payload)), ("X-Payload-Length", str(len(payload)))]
     http = HTTP % len(payload)
     if refers_to is not None:
@@ -135,7 +138,8 @@ def pages_of(records: Iterator[Record]) -> Iterator[tuple]:
         if "WARC-Segment-Total-Length" in h and int(h["WARC-Segment-Total-Length"]) != len(block):
             raise ValueError("segments are missing")
         payload = block.partition(b"\r\n\r\n")[2]
-        page, kind = int(first["X-Page-Id"]), first["WARC-Type"]
+        number, kind = first["X-Page-Id"], first["WARC-Type"]
+        page = int(number) if number else None
         if kind == "response" and (label(payload) != first["WARC-Payload-Digest"] or len(payload) != int(first["X-Payload-Length"])):
             raise ValueError("payload digest differs")
         refers = int(first["X-Refers-To-Page"]) if kind == "revisit" else None
@@ -147,7 +151,8 @@ def with_revisits(pages: DataFrame) -> DataFrame:
     """page_id, url, html (null: empty) and refers_to: the page that holds the payload, null for responses.
 
     Of equal payloads of at least MIN_REVISIT_BYTES, the largest page_id is kept. Only digests are shuffled to find
-    it, folded in each task first; repeated page_ids are all written.
+    it, folded in each task first; repeated page_ids are all written. A null page_id is never referred to and always a
+    response.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
                         F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
@@ -169,7 +174,7 @@ def write_archives(pages: DataFrame, folder: str) -> None:
                 part = batch.slice(at, 64)
                 made = []
                 for page_id, url, html, refers in zip(*[c.to_pylist() for c in part.columns]):
-                    made += members(page_id if page_id is not None else -1, url, (html or "").encode(), refers)
+                    made += members(page_id, url, (html or "").encode(), refers)
                 # The sink's separator is the last byte of each member.
                 yield pa.RecordBatch.from_arrays([pa.array([m[:-1] for m in made], pa.binary())], ["value"])
 

@@ -248,6 +248,14 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.read_archives(spark, str(tmp_path / "e")).count() == 0
 
 
+def test_warc_keeps_null_ids_apart_from_minus_one(spark, tmp_path):
+    big = "same " * 400
+    pages = spark.createDataFrame([(None, "u", big), (-1, "v", big), (-3, "w", big), (None, None, None)], "page_id long, url string, html string")
+    warc.write_archives(pages, str(tmp_path / "n"))
+    got = sorted(((r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in warc.read_archives(spark, str(tmp_path / "n")).collect()), key=str)
+    assert got == [(-1, "response", None, 2000), (-3, "revisit", -1, 2000), (None, "response", None, 0), (None, "response", None, 2000)]
+
+
 def test_warc_segments_and_damage(monkeypatch):
     monkeypatch.setattr(warc, "SEGMENT_BYTES", 100)
     parts = warc.members(7, "u", b"payload " * 50, None)

@@ -136,13 +136,14 @@ def pruned_models(trace: DataFrame, prune_gap: float = PRUNE_GAP) -> DataFrame:
 def _ranged(metric: str) -> Column:
     low, high = over_all(F.min(metric)), over_all(F.max(metric))
     part = (F.col(metric) - low) / (high - low)
-    return F.when(high - low < 1e-12, 1.0).otherwise(1 - part if metric in LOWER_BETTER else part)
+    scaled = F.when(high - low < 1e-12, 1.0).otherwise(1 - part if metric in LOWER_BETTER else part)
+    return F.when(F.col(metric).isNotNull(), scaled).otherwise(0.5)
 
 
 def rubric_parts(entries: DataFrame, metrics: list[str]) -> DataFrame:
     """Every metric on 0..1, higher better. Ranged metrics by their spread over the candidates, the rest absolutely.
 
-    Needs, for the parts asked for: psi, gap (validation to test), training_time_s, feature_count and library.
+    A metric that a candidate lacks counts as 0.5. Needs, for the parts asked for: psi, gap (validation to test), training_time_s, feature_count and library.
     """
     made = {
         "psi": lambda: clip(1 - F.col("psi") / 0.25, 0, 1),

@@ -287,8 +287,10 @@ def tournament_summary(spark, folder):
 
 @register("weight_validity", scores_sql(
     ", p(m, rubric, weight) AS (SELECT model, 'by_count', count(*) FROM scores WHERE label = 1 GROUP BY 1 UNION ALL SELECT model, "
-    "'by_score', sum(score) FROM scores GROUP BY 1), s AS (SELECT rubric, weight / sum(weight) OVER (PARTITION BY rubric) AS weight FROM p) "
-    "SELECT rubric, round(sum(weight), 6) AS total, count(*) FILTER (weight < 0 OR weight > 1) AS outside, true AS valid FROM s GROUP BY 1"))
+    "'by_score', sum(score) FROM scores GROUP BY 1), s AS (SELECT rubric, weight / sum(weight) OVER (PARTITION BY rubric) AS weight FROM p "
+    "UNION ALL SELECT 'unscaled', weight FROM p WHERE rubric = 'by_score') SELECT rubric, round(sum(weight), 6) AS total, count(*) FILTER "
+    "(weight < 0 OR weight > 1) AS outside, abs(sum(weight) - 1) <= 1e-6 AND count(*) FILTER (weight < 0 OR weight > 1) = 0 AS valid FROM s "
+    "GROUP BY 1"))
 def weight_validity(spark, folder):
     from pyspark.sql import Window
     per = scores(spark, folder).groupBy("model").agg(
@@ -296,4 +298,5 @@ def weight_validity(spark, folder):
     long = struct_rows(per, ["model"], [
         F.struct(F.lit(c).alias("rubric"), F.col(c).alias("w")) for c in ("by_count", "by_score")])
     weights = long.withColumn("weight", F.col("w") / F.sum("w").over(Window.partitionBy("rubric")))
-    return rounded(tournament.weight_validity(weights), total=6)
+    unscaled = long.where("rubric = 'by_score'").select(F.lit("unscaled").alias("rubric"), F.col("w").alias("weight"))
+    return rounded(tournament.weight_validity(weights.select("rubric", "weight").unionByName(unscaled)), total=6)

@@ -314,3 +314,16 @@ def test_permutations_keep_sizes_and_pick_the_smallest_tickets(spark, monkeypatc
     assert abs(len(one & two) / held.count() - share * share) < 0.03
     same = rows.withColumn("x", F.lit(1.0)).withColumn("y", F.lit(2.0))
     assert drift.permutation_drift(same, ["x", "y"], permutations=5).collect()[0]["p_value"] == 1.0
+
+
+def test_a_missing_metric_counts_as_neutral(spark):
+    rows = [("a", "trained", 0.8, None), ("b", "trained", 0.6, 0.1), ("c", "trained", None, 0.1), ("d", "failed", 0.9, 0.0)]
+    entries = spark.createDataFrame(rows, "model string, status string, auc double, brier double")
+    got = {r.model: (r.auc_part, r.brier_part) for r in tournament.rubric_parts(entries.where("status = 'trained'"), ["auc", "brier"]).collect()}
+    assert got == {"a": (1.0, 0.5), "b": (0.0, 1.0), "c": (0.5, 1.0)}
+
+
+def test_shipped_rubrics_are_valid_and_broken_ones_are_not(spark):
+    assert all(r.valid for r in tournament.weight_validity(tournament.rubric_table(spark)).collect())
+    broken = spark.createDataFrame([("x", 0.5), ("x", 0.6), ("y", 1.5), ("y", -0.5)], "rubric string, weight double")
+    assert [r.valid for r in tournament.weight_validity(broken).collect()] == [False, False]

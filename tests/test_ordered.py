@@ -117,3 +117,34 @@ def test_correlation_survives_constant_and_odd_columns(spark):
     assert got["a", "b"] == pytest.approx(np.corrcoef([1, 2, 3, 4], [2, 4.1, 5.9, 8])[0, 1])
     assert all(r is None for pair, r in got.items() if pair != ("a", "b")) and len(got) == 6
     assert [r["feature_1"] for r in features.flagged_pairs(features.correlation_pairs(df, ["a", "b", "c", "d"])).collect()] == ["a"]
+
+
+def test_quantiles_beyond_one_task_are_selected_without_sorting_the_values(spark, monkeypatch):
+    """Ties, infinities, NaN, a null group and an empty column; the values themselves must not be put in order."""
+    from loanstrata.functions import ordered
+
+    rng = np.random.default_rng(8)
+    n = 6000
+    x = np.where(np.arange(n) % 4 == 0, 7.0, rng.normal(size=n))
+    x[:3] = np.inf, -np.inf, -0.0
+    y = np.where(np.arange(n) % 5 == 0, np.nan, np.round(rng.random(n), 2))
+    rows = [(["a", "b", None][i % 3], float(x[i]), None if i % 7 == 0 else float(y[i]), None) for i in range(n)]
+    df = spark.createDataFrame(rows, "g string, x double, y double, z double").repartition(5).cache()
+    probs = [0.0, 0.01, 0.25, 0.333, 0.5, 0.99, 1.0]
+    small = {(r["g"], r["feature"]): r["q"] for r in quantiles(df, ["x", "y", "z"], probs, ["g"], n).collect()}
+    whole = {r["feature"]: r["q"] for r in quantiles(df, ["x", "y", "z"], probs, None, n).collect()}
+
+    def refuse(*args, **named):
+        raise AssertionError("the values were put in order")
+
+    monkeypatch.setattr(ordered, "value_totals", refuse)
+    for accuracy in (10_000, 40):
+        monkeypatch.setattr(ordered, "BRACKET_ACCURACY", accuracy)
+        tasks = 1_000_000 if accuracy == 40 else TINY
+        by = ordered.selected_quantiles(df, ["x", "y", "z"], probs, ["g"], accuracy) if accuracy == 40 else quantiles(df, ["x", "y", "z"], probs, ["g"], tasks)
+        found = {(r["g"], r["feature"]): r["q"] for r in by.collect()}
+        assert found.keys() == small.keys() and len(found) == 6
+        assert all(np.allclose(found[k], small[k], atol=1e-12, equal_nan=True) for k in small)
+        found = {r["feature"]: r["q"] for r in ordered.selected_quantiles(df, ["x", "y", "z"], probs, [], accuracy).collect()}
+        assert found.keys() == whole.keys()
+        assert all(np.allclose(found[k], whole[k], atol=1e-12, equal_nan=True) for k in whole)

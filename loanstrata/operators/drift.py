@@ -6,10 +6,14 @@ Edges are fitted once and used as literals, so every comparison is one scan whos
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loanstrata.functions.ordered import TASK_ROWS, long_values, quantile_values
 from loanstrata.operators.features import bin_number
@@ -140,24 +144,131 @@ def mean_embedding_drift(df: DataFrame, features: list[str], side: str = "split"
 # Tickets are residues modulo this prime; a histogram level resolves 12 of their 31 bits.
 TICKET_PRIME = (1 << 31) - 1
 TICKET_SHIFTS = (19, 7, 0)
+# Rows whose tickets a task mixes at once.
+TICKET_ROWS = 16_384
 # Rows of a draw that one task may sort.
 BOUNDARY_ROWS = 2_000
 
 
+def key_hashes(key: Column, seed: int) -> dict[str, Column]:
+    """The two halves of a key's hash that all draws mix."""
+    part = lambda at: F.conv(F.substring(F.md5(F.concat(key.cast("string"), F.lit(f"-{seed}"))), at, 7), 16, 10).cast("long")
+    return {"_x": part(1), "_y": part(8)}
+
+
+def multipliers(draws: int, seed: int) -> list[tuple[int, int, int]]:
+    """The numbers that make a ticket of the two halves, per draw 1..draws."""
+    number = lambda name, draw: int(hashlib.md5(f"{name}-{draw}-{seed}".encode()).hexdigest()[:7], 16) + 1
+    return [tuple(number(n, d) for n in "abc") for d in range(1, draws + 1)]
+
+
 def tickets(df: DataFrame, key: str, draws: int, seed: int) -> DataFrame:
     """Every row once per draw 1..draws, exploded in place, with a `ticket` that is a hash of key and draw.
 
     The key is hashed once; a draw mixes the two halves of that hash with multipliers of its own.
     """
-    part = lambda at: F.conv(F.substring(F.md5(F.concat(F.col(key).cast("string"), F.lit(f"-{seed}"))), at, 7), 16, 10).cast("long")
-    number = lambda name, draw: int(hashlib.md5(f"{name}-{draw}-{seed}".encode()).hexdigest()[:7], 16) + 1
-    mixes = F.array(*[F.struct(F.lit(d).alias("draw"), *[F.lit(number(n, d)).cast("long").alias(n) for n in "abc"]) for d in range(1, draws + 1)])
-    mixed = df.withColumns({"_x": part(1), "_y": part(8), "_mix": F.explode(mixes)})
+    mixes = F.array(*[F.struct(F.lit(d).alias("draw"), *[F.lit(v).cast("long").alias(n) for n, v in zip("abc", m)])
+                      for d, m in enumerate(multipliers(draws, seed), 1)])
+    mixed = df.withColumns({**key_hashes(F.col(key), seed), "_mix": F.explode(mixes)})
     p = F.lit(TICKET_PRIME)
     ticket = (F.col("_x") * F.col("_mix.a") % p + F.col("_y") * F.col("_mix.b") % p + F.col("_mix.c")) % p
     return mixed.withColumns({"draw": F.col("_mix.draw"), "ticket": ticket}).drop("_x", "_y", "_mix")
 
 
+def _drawn(batches: Iterator[pa.RecordBatch], mixes: list[tuple[int, int, int]]) -> Iterator[tuple[pa.RecordBatch, int, np.ndarray]]:
+    """The tickets of a few thousand rows in one draw after the other, as `tickets` makes them."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, TICKET_ROWS):
+            part = batch.slice(start, TICKET_ROWS)
+            x, y = (part.column(n).to_numpy() for n in ("_x", "_y"))
+            for draw, (a, b, c) in enumerate(mixes):
+                yield part, draw, (x * a % TICKET_PRIME + y * b % TICKET_PRIME + c) % TICKET_PRIME
+
+
+def row_cuts(rows: DataFrame, draws: int, seed: int, size: int) -> dict[int, tuple]:
+    """What `ticket_cuts` finds, from rows `(_key, _x, _y)` that are not exploded.
+
+    A task mixes the tickets of its rows in blocks and sends on a count per draw and range, and at the end the few rows in
+    the range that holds the cut.
+    """
+    mixes = multipliers(draws, seed)
+    found, left = np.full(draws, -1), np.full(draws, size)
+    above = None
+    for shift in TICKET_SHIFTS:
+        inside = None if above is None else (above, found.copy())
+        low = np.zeros(draws, np.int64) if inside is None else found << (above - shift)
+        width = (TICKET_PRIME >> shift) + 1 if inside is None else 1 << (above - shift)
+
+        def counted(batches: Iterator[pa.RecordBatch], shift=shift, inside=inside, low=low, width=width) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((draws, width), np.int64)
+            for _, draw, ticket in _drawn(batches, mixes):
+                if inside is not None:
+                    ticket = ticket[ticket >> inside[0] == inside[1][draw]]
+                total[draw] += np.bincount((ticket >> shift) - low[draw], minlength=width)
+            draw, at = np.nonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(draw), pa.array(at), pa.array(total[draw, at])], ["draw", "at", "n"])
+
+        counts = rows.mapInArrow(counted, "draw long, at long, n long").groupBy("draw", "at").agg(F.sum("n").alias("n"))
+        before = F.sum("n").over(Window.partitionBy("draw").orderBy("at")) - F.col("n")
+        need = F.get(F.lit(left.tolist()), F.col("draw").cast("int"))
+        spots = counts.withColumns({"before": before, "need": need}).where((F.col("before") < F.col("need")) & (F.col("before") + F.col("n") >= F.col("need"))).collect()
+        most = max((r["n"] for r in spots), default=0)
+        held = {r["draw"]: r for r in spots}
+        found = np.array([low[d] + held[d]["at"] if d in held else -1 for d in range(draws)])
+        left = np.array([left[d] - held[d]["before"] if d in held else 0 for d in range(draws)])
+        above = shift
+        if most <= BOUNDARY_ROWS:
+            break
+
+    def at_cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, draw, ticket in _drawn(batches, mixes):
+            spot = np.flatnonzero(ticket >> above == found[draw])
+            if len(spot):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(spot), draw + 1, np.int32)), pa.array(ticket[spot]),
+                                                  part.column("_key").take(pa.array(spot))], ["draw", "ticket", "_key"])
+
+    kept = T.StructType([T.StructField("draw", T.IntegerType()), T.StructField("ticket", T.LongType()), rows.schema["_key"]])
+    place = F.row_number().over(Window.partitionBy("draw").orderBy("ticket", "_key"))
+    need = F.get(F.lit(left.tolist()), F.col("draw") - 1)
+    ends = rows.mapInArrow(at_cut, kept).withColumn("_place", place).where(F.col("_place") == need).collect()
+    return {r["draw"]: (r["ticket"], r["_key"]) for r in ends}
+
+
+def reference_sums(rows: DataFrame, values: list[str], draws: int, seed: int, cuts: dict[int, tuple]) -> DataFrame:
+    """`(draw, n, sums)`: rows up to the cut of every draw and the sums of their values, one part per task.
+
+    Rows that share a cut's ticket are parts of their own, so that Spark compares their keys with that of the cut.
+    """
+    mixes = multipliers(draws, seed)
+    cut = [cuts[d][0] if d in cuts else -1 for d in range(1, draws + 1)]
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, total = np.zeros(draws, np.int64), np.zeros((draws, len(values)))
+        kind, held, z = None, None, None
+        for part, draw, ticket in _drawn(batches, mixes):
+            if part is not held:
+                held, kind = part, part.column("_key").type
+                z = np.column_stack([part.column(c).to_numpy(zero_copy_only=False) for c in values])
+            under = ticket < cut[draw]
+            n[draw] += np.count_nonzero(under)
+            total[draw] += under @ z
+            tied = np.flatnonzero(ticket == cut[draw])
+            if len(tied):
+                yield _parts([draw + 1] * len(tied), part.column("_key").take(pa.array(tied)), [1] * len(tied), z[tied])
+        if held is not None:
+            yield _parts(range(1, draws + 1), pa.nulls(draws, kind), n, total)
+
+    schema = T.StructType([T.StructField("draw", T.IntegerType()), rows.schema["_key"], T.StructField("n", T.LongType()),
+                           T.StructField("sums", T.ArrayType(T.DoubleType()))])
+    at = F.get(F.array(*[F.lit(cuts[d][1] if d in cuts else None).cast(rows.schema["_key"].dataType) for d in range(1, draws + 1)]), F.col("draw") - 1)
+    return rows.mapInArrow(summed, schema).where((F.col("n") > 0) & (F.col("_key").isNull() | (F.col("_key") <= at))).drop("_key")
+
+
+def _parts(draw, key: pa.Array, n, sums: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(draw, pa.int32()), key, pa.array(n, pa.int64()), pa.array(list(sums), pa.list_(pa.float64()))],
+                                      ["draw", "_key", "n", "sums"])
+
+
 def ticket_cuts(ticketed: DataFrame, key: str, draws: int, size: int) -> dict[int, tuple]:
     """The `size`-th smallest (ticket, key) of every draw, without sorting the rows.
 
@@ -192,16 +303,17 @@ def permutation_draws(df: DataFrame, features: list[str], key: str = "id", side:
     known = complete_rows(df.where(F.col(side).isin(reference, other)), features)
     fitted = moments(known.where(F.col(side) == reference), features)
     z = {c: (F.col(c).cast("double") - F.lit(fitted[c]["mean"])) / F.lit(fitted[c]["std_pop"] or 1.0) for c in features}
-    rows = pin(known.select(F.col(key).alias("_key"), (F.col(side) == reference).alias("_ref"), *[v.alias(f"_z_{c}") for c, v in z.items()]))
-    facts = rows.agg(F.count_if("_ref").alias("a"), F.count_if(~F.col("_ref")).alias("b"), *[F.sum(f"_z_{c}").alias(c) for c in features]).collect()[0]
-    cuts = ticket_cuts(tickets(rows.select("_key"), "_key", permutations, seed), "_key", permutations, facts["a"])
-    at = lambda i, kind: F.get(F.array(*[F.lit(cuts[d][i] if d in cuts else None).cast(kind) for d in range(1, permutations + 1)]),
-                               F.col("draw") - 1)
-    cut_ticket, cut_key = at(0, "long"), at(1, rows.schema["_key"].dataType)
-    chosen = tickets(rows, "_key", permutations, seed).where((F.col("ticket") < cut_ticket) | (F.col("ticket") == cut_ticket) & (F.col("_key") <= cut_key))
+    rows = pin(known.select(F.col(key).alias("_key"), (F.col(side) == reference).alias("_ref"), *[v.alias(f"_z_{c}") for c, v in z.items()],
+                            *[h.alias(n) for n, h in key_hashes(F.col(key), seed).items()]))
+    facts = rows.agg(F.count_if("_ref").alias("a"), F.count_if(~F.col("_ref")).alias("b"), F.count_if(F.col("_x").isNull()).alias("bare"), *[F.sum(f"_z_{c}").alias(c) for c in features]).collect()[0]
+    # Rows without a key have no ticket; they come first in every draw and count for no side.
+    keyed = rows.where(F.col("_x").isNotNull())
+    cuts = row_cuts(keyed.select("_key", "_x", "_y"), permutations, seed, facts["a"] - facts["bare"])
     sums = [F.count(F.lit(1)).alias("n_reference"), *[F.sum(f"_z_{c}").alias(f"_a_{c}") for c in features]]
     real = rows.where("_ref").agg(*sums).select(F.lit(0).alias("draw"), "*")
-    per = real.unionByName(chosen.groupBy("draw").agg(*sums)).withColumn("n_other", F.lit(facts["a"] + facts["b"]) - F.col("n_reference"))
+    chosen = reference_sums(keyed, [f"_z_{c}" for c in features], permutations, seed, cuts)
+    per = chosen.groupBy("draw").agg(F.sum("n").alias("n_reference"), *[F.sum(F.get("sums", F.lit(i))).alias(f"_a_{c}") for i, c in enumerate(features)])
+    per = real.unionByName(per).withColumn("n_other", F.lit(facts["a"] + facts["b"]) - F.col("n_reference"))
     total = F.lit(0.0)
     for c in features:
         rest = F.lit(facts[c]) - F.col(f"_a_{c}")

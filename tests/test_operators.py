@@ -327,3 +327,29 @@ def test_shipped_rubrics_are_valid_and_broken_ones_are_not(spark):
     assert all(r.valid for r in tournament.weight_validity(tournament.rubric_table(spark)).collect())
     broken = spark.createDataFrame([("x", 0.5), ("x", 0.6), ("y", 1.5), ("y", -0.5)], "rubric string, weight double")
     assert [r.valid for r in tournament.weight_validity(broken).collect()] == [False, False]
+
+
+def test_cuts_of_unexploded_rows_are_those_of_exploded_ones(spark, monkeypatch):
+    """Text keys, repeated keys and a key missing; no row may be exploded into its draws."""
+    keys = [None if i == 5 else f"k{i % 900}" for i in range(1000)]
+    rows = spark.createDataFrame([(k, "train" if i % 3 else "test", float(i % 17)) for i, k in enumerate(keys)], "id string, split string, x double")
+    made = rows.where("id IS NOT NULL").select(F.col("id").alias("_key"), *[h.alias(n) for n, h in drift.key_hashes(F.col("id"), 4).items()])
+    size = rows.where("split = 'train'").count() - 1
+    want = drift.ticket_cuts(drift.tickets(rows.where("id IS NOT NULL"), "id", 5, 4), "id", 5, size)
+    mean = sum(i % 17 for i in range(1000) if i % 3) / 666
+    spread = (sum((i % 17 - mean) ** 2 for i in range(1000) if i % 3) / 666) ** 0.5
+    for limit in (2_000, 1):
+        monkeypatch.setattr(drift, "BOUNDARY_ROWS", limit)
+        assert drift.row_cuts(made, 5, 4, size) == want
+
+    def refuse(*args):
+        raise AssertionError("rows were exploded")
+
+    exact = {d: [(t, k, x) for t, k, x in drawn if (t, k) <= want[d]] for d, drawn in (
+        (d, [(r["ticket"], r["id"], r["x"]) for r in drift.tickets(rows.where("id IS NOT NULL"), "id", 5, 4).where(F.col("draw") == d).collect()]) for d in want)}
+    monkeypatch.setattr(drift, "tickets", refuse)
+    for r in drift.permutation_draws(rows, ["x"], permutations=5, seed=4).where("draw > 0").collect():
+        held = [x for _, _, x in exact[r["draw"]]]
+        rest = (sum(i % 17 for i in range(1000)) - sum(held)) / (1000 - len(held))
+        assert r["n_reference"] == len(held) and r["n_other"] == 1000 - len(held)
+        assert abs(r["stat"] - abs(sum(held) / len(held) - rest) / spread) < 1e-9

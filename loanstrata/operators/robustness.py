@@ -27,6 +27,8 @@ SHOCKS = [
 ]
 NOISE_LEVELS = [0.0, 0.01, 0.05, 0.10]
 HIGH_IMPACT, MEDIUM_IMPACT, MAX_DROP_PCT = 0.10, 0.02, 10.0
+# Distances that a task holds at once.
+BLOCK_CELLS = 1_000_000
 
 
 def rescore(frame: ModelFrame, fitted: Fitted, rows: DataFrame, keep: list[str]) -> DataFrame:
@@ -193,9 +195,10 @@ def _nearest_in_leaf(features: list[str], k: int):
         ids, points = leaf["id"].to_numpy(), leaf[features].to_numpy()
         norms = (points * points).sum(axis=1)
         keep = min(k, len(ids))
-        for start in range(0, len(ids), 256):
-            x, own = points[start:start + 256], ids[start:start + 256]
-            gap = norms[start:start + 256, None] + norms[None, :] - 2 * x @ points.T
+        step = max(1, BLOCK_CELLS // len(ids))
+        for start in range(0, len(ids), step):
+            x, own = points[start:start + step], ids[start:start + step]
+            gap = norms[start:start + step, None] + norms[None, :] - 2 * x @ points.T
             gap[own[:, None] == ids[None, :]] = np.inf
             near = np.argpartition(gap, keep - 1, axis=1)[:, :keep]
             ok = np.isfinite(np.take_along_axis(gap, near, axis=1)).ravel()

@@ -353,3 +353,20 @@ def test_cuts_of_unexploded_rows_are_those_of_exploded_ones(spark, monkeypatch):
         rest = (sum(i % 17 for i in range(1000)) - sum(held)) / (1000 - len(held))
         assert r["n_reference"] == len(held) and r["n_other"] == 1000 - len(held)
         assert abs(r["stat"] - abs(sum(held) / len(held) - rest) / spread) < 1e-9
+
+
+def test_neighbours_of_a_full_leaf_take_bounded_memory():
+    import tracemalloc
+
+    import numpy as np
+    import pandas as pd
+
+    from loanstrata.operators import robustness
+
+    rng = np.random.default_rng(2)
+    leaf = pd.DataFrame({"id": np.arange(20_000), "a": rng.random(20_000), "b": rng.random(20_000)})
+    tracemalloc.start()
+    found = [len(part) for part, _ in zip(robustness._nearest_in_leaf(["a", "b"], 5)(iter([leaf])), range(3))]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert all(found) and peak < 60e6

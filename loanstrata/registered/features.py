@@ -180,7 +180,8 @@ def vif_all(spark, folder):
 
 @register("select_features")
 def select_features(spark, folder):
-    loans = clean.numeric_only(resolved_loans(spark, folder, NUMERIC_COLUMNS), ["id", "default_flag", "issue_year"])
+    # Written once: medians, fill and selection all read the joined loans.
+    loans = clean.numeric_only(pin(resolved_loans(spark, folder, NUMERIC_COLUMNS)), ["id", "default_flag", "issue_year"])
     signal = loans.withColumn("planted", F.col("default_flag") * 0.5 + (F.col("id") * 37) % 1000 / 1000)
     found = features.select_features(signal, [*NUMERIC_COLUMNS, "planted"], "default_flag", threshold=0.0005)
     return found.log

@@ -107,8 +107,9 @@ def permutation_importance(frame: ModelFrame, fitted: Fitted, rows: DataFrame, r
     the next one, the last those of the first. That is one random permutation per repeat for all features together, so
     one shuffle of the rows serves all features.
     """
-    data = rows.select("id", "label", *frame.features)
-    cells = max(1, -(-data.count() // cell_rows))
+    data = pin(rows.select("id", "label", *frame.features))
+    size = data.count()
+    cells = max(1, -(-size // cell_rows))
     turns = data.withColumn("repeat", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
     ticket = F.xxhash64("id", "repeat", F.lit(seed))
     placed = turns.withColumns({"_t": ticket, "_cell": F.pmod(F.xxhash64(ticket), F.lit(cells))})
@@ -120,8 +121,10 @@ def permutation_importance(frame: ModelFrame, fitted: Fitted, rows: DataFrame, r
     made = [(f, {f: F.col(f"_d.{f}")}) for f in frame.features]
     changed = struct_rows(given, ["id", "label", "repeat"], [
         F.struct(F.lit(name).alias("feature"), *[c.get(f, F.col(f)).alias(f) for f in frame.features]) for name, c in made])
-    shuffled = metrics.discrimination(rescore(frame, fitted, changed, ["label", "feature", "repeat"]), ["feature", "repeat"])
-    base = metrics.discrimination(rescore(frame, fitted, data, ["label"]), []).select(F.col("auc").alias("base_auc"))
+    # Written once: several passes read the scores, and scoring is the dearest step.
+    scored = pin(rescore(frame, fitted, changed, ["label", "feature", "repeat"]))
+    shuffled = metrics.discrimination(scored, ["feature", "repeat"], rows=size * repeats * len(frame.features))
+    base = metrics.discrimination(pin(rescore(frame, fitted, data, ["label"])), [], rows=size).select(F.col("auc").alias("base_auc"))
     drop = shuffled.groupBy("feature").agg(F.avg("auc").alias("permuted_auc"))
     return attach(drop, base).withColumn("importance", F.greatest(F.lit(0.0), F.col("base_auc") - F.col("permuted_auc")))
 

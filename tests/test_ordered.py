@@ -146,3 +146,17 @@ def test_quantiles_beyond_one_task_are_selected_without_sorting_the_values(spark
         found = {r["feature"]: r["q"] for r in quantiles(df, ["x", "y", "z"], probs, None, n - 1).collect()}
         assert found.keys() == whole.keys()
         assert all(np.allclose(found[k], whole[k], atol=1e-12, equal_nan=True) for k in whole)
+
+
+def test_running_totals_beyond_one_task_make_their_input_twice_at_most(spark):
+    """Once for the cut points and once for the sums."""
+    made = spark.sparkContext.accumulator(0)
+
+    def score(i):
+        made.add(1)
+        return i % 50 / 50
+
+    df = spark.range(400).repartition(3).select(F.udf(score, "double")("id").alias("score"))
+    out = value_totals(df, [], "score", {"n": F.count(F.lit(1))}, TINY, 400).toPandas()
+    assert len(out) == 50 and (out["n_all"] == 400).all() and sorted(out["n_before"]) == list(range(0, 400, 8))
+    assert made.value <= 800

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loanstrata.operators import drift, features, metrics, quality
-from loanstrata.operators.profile import class_balance, column_overview, numeric_columns, string_columns, value_counts
+from loanstrata.operators.profile import class_balance, count_summary, numeric_columns, string_columns
 from loanstrata.session import pin
 
 SCORECARD = ("test_id string, test_name string, status string, value double, threshold double, evidence string")
@@ -38,17 +38,17 @@ def dq_scorecard(df: DataFrame, target: str = "default_flag", skip: tuple[str, .
         rows.append((code, name, status, float(value), float(limit), evidence))
 
     verdict = lambda bad: "FAIL" if bad else "PASS"
-    overview = column_overview(data, columns).collect()
-    top = max(overview, key=lambda r: (r["null_rate"], r["column"]))
-    add("DQ-01", "Missing value audit", verdict(top["null_rate"] > MISSING), top["null_rate"], MISSING, top["column"])
+    overview = count_summary(data, columns).collect()
+    top = max(overview, key=lambda r: (r["null_count"] / r["rows"], r["column"]))
+    missing = top["null_count"] / top["rows"]
+    add("DQ-01", "Missing value audit", verdict(missing > MISSING), missing, MISSING, top["column"])
     share = class_balance(data, target).collect()[0]["minority_ratio"]
     add("DQ-02", "Class balance", verdict(share < MINORITY), share, MINORITY, target)
     wide = max((r for r in overview if r["column"] in texts), key=lambda r: (r["unique_count"], r["column"]), default=None)
     distinct = wide["unique_count"] if wide else 0
     add("DQ-03", "High cardinality", verdict(distinct > CARDINALITY), distinct, CARDINALITY, wide["column"] if wide else "")
-    counts = value_counts(data, columns).where(F.col("value").isNotNull()).groupBy("column").agg(
-        (F.max("n") / F.sum("n")).alias("share"))
-    same, where = worst(counts, "column", "share")
+    shares = [(r["top_count"] / (r["rows"] - r["null_count"]), r["column"]) for r in overview if r["top_count"]]
+    same, where = min(shares, key=lambda s: (-s[0], s[1]), default=(0.0, ""))
     add("DQ-04", "Near-zero variance", verdict(same > SAME_VALUE), same, SAME_VALUE, where)
     pairs = features.correlation_pairs(data, numbers).select(
         F.concat_ws("|", "feature_1", "feature_2").alias("pair"), F.abs("r").alias("r"))

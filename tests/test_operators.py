@@ -9,7 +9,7 @@ import tempfile
 import pytest
 
 from loanstrata.functions import ordered, stats, text
-from loanstrata.operators import clean, drift, loss, metrics, profile, quality, registry, tournament
+from loanstrata.operators import clean, drift, loss, metrics, profile, quality, registry, scorecard, tournament
 from loanstrata.session import join_lookup, pin, release_pins
 from loanstrata.sources import tables
 from pyspark.sql import functions as F
@@ -370,3 +370,23 @@ def test_neighbours_of_a_full_leaf_take_bounded_memory():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert all(found) and peak < 60e6
+
+
+def test_count_summary_equals_counting_texts(spark):
+    rows = [(1, 0.0, "a", None), (1, -0.0, "b", None), (2, float("nan"), None, None), (None, float("nan"), "a", None), (2**62 + 1, 2.5, "a", None), (2**62, 2.5, "", None)]
+    df = spark.createDataFrame(rows, "k long, v double, t string, e float")
+    got = {r["column"]: tuple(r)[1:] for r in profile.count_summary(df, df.columns).collect()}
+    want = {c: (len(rows), sum(v is None for v in texts), len({v for v in texts if v is not None}), max((texts.count(v) for v in texts if v is not None), default=None))
+            for c, texts in ((c, [None if r[i] is None else str(r[i]) for r in rows]) for i, c in enumerate(df.columns))}
+    assert got == want
+
+
+def test_the_scorecard_counts_its_columns_once(spark, monkeypatch):
+    made = []
+    plain = profile.struct_rows
+    monkeypatch.setattr(profile, "struct_rows", lambda df, keep, rows: made.append(len(rows)) or plain(df, keep, rows))
+    df = spark.createDataFrame([(i, "train" if i % 2 else "test", int(i * 7 % 10 < 3), i * 37 % 401 / 7, i * i * 13 % 409 / 3, "xyz"[i % 3]) for i in range(400)],
+                               "id long, split string, default_flag int, a double, b double, grade string")
+    verdicts = {r["test_id"]: r for r in scorecard.dq_scorecard(df).collect()}
+    assert made.count(3) == 1
+    assert verdicts["DQ-03"]["value"] == 3 and verdicts["DQ-04"]["value"] == pytest.approx(134 / 400) and verdicts["DQ-04"]["evidence"] == "grade"

@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from loanstrata.operators import candidates, features, models, robustness
+from loanstrata.operators import candidates, features, metrics, models, robustness
 from pyspark.sql import functions as F
 
 
@@ -123,6 +123,53 @@ def test_halving_finds_what_the_full_search_finds(frame):
     assert all(r[4] == same[r[2], r[3]] for r in rows)
 
 
+def test_column_auc_equals_discrimination(spark):
+    """Ties, nulls, NaN, a shared value and a model of one class, with and without pieces; a model without scores has no row."""
+    rng = np.random.default_rng(5)
+    n = 3000
+    score = rng.normal(size=n)
+    pdf = pd.DataFrame({"label": (rng.random(n) < 0.2).astype(float), "a": score.round(1), "b": np.where(rng.random(n) < 0.3, 0.5, score), "c": score})
+    odd = F.when(F.col("c") > 1.5, float("nan")).when(F.col("c") > -1.5, F.col("c"))
+    df = spark.createDataFrame(pdf).select("label", "a", "b", odd.alias("c"), F.lit(None).cast("double").alias("d")).repartition(5)
+    for label in (F.col("label"), F.when(F.col("label") == 1, 1.0), F.when(F.col("a") > 0, F.col("label"))):
+        rows = df.withColumn("label", label)
+        long = rows.select("label", F.explode(F.array(*[F.struct(F.lit(f"m#{c}").alias("model"), F.col(c).alias("score")) for c in "abcd"])).alias("_m"))
+        want = {r["model"]: (r["n_pos"], r["n_neg"], r["auc"]) for r in metrics.discrimination(long.select("label", "_m.*"), ["model"]).collect()}
+        assert set(want) == {"m#a", "m#b", "m#c"}
+        for task_rows, known in ((100_000, None), (170, None), (170, n)):
+            got = metrics.column_auc(rows, {c: f"m#{c}" for c in "abcd"}, task_rows, known).collect()
+            assert {r["model"]: (r["n_pos"], r["n_neg"], r["auc"]) for r in got} == want
+    assert metrics.column_auc(df.limit(0), {"a": "m"}).collect() == []
+
+
+def test_judging_computes_each_score_once(spark, frame, monkeypatch):
+    """Whatever the number of pieces, the models run once over the rows, and a limited score calls the vector function once."""
+    made = [models.fit(frame, candidates.PD_CANDIDATES[0].with_params(max_iter=5), name=f"m{i}") for i in range(3)]
+    plan = models.score(frame, made, 0.0, 1.0)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count(")[1]") == len(made)
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    rows = frame.data.where("split = 'val'")
+    n = rows.count()
+    monkeypatch.setattr(models.metrics, "column_auc", lambda scored, names, rows=None, real=metrics.column_auc: real(scored, names, 50, rows))
+    got = models.judged(frame, made, rows.select("label", "features").mapInArrow(counted, rows.select("label", "features").schema), 2, n)
+    assert read.value == n and set(got) == {"m0", "m1", "m2"}
+    want = metrics.discrimination(models.score(frame, made, 0.0, 1.0, rows), ["model"]).collect()
+    assert got == {r["model"]: r["auc"] for r in want}
+
+
+def test_written_folds_are_read_alone(frame):
+    folded, plain = models.written_folds(frame, "issued", 4), models.time_folds(frame, "issued", 4)
+    assert folded.schema == plain.schema and sorted(folded.collect()) == sorted(plain.collect())
+    first = folded.where("fold <= 1")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: []" not in first and "fold" in first
+
+
 def test_boosting_stops_early(frame):
     asked = next(c for c in candidates.PD_CANDIDATES if c.name.startswith("Gradient")).with_params(n_estimators=60, learning_rate=0.5)
     held, full = models.fit(frame, asked, stop_on="val"), models.fit(frame, asked)
